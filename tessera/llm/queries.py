@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_digest
+from tessera.llm.decontaminate import leaks
 from tessera.llm.jaccard_join import jaccard_groups
+from tessera.llm.quality import COUNTS, quality
 from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +30,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def word_tokenizer() -> str:
     """The path of the tokenizer file that the queries use."""
     import public_tokenizers
@@ -38,10 +45,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_host_quality": op4_host_quality,
     "op6_bpe": op6_bpe,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -58,4 +76,21 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(root) FROM r WHERE r.node = w.doc_id) AS component_id
         FROM w LEFT JOIN n USING (doc_id)""",
+    "op4_host_quality": r"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        t AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n
+              FROM (SELECT r, i, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3))),
+        p AS (SELECT r, count(DISTINCT i + d) AS n_repeat FROM t, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY r),
+        l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        c AS (SELECT w.r, doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+              FROM w LEFT JOIN p USING (r) LEFT JOIN l USING (r)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+        h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+        m AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) - (sum(f) / sum(n)) ** 2 AS v FROM h),
+        s AS (SELECT m, CASE WHEN v <= 1e-12 OR m <= 0 OR m >= 1 THEN 1e6 ELSE least(greatest(m * (1 - m) / v - 1, 1), 1e6) END AS k FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND coalesce((h.f + m * k) / (h.n + k) < 0.6, true) AS kept
+        FROM b LEFT JOIN h USING (source), s""",
 }
