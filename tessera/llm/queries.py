@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import encode_digest
 from tessera.llm.decontaminate import leaks
 from tessera.llm.jaccard_join import jaccard_groups
+from tessera.llm.language import identify, learn_likelihood
+from tessera.llm.licenses import oracle_sql as licenses_sql
+from tessera.llm.licenses import scan_licenses
 from tessera.llm.quality import COUNTS, quality
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import score_toxicity
+from tessera.llm.warc import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +38,11 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "rules", "licenses")))
+
+
 def word_tokenizer() -> str:
     """The path of the tokenizer file that the queries use."""
     import public_tokenizers
@@ -53,13 +62,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(_table(spark, sf_dir, "pages"), docs, learn_likelihood(docs))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(_table(spark, sf_dir, "pages"))[0]
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_host_quality": op4_host_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
+    "op10_warc": op10_warc,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -93,4 +114,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND coalesce((h.f + m * k) / (h.n + k) < 0.6, true) AS kept
         FROM b LEFT JOIN h USING (source), s""",
+    "op5_license_scan": licenses_sql(),
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+        t AS (SELECT digest, max(page_id) AS target FROM p WHERE n >= 1000 GROUP BY digest)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND target <> page_id THEN target END AS refers_to
+        FROM p LEFT JOIN t USING (digest)""",
 }
