@@ -13,6 +13,7 @@ from tessera.llm.jaccard_join import jaccard_groups
 from tessera.llm.language import identify, learn_likelihood
 from tessera.llm.licenses import oracle_sql as licenses_sql
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.order import materialise
 from tessera.llm.quality import COUNTS, quality
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import score_toxicity
@@ -34,6 +35,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document begins in the order, with the shard's digest; the shards are written on the way."""
+    import public_tokenizers
+
+    per_shard, length = 4096, 2048
+    made, where, _ = materialise(_table(spark, sf_dir, "documents"), (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), length=length, per_shard=per_shard)
+    shard = F.floor(F.col("first_slot") / per_shard)
+    return where.withColumn("shard", shard).join(made, "shard").select("doc_id", "n_tokens", "first_token", "first_slot", "shard", ((F.col("first_slot") - F.col("shard") * per_shard) * length * F.col("bytes") / (F.col("sequences") * length)).cast("long").alias("byte_offset"), F.col("sha256").alias("shard_sha256"))
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
@@ -74,6 +85,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_training_order": op3_training_order,
     "op4_host_quality": op4_host_quality,
     "op5_license_scan": op5_license_scan,
     "op6_bpe": op6_bpe,
