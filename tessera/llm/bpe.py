@@ -142,9 +142,6 @@ class WordBpe:
     def learn(self, words: Sequence[str]) -> None:
         """Encodes words not yet known: number of ids, the ids as text, the tokens as text."""
         known = self.known
-        if len(known) > WORDS_KEPT:
-            for w in list(known)[len(self.special) : WORDS_KEPT // 2]:
-                del known[w]
         names = self.names
         for w, ids in zip(words, self.merge_all(words), strict=True):
             known[w] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
@@ -155,6 +152,9 @@ class WordBpe:
         The decoded form is that of ids read back: the file names no decoder, so tokens are joined by spaces.
         """
         split = [self.words(t) for t in texts]
+        if len(self.known) > WORDS_KEPT:
+            for w in list(self.known)[len(self.special) : WORDS_KEPT // 2]:
+                del self.known[w]
         new = {w for ws in split for w in ws if w not in self.known}
         if new:
             self.learn(sorted(new))
@@ -193,7 +193,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: Sequence[str] = ("doc_i
     tokens are added; their strings in a text are those tokens. Rows are handled one by one, so repeats and an empty
     table need no rule; column names cannot clash, as only those named are read.
     """
-    out = _run(docs, tokenizer, keep, text_col, [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")], lambda n, ids, dec: (np.array(ids.split(), np.int32), dec))
+    out = _run(docs, tokenizer, keep, text_col, [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")], lambda n, ids, dec: (np.fromstring(ids, np.int32, sep=" "), dec))
     return out
 
 
