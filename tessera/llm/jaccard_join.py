@@ -1,14 +1,17 @@
 """Exact Jaccard join of documents on word shingles, by pivots and their regions.
 
-``1 - J`` is a metric. Documents that share a smallest shingle under some hash order form a region around the
-region's smallest document, its *pivot*, whose distances to them are computed exactly; a document within the
-radius of a pivot links to it, and only to it, so that a group of near copies costs one distance per member
-instead of one per pair. Linked documents are then one *class*. What remains are links between classes. Those
-are found by an exact prefix filter: if ``J >= t``, the two sets share one of the first ``n - ceil(t n) + 1``
-shingles of each in any global order. Each document is replicated to the regions of those shingles, each region
-compares documents of different classes only, the triangle inequality (``|d(x,p) - d(y,p)| > r`` excludes a
-link) and the count of shared prefix shingles drop candidates, and what is left is verified on whole sets.
-As nearly all distances in a corpus are exactly 1, pivots alone separate nothing; hence the prefix regions.
+``1 - J`` is a metric, but nearly all distances in a corpus are exactly 1, so that a few pivots would separate
+nothing. Regions are therefore fine: the shingles' hash space is cut into so many parts that two sets that link,
+which differ in at most ``e`` shingles, must agree entirely on one (more parts than ``e``, parts without shingles
+discounted), and a document is replicated to the region of each of its parts' contents.
+
+A region of a few documents gives its pairs. A larger one takes as *pivot* the document that most others may link
+to, under the size window and a parity bitmap whose Hamming distance is a lower bound of the number of differing shingles;
+documents that may link to the pivot are its cell, the others are divided again, and so on. Distances to pivots are computed
+exactly; linked documents become one *class*, so that a group of near copies costs a few distances per
+member, not one per pair. After two such rounds regions are joined exhaustively, but between classes only; the triangle
+inequality on known pivot distances (``|d(x,p) - d(y,p)| > r``) excludes more pairs, and those left are verified on whole sets. None of
+the bounds loses a link.
 """
 
 from __future__ import annotations
@@ -26,14 +29,19 @@ from tessera.operators.components import connected_components
 from tessera.plans.lineage import cut_at, delete
 
 U = X.U
-#: Hash orders whose smallest shingle names a document's first regions.
-ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0x510E527FADE682D1)
-#: Shingles that so many documents share go last in the order of the prefix filter; at most HOT_MOST of them, the most common.
-HOT_FROM, HOT_MOST, HOT_LOCAL = 64, 200_000, 8
-_STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), *((f"m{i}", pa.int64()) for i in range(len(ORDERS)))])
-_HOT = "token long, cnt long"
-_PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "pa", "pb", "na", "nb")])
-_PAIR_DDL = "a long, b long, c long, pa long, pb long, na long, nb long"
+#: Rounds that link members of large regions to pivots before what is left is joined exhaustively.
+PIVOT_ROUNDS = 2
+#: Regions of at most so many documents give all their pairs.
+FEW = 4
+#: Pivots taken in a region in a round, and documents tried for each; the exhaustive join that follows has no such bound.
+PIVOTS_EACH, PIVOTS_TRIED = 3, 12
+#: Parity bits of a set: the next power of two of its size, within these bounds.
+BITS_LEAST, BITS_MOST = 64, 8192
+_STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
+PAIR, MEMBER = 1, 2
+_REGION = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sigs", pa.binary())])
+_REGION_DDL = "kind int, bucket int, a long, b long, sigs binary"
+_AB = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _sets(data, off, k):
@@ -58,210 +66,331 @@ def _stats(k):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, off = X.column(b, "text")
-            ns, ids, mins = [], [], [[] for _ in ORDERS]
+            ns, ids, bits = [], [], []
             for i, j in X.chunks(off):
                 n, first, _, h = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 ns.append(n)
                 ids.append(_identity(n, first, h))
-                for m, seed in zip(mins, ORDERS, strict=True):
-                    v = np.zeros(len(n), U)
-                    if len(h):
-                        v[n > 0] = np.minimum.reduceat(X.mix(h ^ U(seed)), first[n > 0])
-                    m.append(X.signed(v))
+                bits += [parity(h[f : f + m]) for f, m in zip(first, n, strict=True)]
             if ns:
-                yield P.batch(_STATS, b.column(0), b.column(2), np.concatenate(ns), np.concatenate(ids), *map(np.concatenate, mins))
+                yield P.batch(_STATS, b.column(0), b.column(2), np.concatenate(ns), np.concatenate(ids), bits)
 
     return run
 
 
-def _hot(k):
-    """Shingles of the lower half of the hash space that several documents of a task share, with how many."""
+def width_of(n: int) -> int:
+    return min(max(1 << max(n - 1, 0).bit_length(), BITS_LEAST), BITS_MOST)
+
+
+def parity(h: np.ndarray) -> bytes:
+    """For each slot whether an odd number of the set's shingles falls there; two sets' bitmaps differ in no more bits than the sets in shingles."""
+    if not len(h):
+        return b""
+    w = width_of(len(h))
+    return np.packbits((np.bincount((h >> U(13)).astype(np.int64) & (w - 1), minlength=w) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def size_class(n: np.ndarray, t: int) -> np.ndarray:
+    """Classes of sizes whose bounds grow by 100 / t: sets that link are in the same or in neighbouring classes."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / t) + 1e-9).astype(np.int64) if t < 100 else n
+
+
+def parts_of(cls: int, t: int) -> tuple[int, int]:
+    """Parts for pairs whose larger set is in a size class, and how many parts without shingles they make up for."""
+    if t >= 100:
+        return 1, 0
+    largest = int(np.ceil((100 / t) ** (cls + 1)))
+    e = 2 * largest * (100 - t) // (100 + t)
+    least = max(1.0, (100 / t) ** (cls - 1))
+    spare = 0
+    while True:  # as many spare parts as sets of the smallest size leave empty, but for rare ones
+        m = e + 1 + spare
+        empty = m * np.exp(-least / m)
+        want = int(np.ceil(empty + 3 * np.sqrt(empty)))
+        if want <= spare or spare > e + 8:
+            return m, spare
+        spare += 1
+
+
+def signatures(n: np.ndarray, first: np.ndarray, row: np.ndarray, h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, signature)`` of the parts of each set, under its own size class and under the next larger one."""
+    rows, sigs = [], []
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    spread = X.mix(h + U(0x2545F4914F6CDD1D))
+    own = size_class(n, t)
+    for step in (0, 1):
+        cls = own + step
+        m, spare = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+        for c in np.unique(cls[n > 0]):
+            m[cls == c], spare[cls == c] = parts_of(int(c), t)
+        m[n == 0] = 0
+        base = np.cumsum(m) - m
+        at = base[row] + (h % m[row].astype(U)).astype(np.int64)
+        total = np.zeros(int(m.sum()), U)
+        np.add.at(total, at, spread)
+        count = np.bincount(at, minlength=len(total))
+        who = np.repeat(np.arange(len(n)), m)
+        part = np.arange(len(total)) - base[who]
+        empty = np.bincount(who[count == 0], minlength=len(n))
+        keep = (count > 0) | (empty > spare)[who]
+        sig = X.mix(total + X.mix((part.astype(U) << U(16)) + cls[who].astype(U) + U(1)))
+        rows.append(who[keep])
+        sigs.append(sig[keep])
+    return np.concatenate(rows), np.concatenate(sigs)
+
+
+def _regions(k, t, buckets):
+    """Blocks of sets and their signatures, each set once per batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out():
-            tok, cnt = np.unique(np.concatenate(held), return_counts=True)
-            ok = cnt >= HOT_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(X.signed(tok[ok])), pa.array(cnt[ok])], names=["token", "cnt"])
-
         for b in it:
             data, off = X.column(b, "text")
+            seen: set[int] = set()
+            rows = []
             for i, j in X.chunks(off):
                 n, first, row, h = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                new = np.zeros(len(n), bool)
-                new[np.unique(_identity(n, first, h), return_index=True)[1]] = True
-                held.append(h[new[row] & (h < U(1 << 63))])
-                size += len(held[-1])
-                if size > 3_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+                ids = _identity(n, first, h)
+                new = np.array([m > 0 and s not in seen and not seen.add(s) for m, s in zip(n.tolist(), ids.tolist(), strict=True)], bool)
+                keep = new[row]
+                if not keep.any():
+                    continue
+                m = np.where(new, n, 0)
+                who, sig = signatures(m, np.cumsum(m) - m, row[keep], h[keep], t)
+                for bucket, at in P.by_bucket(sig >> U(8), buckets):
+                    d, ix = np.unique(who[at], return_inverse=True)
+                    rows.append((bucket, P.pack(ids[d], n[d].astype(np.int64), sig[at], ix.astype(np.uint32))))
+            if rows:
+                yield P.blocks(rows)
 
     return run
 
 
-def _prefixes(k, t, hot):
-    schema = pa.schema([("setid", pa.int64()), ("n", pa.int64()), ("prefix", pa.large_binary())])
+def _pairs_within(start: np.ndarray, end: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of all pairs within stretches, a bounded number at a time."""
+    cnt = np.repeat(end, end - start) - np.concatenate([np.arange(a, z) for a, z in zip(start, end, strict=True)]) - 1 if len(start) else np.zeros(0, np.int64)
+    pos = np.concatenate([np.arange(a, z) for a, z in zip(start, end, strict=True)]) if len(start) else cnt
+    total = np.concatenate([[0], np.cumsum(cnt)])
+    x = 0
+    while x < len(pos):
+        y = max(int(np.searchsorted(total, total[x] + most, "right")) - 1, x + 1)
+        c = cnt[x:y]
+        i = np.repeat(pos[x:y], c)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        x = y
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = hot.value
-        for b in it:
-            data, off = X.column(b, "text")
-            seen: set[int] = set()
-            for i, j in X.chunks(off):
-                n, first, row, h = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                ids = _identity(n, first, h)
-                if len(late) and len(h):
-                    common = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                    if common.any():  # within a row the common ones go last, both parts in hash order
-                        key = row * 2 + common
-                        h = h[np.argsort(key, kind="stable")]
-                want = n - -(-t * n // 100) + 1
-                rows = []
-                for r in np.flatnonzero(n):
-                    if (s := int(ids[r])) not in seen:
-                        seen.add(s)
-                        rows.append((s, int(n[r]), h[first[r] : first[r] + want[r]].tobytes()))
-                if rows:
-                    yield P.batch(schema, *map(list, zip(*rows, strict=True)))
+
+def _fits(na: np.ndarray, nb: np.ndarray, t: int) -> np.ndarray:
+    return np.minimum(na, nb) * 100 >= t * np.maximum(na, nb)
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, each with the smaller one first."""
+    x = np.stack([np.minimum(a, b), np.maximum(a, b)])
+    x = x[:, np.lexsort((x[1], x[0]))]
+    return x[:, np.r_[True, (x[:, 1:] != x[:, :-1]).any(axis=0)]] if x.shape[1] else x
+
+
+def _meet(t):
+    """In each region: pairs if it has few sets, else its members with their signatures there."""
+
+    def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [P.unpack(x) for x in raw]
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])
+        sid, size = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        sig = np.concatenate([p[2] for p in parts])
+        doc = np.concatenate([p[3].astype(np.int64) + o for p, o in zip(parts, base, strict=False)])
+        del parts
+        at = np.argsort(sig)
+        sig = sig[at]
+        same = np.r_[False, sig[1:] == sig[:-1]]
+        keep = same | np.r_[same[1:], False]
+        at, sig = at[keep], sig[keep]
+        doc = doc[at]
+        at = np.lexsort((sid[doc], sig))  # a set that came from several tasks counts once
+        sig, doc = sig[at], doc[at]
+        keep = np.r_[True, (sig[1:] != sig[:-1]) | (sid[doc[1:]] != sid[doc[:-1]])] if len(sig) else np.zeros(0, bool)
+        sig, doc = sig[keep], doc[keep]
+        if not len(sig):
+            return
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        end = np.r_[start[1:], len(sig)]
+        few = (end - start > 1) & (end - start <= FEW)
+        found = [np.zeros((2, 0), np.int64)]
+        for i, j in _pairs_within(start[few], end[few]):
+            ok = _fits(size[doc[i]], size[doc[j]], t)
+            found.append(_ordered(sid[doc[i[ok]]], sid[doc[j[ok]]]))
+        pairs = _ordered(*np.concatenate(found, axis=1))
+        if pairs.shape[1]:
+            n = pairs.shape[1]
+            yield P.batch(_REGION, np.full(n, PAIR), np.zeros(n, np.int32), pairs[0], pairs[1], pa.nulls(n, pa.binary()))
+        many = np.repeat(end - start > FEW, end - start)
+        sig, doc = sig[many], sid[doc[many]]
+        if len(sig):
+            at = np.argsort(doc, kind="stable")
+            sig, doc = sig[at], doc[at]
+            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            yield P.batch(_REGION, np.full(len(edge), MEMBER), np.zeros(len(edge), np.int32), doc[edge], np.zeros(len(edge), np.int64), [sig[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(sig)], strict=True)])
 
     return run
 
 
-def _deal(buckets):
+def _deal_members(buckets):
+    """Members with class, size and bitmap, dealt out by signature again."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            pre = P.raws(b, "prefix")
-            tok = np.frombuffer(b"".join(pre), U)
-            n = np.array([len(x) >> 3 for x in pre])
-            doc = np.repeat(np.arange(len(n)), n)
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
-            sid, comp, size = P.ints(b, "setid"), P.ints(b, "comp"), P.ints(b, "n")
+            sid, comp, n = P.ints(b, "setid"), P.ints(b, "comp"), P.ints(b, "n")
+            sigs, bits = P.raws(b, "sigs"), P.raws(b, "bits")
+            sig = np.frombuffer(b"".join(sigs), U)
+            doc = np.repeat(np.arange(len(sid)), [len(x) >> 3 for x in sigs])
             rows = []
-            for bucket, at in P.by_bucket(tok >> U(8), buckets):
+            for bucket, at in P.by_bucket(sig >> U(8), buckets):
                 d, ix = np.unique(doc[at], return_inverse=True)
-                rows.append((bucket, P.pack(sid[d], comp[d], size[d], tok[at], ix.astype(np.uint32), pos[at].astype(np.uint32))))
+                rows.append((bucket, P.pack(sid[d], comp[d], n[d], sig[at], ix.astype(np.uint32), np.frombuffer(b"".join(bits[x] for x in d), np.uint8))))
             if rows:
                 yield P.blocks(rows)
 
     return run
 
 
-def _meet(t):
-    """Within prefix regions, pairs of different classes that may still reach the threshold, with how many shingles they share."""
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at half its width or less."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _near_enough(t):
+    """Pairs whose bitmaps allow a link."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            a, z = P.ints(b, "a"), P.ints(b, "b")
+            most = (P.ints(b, "na") + P.ints(b, "nb")) * (100 - t) // (100 + t)
+            good = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(P.raws(b, "xa"), P.raws(b, "xb"), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                good[i] = np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum() <= most[i]
+            if good.any():
+                yield P.batch(_AB, a[good], z[good])
+
+    return run
+
+
+def _join_region(t, pivots):
+    """Within large regions, pairs of different classes that size and bitmaps allow to link: all of them, or those with pivots."""
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [P.unpack(x) for x in raw]
         base = np.cumsum([0, *(len(p[0]) for p in parts)])
         sid, comp, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        tok = np.concatenate([p[3] for p in parts])
+        sig = np.concatenate([p[3] for p in parts])
         doc = np.concatenate([p[4].astype(np.int64) + o for p, o in zip(parts, base, strict=False)])
-        pos = np.concatenate([p[5] for p in parts]).astype(np.int64)
-        del parts
-        at = np.argsort(tok)
-        tok = tok[at]
-        same = np.r_[False, tok[1:] == tok[:-1]]
-        keep = same | np.r_[same[1:], False]
-        at, tok = at[keep], tok[keep]
-        doc, pos = doc[at], pos[at]
-        if not len(tok):
-            return
-        at = np.lexsort((sid[doc], size[doc], tok))  # one record for each text in a region
-        tok, doc, pos = tok[at], doc[at], pos[at]
-        new = np.r_[True, (tok[1:] != tok[:-1]) | (sid[doc[1:]] != sid[doc[:-1]])]
-        tok, doc, pos = tok[new], doc[new], pos[new]
-        end = np.searchsorted(tok, tok, "right")
-        n = size[doc]
-        # within a region documents are in order of size; those beyond 1/t times the own size cannot link
-        reach = np.minimum(end, np.searchsorted(_ordered(tok, n), _ordered_to(tok, n, n * 100 // t), "right"))
-        cnt = reach - np.arange(len(tok)) - 1
-        total = np.concatenate([[0], np.cumsum(cnt)])
-        found: list[np.ndarray] = []
-        x = 0
-        while x < len(tok):
-            y = max(int(np.searchsorted(total, total[x] + 2_000_000, "right")) - 1, x + 1)
-            c = cnt[x:y]
-            i = np.repeat(np.arange(x, y), c)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            ok = comp[doc[i]] != comp[doc[j]]
-            i, j = i[ok], j[ok]
-            most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            ok = most * (100 + t) >= t * (n[i] + n[j])
-            i, j = i[ok], j[ok]
-            swap = sid[doc[i]] > sid[doc[j]]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            found.append(_summed(np.stack([sid[doc[i]], sid[doc[j]], np.ones(len(i), np.int64), pos[i], pos[j], n[i], n[j]])))
-            x = y
-        got = _summed(np.concatenate(found, axis=1))
-        if got.shape[1]:
-            yield P.batch(_PAIR, *got)
+        blob = np.concatenate([p[5] for p in parts])
+        words = np.array([width_of(int(n)) >> 6 for n in size])
+        offset = np.concatenate([[0], np.cumsum(words * 8)])
+        bits = [np.frombuffer(blob[offset[i] : offset[i + 1]].tobytes(), np.uint64) for i in range(len(sid))]
+        tables: dict[int, np.ndarray] = {}
+        for w in np.unique(words):  # each width holds its own sets and, folded, those of up to four times the width
+            t_w = np.zeros((len(sid), w), np.uint64)
+            for i in np.flatnonzero((words >= w) & (words <= 4 * w)):
+                t_w[i] = _fold(bits[i], w)
+            tables[int(w)] = t_w
+
+        def may_link(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            good = (comp[i] != comp[j]) & (sid[i] != sid[j]) & _fits(size[i], size[j], t)
+            at = np.flatnonzero(good)
+            i, j = i[at], j[at]
+            most = (size[i] + size[j]) * (100 - t) // (100 + t)
+            narrow = np.minimum(words[i], words[j])
+            for w in np.unique(narrow):
+                x = np.flatnonzero(narrow == w)
+                good[at[x]] = np.bitwise_count(tables[int(w)][i[x]] ^ tables[int(w)][j[x]]).sum(axis=1) <= most[x]
+            return good
+
+        at = np.lexsort((size[doc], sig))
+        sig, doc = sig[at], doc[at]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        end = np.r_[start[1:], len(sig)]
+        found, held = [np.zeros((2, 0), np.int64)], 0
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal found, held
+            found.append(_ordered(sid[i], sid[j]))
+            held += found[-1].shape[1]
+            if held > 2_000_000:
+                found, held = [_ordered(*np.concatenate(found, axis=1))], 0
+
+        if pivots:
+            for a, z in zip(start, end, strict=True):
+                left = doc[a:z]
+                for _ in range(PIVOTS_EACH):
+                    if len(left) < 2:
+                        break
+                    # candidates for the pivot are spread over the sizes; the one that most may link to is taken
+                    some = left[np.linspace(0, len(left) - 1, min(len(left), PIVOTS_TRIED)).astype(int)]
+                    i, j = np.repeat(some, len(left)), np.tile(left, len(some))
+                    ok = may_link(i, j).reshape(len(some), len(left))
+                    best = int(ok.sum(axis=1).argmax())
+                    if not ok[best].any():
+                        break
+                    keep(np.full(int(ok[best].sum()), some[best]), left[ok[best]])
+                    left = left[~ok[best] & (left != some[best])]
+        else:
+            for i, j in _pairs_within(start, end, 400_000):
+                i, j = doc[i], doc[j]
+                ok = may_link(i, j)
+                if ok.any():
+                    keep(i[ok], j[ok])
+        pairs = _ordered(*np.concatenate(found, axis=1))
+        if pairs.shape[1]:
+            yield P.batch(_AB, pairs[0], pairs[1])
 
     return run
 
 
-def _ordered(tok, n):
-    """A key in order of region and size."""
-    group = np.cumsum(np.r_[0, tok[1:] != tok[:-1]]).astype(np.int64)
-    return group * (1 << 32) + np.minimum(n, (1 << 32) - 1)
-
-
-def _ordered_to(tok, n, most):
-    group = np.cumsum(np.r_[0, tok[1:] != tok[:-1]]).astype(np.int64)
-    return group * (1 << 32) + np.minimum(most, (1 << 32) - 1)
+def _verify(docs: DataFrame, stats: DataFrame, pairs: DataFrame, k: int, tag: str) -> tuple[DataFrame, str]:
+    """``(a, b, common, na, nb)`` of pairs of set identities, on whole sets.
 
-
-def _summed(x: np.ndarray) -> np.ndarray:
-    if not x.shape[1]:
-        return x
-    x = x[:, np.lexsort((x[1], x[0]))]
-    first = np.flatnonzero(np.r_[True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])
-    out = x[:, first].copy()
-    out[2] = np.add.reduceat(x[2], first)
-    out[3], out[4] = np.maximum.reduceat(x[3], first), np.maximum.reduceat(x[4], first)
-    return out
-
-
-def _verify(docs: DataFrame, stats: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``(a, b, common, na, nb)`` of pairs of set identities, on whole sets."""
+    One text with each set is brought to the pairs, which takes less room than the set's hashes. The texts
+    are picked out by a filter of fixed size while the documents are read, so that only they are shuffled.
+    """
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("setid")).union(pairs.select("b")).distinct()
-    want, at = cut_at(stats.join(ids, "setid", "left_semi").groupBy("setid").agg(F.min("rk").alias("rk")), "want")
+    ends = pairs.select(F.col("a").alias("setid"), F.lit(1).alias("side")).union(pairs.select("b", F.lit(2))).groupBy("setid").agg(F.max("side").alias("is_b"), F.min("side").alias("is_a"))
+    want = stats.join(ends, "setid").groupBy("setid").agg(F.min(F.struct("rk", "doc_id")).alias("at"), F.max("is_b").alias("is_b"), F.min("is_a").alias("is_a"))
+    want, wat = cut_at(want.select("setid", "is_a", "is_b", "at.rk", F.col("at.doc_id").alias("of")), "want")
     bm = spark.sparkContext.broadcast(P.bitmap(want, "rk"))
-    schema = pa.schema([("rk", pa.int64()), ("tokens", pa.large_binary())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rk = P.ints(b, "rk")
-            pick = [i for i in np.flatnonzero(P.hits(bm.value, rk)) if int(rk[i]) not in seen and not seen.add(int(rk[i]))]
-            if not pick:
-                continue
-            b = b.take(pa.array(pick))
-            rk = rk[pick]
-            data, off = X.column(b, "text")
-            for i, j in X.chunks(off):
-                n, first, _, h = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                yield P.batch(schema, rk[i:j], [h[f : f + m].tobytes() for f, m in zip(first, n, strict=True)])
-
-    sets = docs.select("rk", "text").mapInArrow(run, "rk long, tokens binary").join(want, "rk").groupBy("setid").agg(F.first("tokens").alias("tokens"))
-    sets, sat = cut_at(sets, "sets")
-    both = pairs.select("a", "b").join(sets.select(F.col("setid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("setid").alias("b"), F.col("tokens").alias("tb")), "b")
+            at = np.flatnonzero(P.hits(bm.value, P.ints(b, "rk")))
+            if len(at):
+                yield b.take(pa.array(at))
+
+    picked = docs.select("rk", "doc_id", "text").mapInArrow(pick, "rk long, doc_id long, text string")
+    texts, tat = cut_at(picked.join(want, "rk").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("setid", "is_a", "is_b", "text"), "texts")
+    left = texts.where("is_a = 1").select(F.col("setid").alias("a"), F.col("text").alias("ta"))
+    right = texts.where("is_b = 2").select(F.col("setid").alias("b"), F.col("text").alias("tb"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     outs = pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "na", "nb")])
 
+    def sets(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+        data, off = X.column(b, name)
+        for i, j in X.chunks(off):
+            n, first, _, h = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+            for f, m in zip(first, n, strict=True):
+                yield h[f : f + m]
+
     def common(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [[], [], []]
-            for x, y in zip(P.raws(b, "ta"), P.raws(b, "tb"), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                got[0].append(len(np.intersect1d(x, y, assume_unique=True)))
-                got[1].append(len(x))
-                got[2].append(len(y))
-            yield P.batch(outs, P.ints(b, "a"), P.ints(b, "b"), *got)
-
-    out, _ = cut_at(both.mapInArrow(common, "a long, b long, common long, na long, nb long"), "verified")
-    delete(spark, at, sat)
+            got = [(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(sets(b, "ta"), sets(b, "tb"), strict=True)]
+            if got:
+                yield P.batch(outs, P.ints(b, "a"), P.ints(b, "b"), *map(list, zip(*got, strict=True)))
+
+    out = cut_at(both.mapInArrow(common, "a long, b long, common long, na long, nb long").distinct(), tag)
+    delete(spark, wat, tat)
     return out
 
 
@@ -281,44 +410,51 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    cols = ", ".join(f"{f.name} long" for f in _STATS)
+    cols = ", ".join(f"{f.name} {'binary' if f.name == 'bits' else 'long'}" for f in _STATS)
     stats, spath = cut_at(keyed.mapInArrow(_stats(k), cols), "sets")
     live = stats.where("n > 0")
-    sets = live.groupBy("setid").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), *(F.min(f"m{i}").alias(f"m{i}") for i in range(len(ORDERS))))
-    # regions of a shared smallest shingle; the pivot is the region's smallest set identity
-    keys = sets.select("setid", F.explode(F.array(*(F.struct(F.lit(i).alias("o"), F.col(f"m{i}").alias("m")) for i in range(len(ORDERS))))).alias("x")).select("setid", "x.o", "x.m")
-    pivots = keys.groupBy("o", "m").agg(F.min("setid").alias("p"), F.count("*").alias("c")).where("c > 1").select("o", "m", "p")
-    near = keys.join(pivots, ["o", "m"]).where("setid <> p").select(F.col("setid").alias("a"), F.col("p").alias("b")).distinct()
-    near, npath = cut_at(near, "near")
-    to_pivot = _verify(keyed, stats, near, k)
     linked = F.expr(f"common * {100 + percent} >= {percent} * (na + nb)")
-    first = to_pivot.where(linked).select("a", "b")
-    classes, cpath = cut_at(connected_components(first), "classes")
-
-    hot = keyed.mapInArrow(_hot(k), _HOT).groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_FROM).orderBy(F.desc("cnt"), "token").limit(HOT_MOST)
-    late = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(U)))
-    pre = keyed.select("text").mapInArrow(_prefixes(k, percent, late), "setid long, n long, prefix binary")
-    pre = pre.join(classes.withColumnRenamed("node", "setid").withColumnRenamed("component", "comp"), "setid", "left").select("setid", F.coalesce("comp", "setid").alias("comp"), "n", "prefix")
-    met = P.gather(pre.mapInArrow(_deal(P.partitions(spark)), P.BLOCK_DDL), _meet(percent), _PAIR_DDL)
-    met = met.groupBy("a", "b").agg(*(f("c" if f is F.sum else c).alias(c) for f, c in ((F.sum, "c"), (F.max, "pa"), (F.max, "pb"), (F.max, "na"), (F.max, "nb"))))
-    # shingles that both prefixes hold are all counted; any other common one comes after the last of those in both
-    met = met.where(f"(c + least(na - pa, nb - pb) - 1) * {100 + percent} >= {percent} * (na + nb)")
-    away = to_pivot.select("a", F.col("b").alias("p"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    beyond = met.join(away.withColumnRenamed("d", "da"), "a").join(away.select(F.col("a").alias("b"), "p", F.col("d").alias("db")), ["b", "p"]).where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
-    cand, dpath = cut_at(met.join(beyond, ["a", "b"], "left_anti").select("a", "b"), "candidates")
-    second = _verify(keyed, stats, cand, k).where(linked).select("a", "b")
-
-    links = first.union(second)
+    about = live.groupBy("setid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    parts = P.partitions(spark)
+    met, mpath = cut_at(P.gather(keyed.select("text").mapInArrow(_regions(k, percent, parts), P.BLOCK_DDL), _meet(percent), _REGION_DDL), "regions")
+    members, epath = cut_at(met.where(F.col("kind") == MEMBER).select(F.col("a").alias("setid"), "sigs").join(about, "setid"), "members")
+    classes, links, away, paths = None, None, None, [spath, mpath, epath]
+
+    def within(pivots: bool) -> DataFrame:
+        rows = members.withColumn("comp", F.col("setid")) if classes is None else members.join(classes.select(F.col("node").alias("setid"), F.col("component").alias("comp")), "setid", "left").withColumn("comp", F.coalesce("comp", "setid"))
+        return P.gather(rows.mapInArrow(_deal_members(parts), P.BLOCK_DDL), _join_region(percent, pivots), "a long, b long").distinct()
+
+    for r in range(PIVOT_ROUNDS):
+        cand, at = cut_at(within(True), f"pivots-{r}")
+        seen, vat = _verify(keyed, stats, cand, k, f"distances-{r}")
+        away = seen if away is None else away.unionByName(seen)
+        links = away.where(linked).select("a", "b")
+        classes, cat = cut_at(connected_components(links), f"classes-{r}")
+        paths += [at, vat, cat]
+
+    few = met.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
+    few = few.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near_enough(percent), "a long, b long")
+    comps = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    open_ = few.unionByName(within(False)).distinct().join(comps("a"), "a", "left").join(comps("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    both = away.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
+    known = both.select("a", F.col("b").alias("p"), "d").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("p"), "d"))
+    beyond = open_.join(known.withColumnRenamed("d", "da"), "a").join(known.select(F.col("a").alias("b"), "p", F.col("d").alias("db")), ["b", "p"]).where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b")
+    cand, dpath = cut_at(open_.join(beyond.unionByName(both.select("a", "b")).distinct(), ["a", "b"], "left_anti"), "candidates")
+    second, wpath = _verify(keyed, stats, cand, k, "links")
+    second = second.where(linked).select("a", "b")
+    links, paths = links.unionByName(second), [*paths[1:], dpath, wpath]
+
     # classes are contracted: only links between classes are left to follow
     name = classes.select("node", "component")
     over = second.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     outer = connected_components(over)
-    label = sets.select("setid").join(classes.withColumnRenamed("node", "setid"), "setid", "left").select("setid", F.coalesce("component", "setid").alias("node")).join(outer, "node", "left").select("setid", F.coalesce("component", "node").alias("label"))
+    label = about.select("setid").join(classes.withColumnRenamed("node", "setid"), "setid", "left").select("setid", F.coalesce("component", "setid").alias("node")).join(outer, "node", "left").select("setid", F.coalesce("component", "node").alias("label"))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_verified")).withColumnRenamed("a", "setid")
     least = live.groupBy("setid").agg(F.min("doc_id").alias("least"))
     of_set = label.join(least, "setid", "left").join(degree, "setid", "left")
     of_label = of_set.groupBy("label").agg(F.min("least").alias("component_id"))
     of_set, opath = cut_at(of_set.join(of_label, "label").select("setid", "component_id", F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified")), "labels")
-    delete(spark, npath, cpath, dpath)
+    delete(spark, *paths)
     out = stats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("setid")).alias("setid")).join(of_set, "setid", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"))
