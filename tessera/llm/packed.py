@@ -37,8 +37,8 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
     b = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     at = np.argsort(b, kind="stable")
     b = b[at]
-    edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-    for i, j in zip(edge, [*edge[1:], len(b)], strict=True):
+    edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
+    for i, j in zip(edge, np.r_[edge[1:], len(b)][: len(edge)], strict=True):
         yield int(b[i]), at[i:j]
 
 

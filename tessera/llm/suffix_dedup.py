@@ -175,8 +175,8 @@ def _compare_pieces(length):
             order = np.argsort(rk[lead], kind="stable")
             lead, once = lead[order], once[order]
             k = rk[lead]
-            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-            for i, j in zip(cut, [*cut[1:], len(k)], strict=True):
+            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+            for i, j in zip(cut, np.r_[cut[1:], len(k)][: len(cut)], strict=True):
                 q = lead[i:j]
                 out.append((WANTED, int(k[i]), P.pack(h[q], a[q], b[q], p[q], once[i:j])))
         yield _found(out)
