@@ -14,8 +14,8 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,7 +155,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Entries of all runs in order of key and time: partitions are ranges of the key, each merged from the runs' slices."""
+    """Entries of all runs in order of key and time: ranges of the key, numbered ``part``, each merged from the runs' slices, with ``seq`` the place in it."""
+    merged = pa.schema([pa.field("part", pa.int64()), *_INDEX])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[tuple]] = {}
@@ -164,17 +165,17 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                 slices.setdefault(file, []).append((seq, key, ts, file, start, size))
         # blocks of a run may arrive in any order; its own sequence restores them, without comparing keys
         ordered = [iter([x[1:] for x in sorted(v, key=lambda x: x[0])]) for _, v in sorted(slices.items())]
-        held = []
-        for key, ts, file, start, size in LoserTree(ordered):
-            held.append((key, ts, len(held), file, start, size))
+        held, part = [], TaskContext.get().partitionId()
+        for seq, (key, ts, file, start, size) in enumerate(LoserTree(ordered)):
+            held.append((part, key, ts, seq, file, start, size))
             if len(held) >= 10_000:
-                yield P.batch(_INDEX, *map(list, zip(*held, strict=True)))
+                yield P.batch(merged, *map(list, zip(*held, strict=True)))
                 held = []
         if held:
-            yield P.batch(_INDEX, *map(list, zip(*held, strict=True)))
+            yield P.batch(merged, *map(list, zip(*held, strict=True)))
 
     # equal keys may be many: the time and place divide them
-    return runs.repartitionByRange(P.partitions(runs.sparkSession), "key", "ts", "start").mapInArrow(run, _INDEX_DDL)
+    return runs.repartitionByRange(P.partitions(runs.sparkSession), "key", "ts", "start").mapInArrow(run, "part long, " + _INDEX_DDL)
 
 
 def read_archives(index: DataFrame, folder: str, ddl: str, schema: pa.Schema, make: Callable[[dict[str, str], dict[str, str], bytes], tuple]) -> DataFrame:
@@ -225,8 +226,3 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, Dat
     index, _ = cut_at(merge_runs(runs), "index")
     back = read_archives(index, folder, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", _PAGE, _page)
     return back, index, folder
-
-
-def histories_in_order(index: np.ndarray) -> bool:
-    """Whether keys and times of an index read in order never fall (for tests)."""
-    return all(a <= b for a, b in zip(index, index[1:], strict=False))
