@@ -34,7 +34,7 @@ PIVOT_ROUNDS = 2
 #: Regions of at most so many documents give all their pairs.
 FEW = 4
 #: Pivots taken in a region in a round, and documents tried for each; the exhaustive join that follows has no such bound.
-PIVOTS_EACH, PIVOTS_TRIED = 3, 12
+PIVOTS_EACH, PIVOTS_TRIED = 1, 12
 #: Parity bits of a set: the next power of two of its size, within these bounds.
 BITS_LEAST, BITS_MOST = 64, 8192
 _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
@@ -329,11 +329,14 @@ def _join_region(t, pivots):
                 for _ in range(PIVOTS_EACH):
                     if len(left) < 2:
                         break
-                    # candidates for the pivot are spread over the sizes; the one that most may link to is taken
-                    some = left[np.linspace(0, len(left) - 1, min(len(left), PIVOTS_TRIED)).astype(int)]
+                    # candidates are spread over the sizes, and those with the smallest identities; of those that enough others
+                    # may link to the smallest identity is taken, so that a group's many regions choose the same few pivots
+                    some = left[np.unique(np.r_[np.linspace(0, len(left) - 1, min(len(left), PIVOTS_TRIED)).astype(int), np.argsort(sid[left])[: 2 * PIVOTS_TRIED]])]
                     i, j = np.repeat(some, len(left)), np.tile(left, len(some))
                     ok = may_link(i, j).reshape(len(some), len(left))
-                    best = int(ok.sum(axis=1).argmax())
+                    able = ok.sum(axis=1)
+                    good = np.flatnonzero(able >= 0.6 * able.max())
+                    best = int(good[np.argmin(sid[some[good]])])
                     if not ok[best].any():
                         break
                     keep(np.full(int(ok[best].sum()), some[best]), left[ok[best]])
