@@ -61,7 +61,12 @@ class WordBpe:
         self.first = [self.vocab.get(c) for c in self.letters]
         self.last = [self.vocab.get(c + self.end) for c in self.letters]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.known: dict[str, tuple[int, str, str]] = {w: (1, str(i), w) for w, i in self.special.items()}
+        self.known: dict[str, tuple[int, str, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words encoded so far."""
+        self.known = {w: (1, str(i), w) for w, i in self.special.items()}
 
     def words(self, text: str) -> list[str]:
         """Words of a whole text in order; the strings of special tokens are words of their own."""
@@ -211,6 +216,12 @@ def _run(docs, tokenizer, keep, text_col, fields, form):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
+        try:
+            yield from encoded(bpe, it)
+        finally:  # a worker lives on after its task, and other operators need its memory
+            bpe.forget()
+
+    def encoded(bpe: WordBpe, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             at = 0
             for texts in _groups([t or "" for t in P.raws(b, "text")]):

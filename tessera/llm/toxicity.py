@@ -289,10 +289,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("d
     delete(spark, mpath)
     texts, toxic = [(r["text"] or "").encode() for r in rows], np.array([r["toxic"] for r in rows], np.int64)
     weight = np.ones(len(rows))
+    del rows
     for c in (0, 1):
         if (toxic == c).any():
             weight[toxic == c] = total.get(c, 0) / (toxic == c).sum()
-    model = spark.sparkContext.broadcast(fit(texts, toxic, weight / max(weight.mean(), 1e-9)) if len(rows) else None)
+    model = spark.sparkContext.broadcast(fit(texts, toxic, weight / max(weight.mean(), 1e-9)) if len(texts) else None)
 
     names = [f"k{i}" for i in range(len(keep))]
     src = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.coalesce(remainder == 1, F.lit(True)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
