@@ -16,6 +16,9 @@ from tessera.plans.lineage import cut
 #: Columns of documents; any others are dropped.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Repeated passages of so many words are cut out.
+WORDS = 51
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that repeat are cut out; a character that a cut divides goes with it. Every document keeps its row, its text empty if nothing is left."""
-    out = remove_repeats(docs, keep=COLUMNS)
+    """Passages of over 50 words that repeat are cut out, as are those of 400 bytes or more; a character that a cut divides goes with it. Every document keeps its row, its text empty if nothing is left."""
+    out = remove_repeats(docs, keep=COLUMNS, words=WORDS)
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
     out = out.withColumn("text", F.when(F.size("spans") > 0, left).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

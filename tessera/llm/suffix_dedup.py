@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ OUTSIDE = 0xFF
 #: Texts beyond this many bytes are cut into stretches that overlap by a window less one byte.
 LONG = 4 << 20
 SHARD_ROWS, MERGE_ROWS = 8_000, 20_000
+#: Letters that stand for a word where words are compared, six bits of its hash each.
+CODE = 8
 _POS = U((1 << 24) - 1)
 
 
@@ -84,6 +87,27 @@ def _pieces_of(data, off, length, gram):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)] * 2
 
 
+def word_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(data, off, start, end)``: texts with CODE letters for each word and nothing between, and where in its text each word stands."""
+    shift = np.arange(CODE, dtype=U) * U(6)
+    codes, count, start, end = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in X.chunks(off):
+        d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        s, e, row = X.word_spans(d, o)
+        h = X.stretch(X.prefix_hash(d), s, e)
+        codes.append((((h[:, None] >> shift) & U(63)).astype(np.uint8) + np.uint8(48)).ravel())
+        count.append(np.bincount(row, minlength=j - i))
+        start.append(s - o[row])
+        end.append(e - o[row])
+    return np.concatenate(codes), np.r_[0, np.cumsum(np.concatenate(count))].astype(np.int64) * CODE, np.concatenate(start), np.concatenate(end)
+
+
+def _column(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a batch, or their words' codes."""
+    got = X.column(batch, "text")
+    return word_codes(*got)[:2] if words else got
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by the keys (first one first), and in it where each group begins."""
     at = np.lexsort(keys[::-1])
@@ -117,13 +141,13 @@ def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[i], end[np.r_[i[1:] - 1, len(start) - 1]] if len(i) else end[:0]
 
 
-def _cut_pieces(length, gram, buckets):
+def _cut_pieces(length, gram, buckets, words=False):
     """Blocks of pieces by anchor. Equal pieces of a batch are repeats already: their stretches go out, and one of them stays."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rk = P.ints(batch, "rk")
-            row, a, b, p, h, content = _pieces_of(*X.column(batch, "text"), length, gram)
+            row, a, b, p, h, content = _pieces_of(*_column(batch, words), length, gram)
             if not len(row):
                 continue
             at, first = _groups(h, content)
@@ -241,13 +265,13 @@ def merge(shards: Sequence[np.ndarray], groups: Sequence[np.ndarray], length: in
     return marked
 
 
-def _shards(length, gram, buckets):
+def _shards(length, gram, buckets, words=False):
     """Transforms of the wanted pieces of a task, in blocks by anchor."""
     left = length - gram
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            data, off = X.column(batch, "text")
+            data, off = _column(batch, words)
             keys, wanted = P.ints(batch, "rk"), P.raws(batch, "wanted")
             held: list[tuple] = []
             for r, blocks in enumerate(wanted):
@@ -306,9 +330,44 @@ def _merge_shards(length, gram):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", length: int = 400, gram: int = 128) -> DataFrame:
+def _find(plain: DataFrame, n: int, length: int, gram: int, words: bool) -> tuple[DataFrame, tuple[str, str]]:
+    """``(rk, block, words)``: the repeated stretches of each text, in bytes or in letters of its words' codes, and the files they are in."""
+    spark = plain.sparkSession
+    found, fpath = cut_at(P.gather(plain.mapInArrow(_cut_pieces(length, gram, n, words), P.BLOCK_DDL), _compare_pieces(length), _FOUND_DDL), "pieces")
+
+    wanted = found.where(F.col("kind") == WANTED)
+    bm = spark.sparkContext.broadcast(P.bitmap(wanted, "rk"))
+
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in it:
+            rk = P.ints(b, "rk")
+            at = [i for i in np.flatnonzero(P.hits(bm.value, rk)) if int(rk[i]) not in seen and not seen.add(int(rk[i]))]
+            if at:
+                yield b.take(pa.array(at))
+
+    sources = plain.mapInArrow(pick, plain.schema).join(wanted.groupBy("rk").agg(F.collect_list("block").alias("wanted")), "rk")
+    merged, mpath = cut_at(P.gather(sources.mapInArrow(_shards(length, gram, n, words), P.BLOCK_DDL), _merge_shards(length, gram), _FOUND_DDL), "merged")
+    return found.where(F.col("kind") == SPANS).union(merged).select("rk", "block", F.lit(words).alias("words")), (fpath, mpath)
+
+
+def _of_words(raw: Sequence[bytes], text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a text's codes as bytes of the text. A code of which a stretch has a part only is not one of its words."""
+    got = [P.unpack(x) for x in raw]
+    s, e = joined(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+    s, e = -(-s // CODE), e // CODE
+    ok = e - s >= words
+    _, _, start, end = word_codes(text, np.array([0, len(text)]))
+    return start[s[ok]], end[e[ok] - 1]
+
+
+def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", length: int = 400, gram: int = 128, words: int | None = None) -> DataFrame:
     """The rows of ``docs`` without the bytes of strings of ``length`` bytes that start anywhere else too.
 
+    With ``words``, passages of that many words (of other than white space) that stand anywhere else too go as well, from their
+    first byte to their last, however short they are and whatever white space is between the words; both are judged on the input.
+    White space between two words that go goes too. Words are then told apart by 48-bit hashes, passages by all of their words.
+
     Returns the columns of ``keep`` and ``n_bytes`` (of the whole text as UTF-8), ``spans`` (removed stretches as
     ``start`` and ``end``, disjoint and in order, none touching another) and ``kept`` (remaining bytes as binary, which may break a
     character at a removed edge). A byte goes if any ``length``-byte string over it also starts elsewhere, in the same
@@ -324,25 +383,10 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     keyed = docs.select(*kept, F.col(text_col).cast("string").alias("text")).withColumn("rk", F.xxhash64("text"))
     plain = keyed.select("rk", "text")
-    found, fpath = cut_at(P.gather(plain.mapInArrow(_cut_pieces(length, gram, n), P.BLOCK_DDL), _compare_pieces(length), _FOUND_DDL), "pieces")
-
-    wanted = found.where(F.col("kind") == WANTED)
-    bm = spark.sparkContext.broadcast(P.bitmap(wanted, "rk"))
-
-    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in it:
-            rk = P.ints(b, "rk")
-            at = [i for i in np.flatnonzero(P.hits(bm.value, rk)) if int(rk[i]) not in seen and not seen.add(int(rk[i]))]
-            if at:
-                yield b.take(pa.array(at))
-
-    sources = plain.mapInArrow(pick, plain.schema).join(wanted.groupBy("rk").agg(F.collect_list("block").alias("wanted")), "rk")
-    merged, mpath = cut_at(P.gather(sources.mapInArrow(_shards(length, gram, n), P.BLOCK_DDL), _merge_shards(length, gram), _FOUND_DDL), "merged")
-
-    spans = found.where(F.col("kind") == SPANS).union(merged).groupBy("rk").agg(F.collect_list("block").alias("blocks"))
+    got, paths = zip(*(_find(plain, n, *how) for how in [(length, gram, False), *([(words * CODE, min(gram, words * CODE), True)] if words else [])]), strict=True)
+    spans = reduce(DataFrame.union, got).groupBy("rk").agg(F.collect_list(F.when(~F.col("words"), F.col("block"))).alias("blocks"), F.collect_list(F.when(F.col("words"), F.col("block"))).alias("coded"))
     spans, _ = cut_at(spans, "spans")
-    delete(spark, fpath, mpath)
+    delete(spark, *(p for x in paths for p in x))
     sm = spark.sparkContext.broadcast(P.bitmap(spans, "rk"))
 
     def split(hit: bool):
@@ -365,17 +409,17 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
         struct = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for b in it:
             data, off = X.column(b, "text")
-            sizes, cut, left = [], [], []
+            sizes, cut, left, coded = [], [], [], P.raws(b, "coded")
             for r, raw in enumerate(P.raws(b, "blocks")):
                 d = data[off[r] : off[r + 1]]
-                got = [P.unpack(x) for x in raw or []]
+                got = [P.unpack(x) for x in raw or []] + ([_of_words(coded[r], d, words)] if coded[r] else [])
                 s, e = joined(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (off[:0], off[:0])
                 sizes.append(len(d))
                 cut.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
                 left.append(b"".join(d[x:y].tobytes() for x, y in zip([0, *e], [*s, len(d)], strict=True)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(struct)), pa.array(left, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
-    some = split(True).join(spans, "rk", "left").select(*names, "text", "blocks").mapInArrow(erase, out_ddl)
+    some = split(True).join(spans, "rk", "left").select(*names, "text", "blocks", "coded").mapInArrow(erase, out_ddl)
     out = whole.unionByName(some)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "spans", "kept")
 

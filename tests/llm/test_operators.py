@@ -114,6 +114,44 @@ def test_remove_repeats(spark):
     assert remove_repeats(table(spark, rows).limit(0)).collect() == []
 
 
+def repeated_words(texts, n, length=400):
+    """Brute force: what is left of each text without its words in any run of n that stands elsewhere too, and without repeats of bytes."""
+    at = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    raw = [(t or "").encode() for t in texts]
+    runs = collections.Counter(tuple(x[2] for x in w[i : i + n]) for w in at for i in range(len(w) - n + 1))
+    strings = collections.Counter(d[i : i + length] for d in raw for i in range(len(d) - length + 1))
+    out = []
+    for w, d in zip(at, raw, strict=True):
+        gone, hit = bytearray(len(d)), set()
+        for i in range(len(w) - n + 1):
+            if runs[tuple(x[2] for x in w[i : i + n])] > 1:
+                hit.update(range(i, i + n))
+        for i in hit:
+            a, b = w[i][0], w[i + 1][0] if i + 1 in hit else w[i][1]
+            gone[a:b] = b"\1" * (b - a)
+        for i in range(len(d) - length + 1):
+            if strings[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append(bytes(c for c, g in zip(d, gone, strict=True) if not g))
+    return out
+
+
+def test_remove_repeated_words(spark):
+    rnd = random.Random(8)
+    base = [words(rnd, rnd.randrange(20, 300)) for _ in range(20)] + [" ".join(rnd.choice("abcdefgh") for _ in range(200)) for _ in range(10)]
+    texts = [*base, None, "", "a " * 50, "b " * 51, "c " * 52, "d " * 700, "漢字" * 90, "vor 漢字" * 90 + "x", "漢字" * 90]
+    for i in range(60):
+        a, b = rnd.choice(base).split(), rnd.choice(base).split()
+        x, y, n = rnd.randrange(len(a)), rnd.randrange(len(b)), rnd.choice([30, 49, 50, 51, 52, 80])
+        texts.append((" \n" if i % 7 == 0 else " ").join(b[:y] + ["é"] + a[x : x + n] + b[y:]))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(table(spark, rows), words=51).collect()}
+    want = repeated_words(texts, 51)
+    assert [got[i] for i, _ in rows] == want
+    assert want != repeated_words(texts, 10**6)
+    assert remove_repeats(table(spark, rows).limit(0), words=51).collect() == []
+
+
 def test_order_round_trip(spark):
     PT = pytest.importorskip("public_tokenizers")
     for n in (1, 2, 3, 5, 16, 17, 1000, 4097):

@@ -38,6 +38,19 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in got.select("doc_id", "n_tokens").collect()} == {d: r["n_tokens"] for d, r in seen["bpe"].items()}
 
 
+def test_repeats_of_over_50_short_words_go(spark):
+    rnd = random.Random(12)
+    short = lambda n: " ".join(rnd.choice("abcdefghijkl") for _ in range(n))
+    long, fifty = short(51), short(50)
+    rows = [(1, words(rnd, 60) + " " + long), (2, long + " " + words(rnd, 60)), (3, words(rnd, 60) + " " + fifty), (4, fifty + " " + words(rnd, 60)), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
+    texts = dict(rows)
+    assert len(long.encode()) == 101 and [got[d]["text"] for d in (1, 2)] == [texts[1][:-101], texts[2][101:]]
+    assert got[1]["n_chars"] == len(got[1]["text"])
+    assert [got[d]["text"] for d in (3, 4, None)] == [texts[3], texts[4], None]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_takes_an_empty_table(spark, tmp_path, name):
     spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
