@@ -57,15 +57,22 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 #: Each known sentence holds one of these, so that texts without any need no splitting.
 HINTS = ("licen", "permi", "copyright", "redistribut", "warrant", "rights")
-#: Where sentences end, and what normalising makes a blank of.
+#: Where sentences end in the SQL, which knows those on one line only, and what normalising makes a blank of.
 ENDS, OTHER = r"\n|[.?;]+[^\p{L}\p{N}]+|[.?;]+\z", r"[^\p{L}\p{N}]+"
 
+#: Where a known sentence may begin or end; it may also run on over any of these, as texts are wrapped.
+EDGES = r"(?:\n|[.?;:]+(?:[^\p{L}\p{N}]|\z))[^\p{L}\p{N}]*"
+
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     low = F.lower(text)
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    ids = F.filter(F.transform(F.split(low, ENDS), lambda s: F.element_at(known, F.trim(F.regexp_replace(s, OTHER, " ")))), lambda i: i.isNotNull())
+    # words with a blank between, or a line end where there is an edge; the longer sentences are tried first
+    flat = F.trim(F.regexp_replace(F.regexp_replace(low, EDGES, "\n"), r"[^\p{L}\p{N}\n]+", " "))
+    flat = F.concat(F.lit("\n"), F.replace(flat, F.lit(" \n"), F.lit("\n")), F.lit("\n"))
+    any_of = "|".join(s.replace(" ", r"[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    ids = F.transform(F.regexp_extract_all(flat, F.lit(rf"(?<=\n)(?:{any_of})(?=\n)"), F.lit(0)), lambda s: F.element_at(known, F.translate(s, "\n", " ")))
     hint = F.lit(False)
     for h in HINTS:
         hint = hint | F.contains(low, F.lit(h))
@@ -75,8 +82,8 @@ def sentence_ids(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` with ``sentence_ids``, ``rules`` and ``licenses`` (arrays of strings) of every row.
 
-    A text is split where a sentence or a line ends, each sentence is normalised and looked up, and the identifiers
-    that are found, in order, are matched against the rules: a rule holds if its identifiers follow one another with
+    Known sentences are looked for in the normalised text. They begin and end where a sentence, a clause or a line does, and may be
+    wrapped over lines, with comment marks or blank lines between. The identifiers that are found, in order, are matched against the rules: a rule holds if its identifiers follow one another with
     no other known sentence between. ``rules`` and ``licenses`` are in the order of RULES, each licence once. Null and empty texts have none;
     rows are handled one by one, so that repeats, null ids and an empty table need no rule.
     """

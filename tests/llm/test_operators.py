@@ -209,6 +209,55 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_wrapped_over_lines(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    gpl = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    want = [(mit, ["mit-text"]), (bsd, ["bsd-conditions"]), (gpl.format(":", ",", 3), ["gpl-3-text", "gpl-3-grant"]), (gpl.format(";", ";", 2), ["gpl-2-text", "gpl-2-grant"]), (apache, ["apache-2.0-header", "apache-2.0-terms", "apache-2.0-notice-long"])]
+    # on a single line nothing ends the Apache header's address
+    forms = [lambda t: "Title\n\n" + t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;", lambda t: "".join(f"# {x}\r\n" for x in t.split("\n")), lambda t: " ".join(t.split())]
+    cases = [(f(t), rules) for t, rules in want for f in (forms if t != apache else forms[:3])] + [("not all rights reserved", []), ("all rights\nreserved by none", []), ("x: all rights\nreserved", ["all-rights-reserved"])]
+    got = {r["doc_id"]: list(r["rules"]) for r in licenses.scan_licenses(table(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [rules for _, rules in cases]
+
+
 def test_bpe_matches_the_library(spark):
     PT = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
