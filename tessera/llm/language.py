@@ -6,10 +6,11 @@ import html
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import packed as P
@@ -17,8 +18,8 @@ from tessera.llm import text as X
 from tessera.plans.lineage import cut_at, delete
 
 U = X.U
-#: Labelled texts of each language that the likelihoods are learned from at most, in order of a hash of their ids, and languages at most.
-TEXTS_EACH, LANGUAGES_MOST = 400, 64
+#: Labelled texts of each language that the likelihoods are learned from at most, in order of a hash of their ids.
+TEXTS_EACH = 400
 GRAM_BITS = 14
 #: Trigrams of a text depend on each other: they count as so many independent ones at most.
 EFFECTIVE = 30.0
@@ -83,17 +84,16 @@ def learn(texts: Sequence[str], languages: Sequence[str]) -> Likelihood:
 
 
 def learn_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Likelihood:
-    """Trigram likelihoods of each language from a bounded sample of labelled texts."""
+    """Trigram likelihoods of every language that labels a text, each from a bounded sample of its texts; the driver holds one language's texts at a time beside the table."""
     ids = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l")).where("i is not null and l is not null")
-    names = [r[0] for r in ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES_MOST).collect()]
-    if not names:
-        return Likelihood([], np.zeros((0, 1 << GRAM_BITS)))
-    some = None
-    for name in names:
-        one = ids.where(F.col("l") == name).orderBy(F.xxhash64("i"), "i").limit(TEXTS_EACH)
-        some = one if some is None else some.union(one)
-    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).join(F.broadcast(some.select("i").distinct()), "i").where("t is not null and l is not null").orderBy("l", "i", "t").collect()
-    return learn([r["t"] for r in got], [r["l"] for r in got])
+    first = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    some = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TEXTS_EACH)
+    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).join(F.broadcast(some.select("i").distinct()), "i").where("t is not null and l is not null").orderBy("l", "i", "t")
+    parts = []
+    for name, rows in groupby(got.toLocalIterator(), lambda r: r["l"]):
+        texts = [r["t"] for r in rows]
+        parts.append(learn(texts, [name] * len(texts)))
+    return Likelihood([x for p in parts for x in p.languages], np.concatenate([np.zeros((0, 1 << GRAM_BITS)), *(p.table for p in parts)]))
 
 
 def _host(url: Column) -> Column:

@@ -346,6 +346,19 @@ def test_language(spark):
     assert {r["lang"] for r in none} == {None}
 
 
+def test_language_of_more_than_64(spark):
+    rows = []
+    for k in range(70):
+        rnd = random.Random(k)
+        own = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rnd.choice(own) for _ in range(40)), f"l{k:02d}") for i in range(3 if k < 66 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    model = language.learn_likelihood(docs)
+    assert model.languages == [f"l{k:02d}" for k in range(70)]
+    got = {r["doc_id"]: r["lang"] for r in language.identify(None, docs.where("doc_id >= 6400"), model).collect()}
+    assert got == {d: x for d, _, x in rows if d >= 6400}
+
+
 def test_archives(spark):
     big = "<p>é" + "x" * 1200 + "</p>"
     rows = [(1, "http://www.b.example/2", big), (2, "http://a.example/1?q=1#f", big), (9, "http://a.example/1?q=1", big), (9, "http://a.example/1?q=1", big), (None, "http://a.example/\n1", big), (3, None, None), (4, "x", "small"), (5, "y", "small"), (None, "z", "n" * 1000), (6, "http://b.example:8080/", "")]
