@@ -212,3 +212,13 @@ def test_configuration():
     for bad in ({"budget": 2}, {"answer": True}, {"scope": "web", "filtered": True}, {"scope": "local", "compare": True}):
         with pytest.raises(InvalidRequest):
             validate(**bad)
+
+
+def test_entry_scores_whole_queries(monkeypatch):
+    import __spark_entry__ as E
+
+    asked = {}
+    monkeypatch.setattr(E.catalog, "table", lambda *_: type("T", (), {"selectExpr": lambda self, *a: self})())
+    monkeypatch.setattr(E, "search", lambda *a, **k: asked.update(k) or [None])
+    E.entry(None)
+    assert asked.get("most_terms") is None
