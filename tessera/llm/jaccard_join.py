@@ -1,17 +1,20 @@
-"""Exact Jaccard join of documents on word shingles, by pivots and their regions.
-
-``1 - J`` is a metric, but nearly all distances in a corpus are exactly 1, so that a few pivots would separate
-nothing. Regions are therefore fine: the shingles' hash space is cut into so many parts that two sets that link,
-which differ in at most ``e`` shingles, must agree entirely on one (more parts than ``e``, parts without shingles
-discounted), and a document is replicated to the region of each of its parts' contents.
-
-A region of a few documents gives its pairs. A larger one takes as *pivot* the document that most others may link
-to, under the size window and a parity bitmap whose Hamming distance is a lower bound of the number of differing shingles;
-documents that may link to the pivot are its cell, the others are divided again, and so on. Distances to pivots are computed
-exactly; linked documents become one *class*, so that a group of near copies costs a few distances per
-member, not one per pair. After two such rounds regions are joined exhaustively, but between classes only; the triangle
-inequality on known pivot distances (``|d(x,p) - d(y,p)| > r``) excludes more pairs, and those left are verified on whole sets. None of
-the bounds loses a link.
+"""Exact Jaccard join of documents on word shingles: pivots, their Voronoi cells, windows at the borders, recursion.
+
+``1 - J`` is a metric, but nearly all distances in a corpus are exactly 1: cells of a few pivots over a whole corpus would
+each hold everything, as windows of the triangle inequality exclude nothing between equal distances. So the space is first cut
+into *regions* in which distances differ: the shingles' hash space has so many parts that two sets that link, which differ in at
+most ``e`` shingles, agree entirely on one (more parts than ``e``, parts without shingles discounted), and a set is
+replicated to the region of each of its parts' contents.
+
+Within a region the join is by pivots. Its metric is the Hamming distance of parity bitmaps, never more than the number of shingles
+in which two sets differ. A set belongs to the cell of its nearest pivot and is replicated to each cell whose pivot is at most
+``2 e`` further away than that; cells are divided again by pivots of their own until they are small or no longer divide. In a cell
+the sets are ordered by distance to its pivot, and only those whose distances differ by ``e`` at most are compared (the triangle
+inequality again). What the bitmaps leave is verified on whole sets.
+
+Linked sets become one *class*, and only sets of different classes are compared, so that a group of near copies costs a few
+distances for each member: at first each region gives its members' links to one pivot, and a cell with many more open pairs than members
+gives links to a few pivots and is joined again once its classes are contracted. None of this loses a link.
 """
 
 from __future__ import annotations
@@ -29,18 +32,20 @@ from tessera.operators.components import connected_components
 from tessera.plans.lineage import cut_at, delete
 
 U = X.U
-#: Rounds that link members of large regions to pivots before what is left is joined exhaustively.
-PIVOT_ROUNDS = 2
-#: Regions of at most so many documents give all their pairs.
-FEW = 4
-#: Pivots taken in a region in a round, and documents tried for each; the exhaustive join that follows has no such bound.
-PIVOTS_EACH, PIVOTS_TRIED = 1, 12
-#: Parity bits of a set: the next power of two of its size, within these bounds.
-BITS_LEAST, BITS_MOST = 64, 8192
+#: Rounds in which crowded cells may give links to pivots only; in the one after them every cell gives all its open pairs.
+PIVOT_ROUNDS = 4
+#: Regions of at most so many sets give all their pairs at once; cells of at most so many are not divided.
+FEW, SMALL = 4, 64
+#: Pivots that divide a cell, and in a crowded cell pivots that sets are linked to and sets tried for each.
+PIVOTS, COVERS, TRIED = 8, 4, 12
+#: A cell with more open pairs than this many times its members is crowded.
+CROWD = 4
+#: Parity bits of a set: the next power of two of so many times its size, within these bounds.
+BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 65536
 _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
-PAIR, MEMBER = 1, 2
-_REGION = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sigs", pa.binary())])
-_REGION_DDL = "kind int, bucket int, a long, b long, sigs binary"
+PAIR, MEMBER, CROWDED = 1, 2, 3
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sigs", pa.binary())])
+_FOUND_DDL = "kind int, a long, b long, sigs binary"
 _AB = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -59,7 +64,9 @@ def _identity(n, first, h):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("rk", F.xxhash64("text"))
+    """Ids and texts, with a hash of both; of equal sets the row with the smallest one stands for all."""
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return out.withColumn("rk", F.xxhash64("text", "doc_id"))
 
 
 def _stats(k):
@@ -79,7 +86,7 @@ def _stats(k):
 
 
 def width_of(n: int) -> int:
-    return min(max(1 << max(n - 1, 0).bit_length(), BITS_LEAST), BITS_MOST)
+    return min(max(1 << max(BITS_EACH * n - 1, 0).bit_length(), BITS_LEAST), BITS_MOST)
 
 
 def parity(h: np.ndarray) -> bytes:
@@ -87,7 +94,8 @@ def parity(h: np.ndarray) -> bytes:
     if not len(h):
         return b""
     w = width_of(len(h))
-    return np.packbits((np.bincount((h >> U(13)).astype(np.int64) & (w - 1), minlength=w) & 1).astype(np.uint8), bitorder="little").tobytes()
+    odd = np.bincount((h >> U(13)).astype(np.int64) & (w - 1), minlength=w) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def size_class(n: np.ndarray, t: int) -> np.ndarray:
@@ -141,7 +149,7 @@ def signatures(n: np.ndarray, first: np.ndarray, row: np.ndarray, h: np.ndarray,
 
 
 def _regions(k, t, buckets):
-    """Blocks of sets and their signatures, each set once per batch."""
+    """Blocks of signatures with their sets, each set once for each batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -157,33 +165,26 @@ def _regions(k, t, buckets):
                     continue
                 m = np.where(new, n, 0)
                 who, sig = signatures(m, np.cumsum(m) - m, row[keep], h[keep], t)
-                for bucket, at in P.by_bucket(sig >> U(8), buckets):
-                    d, ix = np.unique(who[at], return_inverse=True)
-                    rows.append((bucket, P.pack(ids[d], n[d].astype(np.int64), sig[at], ix.astype(np.uint32))))
+                rows += [(bucket, P.pack(sig[at], ids[who[at]])) for bucket, at in P.by_bucket(sig >> U(8), buckets)]
             if rows:
                 yield P.blocks(rows)
 
     return run
 
 
-def _pairs_within(start: np.ndarray, end: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i < j of all pairs within stretches, a bounded number at a time."""
-    cnt = np.repeat(end, end - start) - np.concatenate([np.arange(a, z) for a, z in zip(start, end, strict=True)]) - 1 if len(start) else np.zeros(0, np.int64)
-    pos = np.concatenate([np.arange(a, z) for a, z in zip(start, end, strict=True)]) if len(start) else cnt
+def _ranges(low: np.ndarray, high: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(i, j)`` for all j from low[i] up to high[i], a bounded number at a time."""
+    cnt = np.maximum(high - low, 0)
     total = np.concatenate([[0], np.cumsum(cnt)])
     x = 0
-    while x < len(pos):
+    while x < len(cnt):
         y = max(int(np.searchsorted(total, total[x] + most, "right")) - 1, x + 1)
         c = cnt[x:y]
-        i = np.repeat(pos[x:y], c)
-        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        i = np.repeat(np.arange(x, y), c)
+        yield i, low[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         x = y
 
 
-def _fits(na: np.ndarray, nb: np.ndarray, t: int) -> np.ndarray:
-    return np.minimum(na, nb) * 100 >= t * np.maximum(na, nb)
-
-
 def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distinct pairs, each with the smaller one first."""
     x = np.stack([np.minimum(a, b), np.maximum(a, b)])
@@ -191,63 +192,74 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x[:, np.r_[True, (x[:, 1:] != x[:, :-1]).any(axis=0)]] if x.shape[1] else x
 
 
-def _meet(t):
-    """In each region: pairs if it has few sets, else its members with their signatures there."""
+def _pairs(x: np.ndarray) -> pa.RecordBatch:
+    n = x.shape[1]
+    return P.batch(_FOUND, np.full(n, PAIR), x[0], x[1], pa.nulls(n, pa.binary()))
+
+
+def _members(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+    """Each set with its signatures among these."""
+    at = np.argsort(sid, kind="stable")
+    sig, sid = sig[at], sid[at]
+    edge = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    sigs = [sig[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(sig)], strict=True)]
+    return P.batch(_FOUND, np.full(len(edge), MEMBER), sid[edge], np.zeros(len(edge), np.int64), sigs)
+
+
+def _stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    return start, np.r_[start[1:], len(x)][: len(start)]
+
+
+def _meet():
+    """In each region all pairs if it has few sets, else its members and their pairs with one pivot.
+
+    The pivot is the set with the smallest identity, so that a group's many regions choose the same one.
+    """
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [P.unpack(x) for x in raw]
-        base = np.cumsum([0, *(len(p[0]) for p in parts)])
-        sid, size = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        sig = np.concatenate([p[2] for p in parts])
-        doc = np.concatenate([p[3].astype(np.int64) + o for p, o in zip(parts, base, strict=False)])
+        sig, sid = (np.concatenate([p[i] for p in parts]) for i in range(2))
         del parts
         at = np.argsort(sig)
-        sig = sig[at]
-        same = np.r_[False, sig[1:] == sig[:-1]]
-        keep = same | np.r_[same[1:], False]
-        at, sig = at[keep], sig[keep]
-        doc = doc[at]
-        at = np.lexsort((sid[doc], sig))  # a set that came from several tasks counts once
-        sig, doc = sig[at], doc[at]
-        keep = np.r_[True, (sig[1:] != sig[:-1]) | (sid[doc[1:]] != sid[doc[:-1]])] if len(sig) else np.zeros(0, bool)
-        sig, doc = sig[keep], doc[keep]
-        if not len(sig):
-            return
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        end = np.r_[start[1:], len(sig)]
-        few = (end - start > 1) & (end - start <= FEW)
-        found = [np.zeros((2, 0), np.int64)]
-        for i, j in _pairs_within(start[few], end[few]):
-            ok = _fits(size[doc[i]], size[doc[j]], t)
-            found.append(_ordered(sid[doc[i[ok]]], sid[doc[j[ok]]]))
+        same = np.r_[False, sig[at][1:] == sig[at][:-1]]
+        at = at[same | np.r_[same[1:], False]]
+        at = at[np.lexsort((sid[at], sig[at]))]
+        sig, sid = sig[at], sid[at]
+        keep = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])][: len(sig)]  # a set that came from several tasks counts once
+        sig, sid = sig[keep], sid[keep]
+        start, end = _stretches(sig)
+        size = end - start
+        many = np.repeat(size > FEW, size)
+        last = np.repeat(np.where(size > FEW, 0, end), size)  # in large regions, only the first one has partners
+        last[start] = end
+        found = [np.zeros((2, 0), np.int64), *(_ordered(sid[i], sid[j]) for i, j in _ranges(np.arange(len(sid)) + 1, last, 1_000_000))]
         pairs = _ordered(*np.concatenate(found, axis=1))
         if pairs.shape[1]:
-            n = pairs.shape[1]
-            yield P.batch(_REGION, np.full(n, PAIR), np.zeros(n, np.int32), pairs[0], pairs[1], pa.nulls(n, pa.binary()))
-        many = np.repeat(end - start > FEW, end - start)
-        sig, doc = sig[many], sid[doc[many]]
-        if len(sig):
-            at = np.argsort(doc, kind="stable")
-            sig, doc = sig[at], doc[at]
-            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            yield P.batch(_REGION, np.full(len(edge), MEMBER), np.zeros(len(edge), np.int32), doc[edge], np.zeros(len(edge), np.int64), [sig[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(sig)], strict=True)])
+            yield _pairs(pairs)
+        if many.any():
+            yield _members(sig[many], sid[many])
 
     return run
 
 
-def _deal_members(buckets):
-    """Members with class, size and bitmap, dealt out by signature again."""
+def _deal_members(buckets, regions):
+    """Members with class, size and bitmap, dealt out by signature again: by all of them, or by those in a broadcast bitmap."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sid, comp, n = P.ints(b, "setid"), P.ints(b, "comp"), P.ints(b, "n")
-            sigs, bits = P.raws(b, "sigs"), P.raws(b, "bits")
+            sigs, bits = [b"".join(x) for x in P.raws(b, "sigs")], P.raws(b, "bits")
             sig = np.frombuffer(b"".join(sigs), U)
             doc = np.repeat(np.arange(len(sid)), [len(x) >> 3 for x in sigs])
+            if regions is not None:
+                keep = P.hits(regions.value, X.signed(sig))
+                sig, doc = sig[keep], doc[keep]
             rows = []
             for bucket, at in P.by_bucket(sig >> U(8), buckets):
                 d, ix = np.unique(doc[at], return_inverse=True)
-                rows.append((bucket, P.pack(sid[d], comp[d], n[d], sig[at], ix.astype(np.uint32), np.frombuffer(b"".join(bits[x] for x in d), np.uint8))))
+                maps = np.frombuffer(b"".join(bits[x] for x in d), np.uint8)
+                rows.append((bucket, P.pack(sid[d], comp[d], n[d], sig[at], ix.astype(np.uint32), maps)))
             if rows:
                 yield P.blocks(rows)
 
@@ -262,15 +274,16 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _near_enough(t):
-    """Pairs whose bitmaps allow a link."""
+    """Pairs whose sizes and bitmaps allow a link."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            a, z = P.ints(b, "a"), P.ints(b, "b")
-            most = (P.ints(b, "na") + P.ints(b, "nb")) * (100 - t) // (100 + t)
-            good = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(P.raws(b, "xa"), P.raws(b, "xb"), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            a, z, na, nz = (P.ints(b, c) for c in ("a", "b", "na", "nb"))
+            good = np.minimum(na, nz) * 100 >= t * np.maximum(na, nz)
+            most = (na + nz) * (100 - t) // (100 + t)
+            xa, xb = b.column(b.schema.get_field_index("xa")), b.column(b.schema.get_field_index("xb"))
+            for i in np.flatnonzero(good).tolist():
+                x, y = np.frombuffer(xa[i].as_buffer(), np.uint64), np.frombuffer(xb[i].as_buffer(), np.uint64)
                 w = min(len(x), len(y))
                 good[i] = np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum() <= most[i]
             if good.any():
@@ -279,8 +292,102 @@ def _near_enough(t):
     return run
 
 
-def _join_region(t, pivots):
-    """Within large regions, pairs of different classes that size and bitmaps allow to link: all of them, or those with pivots."""
+class Cells:
+    """The sets of a task: cells of pivots, and the pairs within them that sizes, classes and bitmaps allow to link."""
+
+    def __init__(self, sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[bytes], t: int):
+        self.sid, self.comp, self.size, self.t = sid, comp, size, t
+        maps = [np.frombuffer(x, np.uint64) for x in bits]
+        self.words = np.array([len(x) for x in maps])
+        self.tables: dict[int, np.ndarray] = {}
+        span = 2 * int(np.ceil((100 / t) ** 2))  # sizes in a region differ by no more, so wider sets are never folded to this width
+        for w in np.unique(self.words):
+            self.tables[int(w)] = held = np.zeros((len(sid), w), np.uint64)
+            for i in np.flatnonzero((self.words >= w) & (self.words <= span * w)):
+                held[i] = _fold(maps[i], w)
+
+    def reach(self, x: np.ndarray) -> int:
+        """The most shingles in which two of these sets may differ and link."""
+        return int(2 * self.size[x].max() * (100 - self.t) // (100 + self.t))
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m = self.size[i], self.size[j]
+        good = (self.comp[i] != self.comp[j]) & (i != j) & (np.minimum(n, m) * 100 >= self.t * np.maximum(n, m))
+        at = np.flatnonzero(good)
+        i, j = i[at], j[at]
+        most = (self.size[i] + self.size[j]) * (100 - self.t) // (100 + self.t)
+        narrow = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(narrow):
+            x = np.flatnonzero(narrow == w)
+            held = self.tables[int(w)]
+            good[at[x]] = np.bitwise_count(held[i[x]] ^ held[j[x]]).sum(axis=1) <= most[x]
+        return good
+
+    def divide(self, members: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(home, guests, distances)`` of the cells: sets at home there, those replicated to it, and how far all are from its pivot.
+
+        Every two sets at most ``reach`` apart are both at home in one cell, or one is and the other is its guest.
+        """
+        held = self.tables[int(self.words[members].min())]
+        away = lambda p, x: np.bitwise_count(held[x] ^ held[p]).sum(axis=1).astype(np.int64)
+        todo = [(members, members[:0])]
+        while todo:
+            home, guest = todo.pop()
+            every = np.r_[home, guest]
+            # a region's pivots are the sets with the smallest identities, which are hashes: a crowd has its share of them
+            pivots = home[np.argsort(self.sid[home])[: PIVOTS if len(every) > SMALL else 1]]
+            d = np.stack([away(p, every) for p in pivots])
+            if len(pivots) > 1:
+                nearest, own = d.min(axis=0), d.argmin(axis=0)
+                enters = d <= nearest + 2 * reach
+                if np.square(enters.sum(axis=1)).sum() <= 0.7 * len(every) ** 2:
+                    n = len(home)
+                    for c in range(len(pivots)):
+                        # of two sets that are at home in different cells, the one in the later cell is the guest
+                        more = np.r_[home[enters[c, :n] & (own[:n] > c)], guest[enters[c, n:]]]
+                        todo.append((home[own[:n] == c], more))
+                    continue
+            yield home, guest, d[0]
+
+    def open_pairs(self, home: np.ndarray, guest: np.ndarray, d: np.ndarray, reach: int, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of a cell that may link, and whether these are all of them; a crowded cell gives pairs with a few pivots."""
+        every = np.r_[home, guest]
+        at = np.argsort(d, kind="stable")
+        x, d, mine = every[at], d[at], at < len(home)
+        left, right, n = [x[:0]], [x[:0]], 0
+        for i, j in _ranges(np.arange(len(x)) + 1, np.searchsorted(d, d + reach, "right")):
+            i, j = (z[mine[i] | mine[j]] for z in (i, j))
+            i, j = x[i], x[j]
+            ok = self.may_link(i, j)
+            left.append(i[ok])
+            right.append(j[ok])
+            n += int(ok.sum())
+            if n > CROWD * len(x) and len(x) > SMALL and not whole:
+                return *self.covered(every), False
+        return np.concatenate(left), np.concatenate(right), True
+
+    def covered(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs with a few pivots; those that may link to one are not compared with the next."""
+        ends, pivots = [left[:0]], [left[:0]]
+        for _ in range(COVERS):
+            if len(left) < 2:
+                break
+            spread = np.linspace(0, len(left) - 1, min(len(left), TRIED)).astype(int)
+            some = left[np.unique(np.r_[spread, np.argsort(self.sid[left])[: 2 * TRIED]])]
+            ok = np.stack([self.may_link(np.full(len(left), p), left) for p in some])
+            able = ok.sum(axis=1)
+            good = np.flatnonzero(able >= 0.5 * able.max())  # of these the smallest identity, so that a group's regions agree
+            best = int(good[np.argmin(self.sid[some[good]])])
+            if not ok[best].any():
+                break
+            ends.append(left[ok[best]])
+            pivots.append(np.full(len(ends[-1]), some[best]))
+            left = left[~ok[best] & (left != some[best])]
+        return np.concatenate(pivots), np.concatenate(ends)
+
+
+def _join_regions(t, whole):
+    """Pairs of different classes that may link in each region, and the signatures of regions that gave a part only."""
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [P.unpack(x) for x in raw]
@@ -288,82 +395,44 @@ def _join_region(t, pivots):
         sid, comp, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
         sig = np.concatenate([p[3] for p in parts])
         doc = np.concatenate([p[4].astype(np.int64) + o for p, o in zip(parts, base, strict=False)])
-        blob = np.concatenate([p[5] for p in parts])
-        words = np.array([width_of(int(n)) >> 6 for n in size])
-        offset = np.concatenate([[0], np.cumsum(words * 8)])
-        bits = [np.frombuffer(blob[offset[i] : offset[i + 1]].tobytes(), np.uint64) for i in range(len(sid))]
-        tables: dict[int, np.ndarray] = {}
-        for w in np.unique(words):  # each width holds its own sets and, folded, those of up to four times the width
-            t_w = np.zeros((len(sid), w), np.uint64)
-            for i in np.flatnonzero((words >= w) & (words <= 4 * w)):
-                t_w[i] = _fold(bits[i], w)
-            tables[int(w)] = t_w
-
-        def may_link(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            good = (comp[i] != comp[j]) & (sid[i] != sid[j]) & _fits(size[i], size[j], t)
-            at = np.flatnonzero(good)
-            i, j = i[at], j[at]
-            most = (size[i] + size[j]) * (100 - t) // (100 + t)
-            narrow = np.minimum(words[i], words[j])
-            for w in np.unique(narrow):
-                x = np.flatnonzero(narrow == w)
-                good[at[x]] = np.bitwise_count(tables[int(w)][i[x]] ^ tables[int(w)][j[x]]).sum(axis=1) <= most[x]
-            return good
-
-        at = np.lexsort((size[doc], sig))
+        maps = np.concatenate([p[5] for p in parts]).tobytes()
+        del parts
+        ends = np.cumsum([width_of(int(n)) >> 3 for n in size]).tolist()
+        cells = Cells(sid, comp, size, [maps[x:y] for x, y in zip([0, *ends], ends, strict=False)], t)
+        del maps
+        at = np.argsort(sig, kind="stable")
         sig, doc = sig[at], doc[at]
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        end = np.r_[start[1:], len(sig)]
-        found, held = [np.zeros((2, 0), np.int64)], 0
-
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
-            nonlocal found, held
-            found.append(_ordered(sid[i], sid[j]))
-            held += found[-1].shape[1]
-            if held > 2_000_000:
-                found, held = [_ordered(*np.concatenate(found, axis=1))], 0
-
-        if pivots:
-            for a, z in zip(start, end, strict=True):
-                left = doc[a:z]
-                for _ in range(PIVOTS_EACH):
-                    if len(left) < 2:
-                        break
-                    # candidates are spread over the sizes, and those with the smallest identities; of those that enough others
-                    # may link to the smallest identity is taken, so that a group's many regions choose the same few pivots
-                    some = left[np.unique(np.r_[np.linspace(0, len(left) - 1, min(len(left), PIVOTS_TRIED)).astype(int), np.argsort(sid[left])[: 2 * PIVOTS_TRIED]])]
-                    i, j = np.repeat(some, len(left)), np.tile(left, len(some))
-                    ok = may_link(i, j).reshape(len(some), len(left))
-                    able = ok.sum(axis=1)
-                    good = np.flatnonzero(able >= 0.6 * able.max())
-                    best = int(good[np.argmin(sid[some[good]])])
-                    if not ok[best].any():
-                        break
-                    keep(np.full(int(ok[best].sum()), some[best]), left[ok[best]])
-                    left = left[~ok[best] & (left != some[best])]
-        else:
-            for i, j in _pairs_within(start, end, 400_000):
-                i, j = doc[i], doc[j]
-                ok = may_link(i, j)
-                if ok.any():
-                    keep(i[ok], j[ok])
+        found, held, crowded = [np.zeros((2, 0), np.int64)], 0, set()
+        for a, z in zip(*_stretches(sig), strict=True):
+            x = doc[a:z]
+            if (comp[x] == comp[x[0]]).all():
+                continue
+            reach = cells.reach(x)
+            for home, guest, d in cells.divide(x, reach):
+                i, j, all_ = cells.open_pairs(home, guest, d, reach, whole)
+                if not all_:
+                    crowded.add(int(a))
+                found.append(_ordered(sid[i], sid[j]))
+                held += found[-1].shape[1]
+                if held > 2_000_000:
+                    found, held = [_ordered(*np.concatenate(found, axis=1))], 0
         pairs = _ordered(*np.concatenate(found, axis=1))
         if pairs.shape[1]:
-            yield P.batch(_AB, pairs[0], pairs[1])
+            yield _pairs(pairs)
+        if crowded:
+            at = sorted(crowded)
+            yield P.batch(_FOUND, np.full(len(at), CROWDED), X.signed(sig[at]), np.zeros(len(at), np.int64), pa.nulls(len(at), pa.binary()))
 
     return run
 
 
-def _verify(docs: DataFrame, stats: DataFrame, pairs: DataFrame, k: int, tag: str) -> tuple[DataFrame, str]:
-    """``(a, b, common, na, nb)`` of pairs of set identities, on whole sets.
+def _texts(keyed: DataFrame, about: DataFrame, ids: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``(setid, text)``: one text with each of the sets named.
 
-    One text with each set is brought to the pairs, which takes less room than the set's hashes. The texts
-    are picked out by a filter of fixed size while the documents are read, so that only they are shuffled.
+    The texts are picked out by a filter of fixed size while the documents are read, so that only they are shuffled.
     """
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("setid"), F.lit(1).alias("side")).union(pairs.select("b", F.lit(2))).groupBy("setid").agg(F.max("side").alias("is_b"), F.min("side").alias("is_a"))
-    want = stats.join(ends, "setid").groupBy("setid").agg(F.min(F.struct("rk", "doc_id")).alias("at"), F.max("is_b").alias("is_b"), F.min("is_a").alias("is_a"))
-    want, wat = cut_at(want.select("setid", "is_a", "is_b", "at.rk", F.col("at.doc_id").alias("of")), "want")
+    spark = keyed.sparkSession
+    want, wat = cut_at(about.join(ids, "setid").select("setid", "rk"), "want")
     bm = spark.sparkContext.broadcast(P.bitmap(want, "rk"))
 
     def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,11 +441,16 @@ def _verify(docs: DataFrame, stats: DataFrame, pairs: DataFrame, k: int, tag: st
             if len(at):
                 yield b.take(pa.array(at))
 
-    picked = docs.select("rk", "doc_id", "text").mapInArrow(pick, "rk long, doc_id long, text string")
-    texts, tat = cut_at(picked.join(want, "rk").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("setid", "is_a", "is_b", "text"), "texts")
-    left = texts.where("is_a = 1").select(F.col("setid").alias("a"), F.col("text").alias("ta"))
-    right = texts.where("is_b = 2").select(F.col("setid").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    picked = P.arrow(keyed.select("rk", "text"), pick, "rk long, text string")
+    out = cut_at(picked.join(want, "rk").select("setid", "text").dropDuplicates(["setid"]), tag)
+    delete(spark, wat)
+    return out
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, k: int, tag: str) -> tuple[DataFrame, str]:
+    """``(a, b, common, na, nb)`` of pairs of set identities, on whole sets, which take less room as texts."""
+    left, right = (texts.select(F.col("setid").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     outs = pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "na", "nb")])
 
     def sets(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
@@ -392,8 +466,13 @@ def _verify(docs: DataFrame, stats: DataFrame, pairs: DataFrame, k: int, tag: st
             if got:
                 yield P.batch(outs, P.ints(b, "a"), P.ints(b, "b"), *map(list, zip(*got, strict=True)))
 
-    out = cut_at(both.mapInArrow(common, "a long, b long, common long, na long, nb long").distinct(), tag)
-    delete(spark, wat, tat)
+    return cut_at(P.arrow(both, common, "a long, b long, common long, na long, nb long"), tag)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
@@ -408,56 +487,74 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null or wordless texts: size 0, linked with nothing, ``component_id`` their own id. A null id stays null, and
     such rows never name a component unless all of its rows have null ids. Rows with equal sets are one class, so repeated rows keep one row each.
-    An empty table gives an empty result. Other columns are ignored, whatever they are called. Sets are told apart by
-    a 64-bit hash of their content and shingles by one of their words.
+    A very long text is one set like any other, held whole by one task at a time. An empty table gives an empty result. Other
+    columns are ignored, whatever they are called. Sets are told apart by a 64-bit hash of their content and shingles by one of their words.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     cols = ", ".join(f"{f.name} {'binary' if f.name == 'bits' else 'long'}" for f in _STATS)
-    stats, spath = cut_at(keyed.mapInArrow(_stats(k), cols), "sets")
-    live = stats.where("n > 0")
+    stats, spath = cut_at(P.arrow(keyed, _stats(k), cols), "sets")
     linked = F.expr(f"common * {100 + percent} >= {percent} * (na + nb)")
-    about = live.groupBy("setid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     parts = P.partitions(spark)
-    met, mpath = cut_at(P.gather(keyed.select("text").mapInArrow(_regions(k, percent, parts), P.BLOCK_DDL), _meet(percent), _REGION_DDL), "regions")
-    members, epath = cut_at(met.where(F.col("kind") == MEMBER).select(F.col("a").alias("setid"), "sigs").join(about, "setid"), "members")
-    classes, links, away, paths = None, None, None, [spath, mpath, epath]
-
-    def within(pivots: bool) -> DataFrame:
-        rows = members.withColumn("comp", F.col("setid")) if classes is None else members.join(classes.select(F.col("node").alias("setid"), F.col("component").alias("comp")), "setid", "left").withColumn("comp", F.coalesce("comp", "setid"))
-        return P.gather(rows.mapInArrow(_deal_members(parts), P.BLOCK_DDL), _join_region(percent, pivots), "a long, b long").distinct()
-
-    for r in range(PIVOT_ROUNDS):
-        cand, at = cut_at(within(True), f"pivots-{r}")
-        seen, vat = _verify(keyed, stats, cand, k, f"distances-{r}")
-        away = seen if away is None else away.unionByName(seen)
-        links = away.where(linked).select("a", "b")
-        classes, cat = cut_at(connected_components(links), f"classes-{r}")
-        paths += [at, vat, cat]
+    met, mpath = cut_at(P.gather(P.arrow(keyed.select("text"), _regions(k, percent, parts), P.BLOCK_DDL), _meet(), _FOUND_DDL), "regions")
+    paths = [mpath]
 
-    few = met.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    # what is known of the sets that share a region with another one: size, bitmap, and the row whose text stands for it
+    ids = met.select(F.col("a").alias("setid")).union(met.where(F.col("kind") == PAIR).select("b")).distinct()
+    bm = spark.sparkContext.broadcast(P.bitmap(ids, "setid"))
+
+    def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at = np.flatnonzero(P.hits(bm.value, P.ints(b, "setid")) & (P.ints(b, "n") > 0))
+            if len(at):
+                yield b.take(pa.array(at))
+
+    brief = P.arrow(stats.select("setid", "n", "rk", "bits"), shared, "setid long, n long, rk long, bits binary")
+    about, apath = cut_at(brief.groupBy("setid").agg(F.min("n").alias("n"), F.min("rk").alias("rk"), F.min("bits").alias("bits")), "about")
+    paths.append(apath)
     side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
-    few = few.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near_enough(percent), "a long, b long")
-    comps = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    open_ = few.unionByName(within(False)).distinct().join(comps("a"), "a", "left").join(comps("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    both = away.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    known = both.select("a", F.col("b").alias("p"), "d").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("p"), "d"))
-    beyond = open_.join(known.withColumnRenamed("d", "da"), "a").join(known.select(F.col("a").alias("b"), "p", F.col("d").alias("db")), ["b", "p"]).where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b")
-    cand, dpath = cut_at(open_.join(beyond.unionByName(both.select("a", "b")).distinct(), ["a", "b"], "left_anti"), "candidates")
-    second, wpath = _verify(keyed, stats, cand, k, "links")
-    second = second.where(linked).select("a", "b")
-    links, paths = links.unionByName(second), [*paths[1:], dpath, wpath]
-
-    # classes are contracted: only links between classes are left to follow
-    name = classes.select("node", "component")
-    over = second.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    outer = connected_components(over)
-    label = about.select("setid").join(classes.withColumnRenamed("node", "setid"), "setid", "left").select("setid", F.coalesce("component", "setid").alias("node")).join(outer, "node", "left").select("setid", F.coalesce("component", "node").alias("label"))
+    first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    found = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
+    members = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("setid")).agg(F.collect_list("sigs").alias("sigs"))
+    members, eat = cut_at(members.join(about.select("setid", "n", "bits"), "setid"), "members")
+    paths.append(eat)
+
+    texts: list[DataFrame] = []
+    seen: list[DataFrame] = []
+    classes = None
+    for r in range(PIVOT_ROUNDS + 2):
+        fresh = found if not seen else found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti")
+        cand, at = cut_at(fresh, f"pairs-{r}")
+        need = cand.select(F.col("a").alias("setid")).union(cand.select("b")).distinct()
+        if texts:
+            need = need.join(_union(texts).select("setid"), "setid", "left_anti")
+        need, nat = cut_at(need, "need")
+        paths += [at, nat]
+        if not texts or not need.isEmpty():
+            got, tat = _texts(keyed, about, need, f"texts-{r}")
+            texts.append(got)
+            paths.append(tat)
+        got, vat = _verify(_union(texts), cand, k, f"distances-{r}")
+        seen.append(got)
+        links = _union(seen).where(linked).select("a", "b")
+        classes, cat = cut_at(connected_components(links), f"classes-{r}")
+        paths += [vat, cat]
+        if r and crowded.isEmpty():
+            break
+        bits = spark.sparkContext.broadcast(P.bitmap(crowded, "a")) if r else None
+        comp = classes.select(F.col("node").alias("setid"), F.col("component").alias("comp"))
+        rows = members.join(comp, "setid", "left").withColumn("comp", F.coalesce("comp", "setid"))
+        blocks = P.arrow(rows, _deal_members(parts, bits), P.BLOCK_DDL)
+        more, gat = cut_at(P.gather(blocks, _join_regions(percent, r >= PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
+        paths.append(gat)
+        found, crowded = more.where(F.col("kind") == PAIR).select("a", "b").distinct(), more.where(F.col("kind") == CROWDED).select("a")
+
+    label = classes.select(F.col("node").alias("setid"), F.col("component").alias("label"))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_verified")).withColumnRenamed("a", "setid")
-    least = live.groupBy("setid").agg(F.min("doc_id").alias("least"))
-    of_set = label.join(least, "setid", "left").join(degree, "setid", "left")
+    least = stats.where("n > 0").groupBy("setid").agg(F.min("doc_id").alias("least"))
+    of_set = least.join(label, "setid", "left").withColumn("label", F.coalesce("label", "setid")).join(degree, "setid", "left")
     of_label = of_set.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set, opath = cut_at(of_set.join(of_label, "label").select("setid", "component_id", F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified")), "labels")
+    of_set, _ = cut_at(of_set.join(of_label, "label").select("setid", "component_id", F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified")), "labels")
     delete(spark, *paths)
     out = stats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("setid")).alias("setid")).join(of_set, "setid", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tessera.llm import text
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.large_binary())])
 BLOCK_DDL = "bucket int, block binary"
@@ -63,16 +68,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose worker gives its memory back when a task ends: workers live on, and others need the room."""
+
+    def tidy(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            text.forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without the call keeps its free pages
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
+def dealt(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """Deals rows out by bucket, one bucket to a task, and runs ``run`` on each."""
+    return arrow(df.repartitionById(partitions(df.sparkSession), "bucket"), run, ddl)
+
+
 def gather(df: DataFrame, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """Deals blocks out by bucket and gives all blocks of a partition, which holds whole buckets, to ``reduce``."""
-    spark = df.sparkSession
+    """Deals blocks out by bucket and gives all blocks of a bucket to ``reduce``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for b in it for x in raws(b, "block")]
         if got:
             yield from reduce(got)
 
-    return df.repartition(partitions(spark), "bucket").mapInArrow(run, ddl)
+    return dealt(df, run, ddl)
 
 
 def bitmap(keys: DataFrame, col: str, bits: int = 1 << 23) -> np.ndarray:

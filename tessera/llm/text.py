@@ -37,6 +37,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["q"]
 
 
+def forget() -> None:
+    """Drops the powers held; they are made again when asked for."""
+    _powers.clear()
+
+
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column one after another, and where each row begins; null counts as empty."""
     arr = batch.column(batch.schema.get_field_index(name))
