@@ -3,7 +3,8 @@
 A partition's distinct words are encoded together. An index maps each pair of neighbouring symbols to all its
 positions in these words; a heap gives the active pairs in ascending order of rank. Applying a pair
 joins it at all its positions, left to right, and moves the neighbouring positions to the lists of the pairs that come to be.
-Words not yet met in the partition are encoded batch by batch, and their ids are kept for it.
+Words not yet met in the partition are encoded batch by batch, and their ids are kept for it in one packed array.
+Decoding reads ids alone.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import packed as P
+from tessera.llm import text as X
 
 #: White space as the tokenizer's own expression engine sees it.
 BLANK = r"\t-\r \x85\xa0  -     　"
-#: Kept words at most; beyond that the oldest half goes, which costs time only.
-WORDS_KEPT = 400_000
+#: Kept words at most, and their bytes; beyond that all go, which costs time only.
+WORDS_KEPT, BYTES_KEPT = 200_000, 4 << 20
+#: Bytes of text encoded at a time.
+GROUP = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -61,12 +66,15 @@ class WordBpe:
         self.first = [self.vocab.get(c) for c in self.letters]
         self.last = [self.vocab.get(c + self.end) for c in self.letters]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.known: dict[str, tuple[int, str, str]] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drops the words encoded so far."""
-        self.known = {w: (1, str(i), w) for w, i in self.special.items()}
+        #: The place of each known word; its ids stand from ``starts[place]`` up to the next start.
+        self.known: dict[str, int] = {w: k for k, w in enumerate(self.special)}
+        self.ids = array("i", self.special.values())
+        self.starts = array("q", range(len(self.special) + 1))
+        self.size = 0
 
     def words(self, text: str) -> list[str]:
         """Words of a whole text in order; the strings of special tokens are words of their own."""
@@ -145,32 +153,33 @@ class WordBpe:
         return [[s for s in sym[x:y] if s >= 0] for x, y in zip(bounds, bounds[1:], strict=False)]
 
     def learn(self, words: Sequence[str]) -> None:
-        """Encodes words not yet known: number of ids, the ids as text, the tokens as text."""
-        known = self.known
-        names = self.names
+        """Encodes words not yet known."""
         for w, ids in zip(words, self.merge_all(words), strict=True):
-            known[w] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+            self.known[w] = len(self.starts) - 1
+            self.ids.extend(ids)
+            self.starts.append(len(self.ids))
+            self.size += len(w)
 
-    def digest(self, texts: Sequence[str]) -> list[tuple[int, str, str]]:
-        """For each text the number of ids, its ids and its decoded form, both as one string.
-
-        The decoded form is that of ids read back: the file names no decoder, so tokens are joined by spaces.
-        """
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after another, and where each text's begin."""
         split = [self.words(t) for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            for w in list(self.known)[len(self.special) : WORDS_KEPT // 2]:
-                del self.known[w]
+        if len(self.known) > WORDS_KEPT or self.size > BYTES_KEPT:
+            self.forget()
         new = {w for ws in split for w in ws if w not in self.known}
         if new:
             self.learn(sorted(new))
         get = self.known.__getitem__
-        out = []
-        for ws in split:
-            got = [x for x in map(get, ws) if x[0]]
-            out.append((sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
-        return out
+        word = np.fromiter((k for ws in split for k in map(get, ws)), np.int64, sum(map(len, split)))
+        count = np.cumsum([0, *map(len, split)])
+        del split
+        starts, ids = np.array(self.starts), np.array(self.ids, np.int32)
+        n = starts[word + 1] - starts[word]
+        end = np.concatenate([[0], np.cumsum(n)])
+        flat = np.repeat(starts[word] - end[:-1], n) + np.arange(end[-1])
+        return ids[flat], end[count]
 
     def decode(self, ids: Sequence[int]) -> str:
+        """The text of ids. The file names no decoder, so that tokens are joined by blanks; unknown ids have none."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
@@ -179,56 +188,50 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _groups(texts: list[str], size: int = 4 << 20) -> Iterator[list[str]]:
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n > size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def encode_decode(docs: DataFrame, tokenizer: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` with ``ids`` (token ids of the whole text) and ``decoded`` (the text that these ids decode to).
 
     ``tokenizer`` is the path of a tokenizer file on every machine. Null texts are empty: no ids, an empty decoded text. No special
-    tokens are added; their strings in a text are those tokens. Rows are handled one by one, so repeats and an empty
-    table need no rule; column names cannot clash, as only those named are read.
+    tokens are added; their strings in a text are those tokens. A very long text is encoded by itself. Rows are handled one by one, so
+    repeats and an empty table need no rule; column names cannot clash, as only those named are read.
     """
-    out = _run(docs, tokenizer, keep, text_col, [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")], lambda n, ids, dec: (np.fromstring(ids, np.int32, sep=" "), dec))
-    return out
+
+    def form(bpe: WordBpe, ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        decoded = [bpe.decode(ids[a:z].tolist()) for a, z in zip(off, off[1:], strict=False)]
+        return [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())]
+
+    return _run(docs, tokenizer, keep, text_col, "ids array<int>, decoded string", form)
 
 
 def encode_digest(docs: DataFrame, tokenizer: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """As :func:`encode_decode`, with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` instead of the ids and the decoded text."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return _run(docs, tokenizer, keep, text_col, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], lambda n, ids, dec: (n, sha(ids), sha(dec)))
 
+    def form(bpe: WordBpe, ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        each = [ids[a:z].tolist() for a, z in zip(off, off[1:], strict=False)]
+        return [pa.array(np.diff(off), pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in each], pa.string()), pa.array([sha(bpe.decode(x)) for x in each], pa.string())]
+
+    return _run(docs, tokenizer, keep, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", form)
 
-def _run(docs, tokenizer, keep, text_col, fields, form):
+
+def _run(docs: DataFrame, tokenizer: str, keep: Sequence[str], text_col: str, fields: str, form: Callable[[WordBpe, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     mine = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     src = docs.select(*mine, F.col(text_col).cast("string").alias("text"))
     names = [f"k{i}" for i in range(len(keep))]
-    ddl = ", ".join([*(f"{c} {src.schema[c].dataType.simpleString()}" for c in names), *(f"{c} {d}" for c, _, d in fields)])
+    added = [f.split(" ")[0] for f in fields.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         try:
-            yield from encoded(bpe, it)
+            for b in it:
+                _, off = X.column(b, "text")
+                for i, j in X.chunks(off, GROUP):
+                    part = b.slice(i, j - i)
+                    made = form(bpe, *bpe.encode([t or "" for t in P.raws(part, "text")]))
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *made], names=[*names, *added])
         finally:  # a worker lives on after its task, and other operators need its memory
-            bpe.forget()
-
-    def encoded(bpe: WordBpe, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            at = 0
-            for texts in _groups([t or "" for t in P.raws(b, "text")]):
-                got = [form(*x) for x in bpe.digest(texts)]
-                part = b.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *(pa.array(list(v), t) for v, (_, t, _) in zip(zip(*got, strict=True), fields, strict=True))], names=[*names, *(c for c, _, _ in fields)])
-
-    out = src.mapInArrow(run, ddl)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(c for c, _, _ in fields))
+            load.cache_clear()
+
+    ddl = ", ".join([*(f"{c} {src.schema[c].dataType.simpleString()}" for c in names), fields])
+    out = P.arrow(src, run, ddl)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *added)
