@@ -150,7 +150,7 @@ def leaks(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",),
     out = None
     for ids, texts in _blocks(items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))):
         index = spark.sparkContext.broadcast((ids, texts))
-        got = src.mapInArrow(_search(index, names, q, percent), ddl)
+        got = P.arrow(src, _search(index, names, q, percent), ddl)
         out = got if out is None else out.union(got)
     if out is None:
         out = spark.createDataFrame([], ddl)

@@ -112,7 +112,7 @@ def _evidence(src: DataFrame, model, names: Sequence[str], pages: bool) -> DataF
             yield pa.RecordBatch.from_arrays([*keep, pa.array(ll.tolist(), pa.list_(pa.float64()))], names=[*names, "ll"])
 
     ddl = ", ".join([*(f"{c} {src.schema[c].dataType.simpleString()}" for c in names), "ll array<double>"])
-    return src.mapInArrow(run, ddl)
+    return P.arrow(src, run, ddl)
 
 
 def identify(pages: DataFrame | None, docs: DataFrame | None, model: Likelihood, page_cols: tuple[str, str, str] = ("page_id", "url", "html"), doc_cols: tuple[str, str, str] = ("doc_id", "source", "text")) -> DataFrame:

@@ -117,7 +117,7 @@ def materialise(docs: DataFrame, tokens: tuple[str, str], key: bytes = b"epoch-0
                 i, before = j, before + size
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks, bpath = cut_at(src.mapInArrow(encode, "task long, before long, n long, rows binary, block binary"), "tokens")
+    blocks, bpath = cut_at(P.arrow(src, encode, "task long, before long, n long, rows binary, block binary"), "tokens")
     # where each task's part of the stream begins: one number for each task
     start, total = {}, 0
     for task, n in blocks.groupBy("task").agg(F.sum("n")).orderBy("task").collect():
@@ -184,9 +184,10 @@ def materialise(docs: DataFrame, tokens: tuple[str, str], key: bytes = b"epoch-0
         if out is not None:
             yield finish()
 
-    where, _ = cut_at(blocks.mapInArrow(locate, "doc_id long, first_token long, n_tokens long, first_slot long"), "places")
-    dealt = blocks.select("task", "before", "block").mapInArrow(deal, "range int, shard long, ids binary").repartition(parts, "range").sortWithinPartitions("shard")
-    made, _ = cut_at(dealt.select("shard", "ids").mapInArrow(write, "shard long, file string, sequences long, bytes long, sha256 string"), "shards")
+    where, _ = cut_at(P.arrow(blocks, locate, "doc_id long, first_token long, n_tokens long, first_slot long"), "places")
+    dealt = P.arrow(blocks.select("task", "before", "block"), deal, "range int, shard long, ids binary")
+    dealt = dealt.repartitionById(parts, "range").sortWithinPartitions("shard")  # a range of shards to each task
+    made, _ = cut_at(P.arrow(dealt.select("shard", "ids"), write, "shard long, file string, sequences long, bytes long, sha256 string"), "shards")
     delete(spark, bpath)
     return made, where, folder
 

@@ -95,7 +95,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.concatenate(x), pa.int64()) for x in zip(*got, strict=True))], names=["k0", "host", *COUNTS])
 
     ddl = f"k0 {src.schema['k0'].dataType.simpleString()}, host string, " + ", ".join(f"{c} long" for c in COUNTS)
-    rows = src.mapInArrow(run, ddl).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    rows = P.arrow(src, run, ddl).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     rows, _ = cut_at(rows, "quality")
     hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("f")).withColumn("r", F.col("f") / F.col("n"))
     prior = hosts.agg((F.sum("f") / F.sum("n")).alias("m"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("s2")).first()

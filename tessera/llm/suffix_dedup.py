@@ -240,7 +240,7 @@ def merge(shards: Sequence[np.ndarray], groups: Sequence[np.ndarray], length: in
     width, n = symbols.shape
     row = np.argsort(every, kind="stable")
     group = np.unique(every[row], return_inverse=True)[1].astype(np.uint16)
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(g) for g in groups])[row]
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint32), [len(g) for g in groups])[row]
     start = np.r_[True, group[1:] != group[:-1]]
     common = np.zeros(n + 1, np.int32)  # with the entry before; 0 where a group begins
     common[1:n][~start[1:]] = 0
@@ -333,7 +333,7 @@ def _merge_shards(length, gram):
 def _find(plain: DataFrame, n: int, length: int, gram: int, words: bool) -> tuple[DataFrame, tuple[str, str]]:
     """``(rk, block, words)``: the repeated stretches of each text, in bytes or in letters of its words' codes, and the files they are in."""
     spark = plain.sparkSession
-    found, fpath = cut_at(P.gather(plain.mapInArrow(_cut_pieces(length, gram, n, words), P.BLOCK_DDL), _compare_pieces(length), _FOUND_DDL), "pieces")
+    found, fpath = cut_at(P.gather(P.arrow(plain, _cut_pieces(length, gram, n, words), P.BLOCK_DDL), _compare_pieces(length), _FOUND_DDL), "pieces")
 
     wanted = found.where(F.col("kind") == WANTED)
     bm = spark.sparkContext.broadcast(P.bitmap(wanted, "rk"))
@@ -346,8 +346,8 @@ def _find(plain: DataFrame, n: int, length: int, gram: int, words: bool) -> tupl
             if at:
                 yield b.take(pa.array(at))
 
-    sources = plain.mapInArrow(pick, plain.schema).join(wanted.groupBy("rk").agg(F.collect_list("block").alias("wanted")), "rk")
-    merged, mpath = cut_at(P.gather(sources.mapInArrow(_shards(length, gram, n, words), P.BLOCK_DDL), _merge_shards(length, gram), _FOUND_DDL), "merged")
+    sources = P.arrow(plain, pick, plain.schema).join(wanted.groupBy("rk").agg(F.collect_list("block").alias("wanted")), "rk")
+    merged, mpath = cut_at(P.gather(P.arrow(sources, _shards(length, gram, n, words), P.BLOCK_DDL), _merge_shards(length, gram), _FOUND_DDL), "merged")
     return found.where(F.col("kind") == SPANS).union(merged).select("rk", "block", F.lit(words).alias("words")), (fpath, mpath)
 
 
@@ -361,7 +361,13 @@ def _of_words(raw: Sequence[bytes], text: np.ndarray, words: int) -> tuple[np.nd
     return start[s[ok]], end[e[ok] - 1]
 
 
-def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", length: int = 400, gram: int = 128, words: int | None = None) -> DataFrame:
+def _to_characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a text in UTF-8 as the least ones around them that divide no character."""
+    first = np.flatnonzero(np.r_[(data & 0xC0) != 0x80, True])  # where characters begin, and the end of the text
+    return first[np.searchsorted(first, start, "right") - 1], first[np.searchsorted(first, end, "left")]
+
+
+def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", length: int = 400, gram: int = 128, words: int | None = None, whole_characters: bool = False) -> DataFrame:
     """The rows of ``docs`` without the bytes of strings of ``length`` bytes that start anywhere else too.
 
     With ``words``, passages of that many words (of other than white space) that stand anywhere else too go as well, from their
@@ -370,7 +376,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
 
     Returns the columns of ``keep`` and ``n_bytes`` (of the whole text as UTF-8), ``spans`` (removed stretches as
     ``start`` and ``end``, disjoint and in order, none touching another) and ``kept`` (remaining bytes as binary, which may break a
-    character at a removed edge). A byte goes if any ``length``-byte string over it also starts elsewhere, in the same
+    character at a removed edge; with ``whole_characters`` the rest of a character that an edge divides goes too). A byte goes if any ``length``-byte string over it also starts elsewhere, in the same
     or in another row; all occurrences go, judged on the input.
 
     A null text is an empty one; texts shorter than ``length`` stay whole. Repeated rows are copies of each other,
@@ -396,7 +402,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
                 if len(at):
                     yield b.take(pa.array(at))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        return P.arrow(keyed, run, keyed.schema)
 
     span_type = "array<struct<start:bigint,end:bigint>>"
     names = [f"k{i}" for i in range(len(keep))]
@@ -414,12 +420,14 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col:
                 d = data[off[r] : off[r + 1]]
                 got = [P.unpack(x) for x in raw or []] + ([_of_words(coded[r], d, words)] if coded[r] else [])
                 s, e = joined(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (off[:0], off[:0])
+                if whole_characters and len(s):
+                    s, e = joined(*_to_characters(d, s, e))
                 sizes.append(len(d))
                 cut.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
                 left.append(b"".join(d[x:y].tobytes() for x, y in zip([0, *e], [*s, len(d)], strict=True)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(struct)), pa.array(left, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
 
-    some = split(True).join(spans, "rk", "left").select(*names, "text", "blocks", "coded").mapInArrow(erase, out_ddl)
+    some = P.arrow(split(True).join(spans, "rk", "left").select(*names, "text", "blocks", "coded"), erase, out_ddl)
     out = whole.unionByName(some)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "spans", "kept")
 

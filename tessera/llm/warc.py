@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 k, t, s, n = zip(*entries[i : i + 10_000], strict=True)
                 yield P.batch(_INDEX, list(k), list(t), list(range(i, i + len(k))), [name] * len(k), list(s), list(n))
 
-    return rows.select("page_id", "url", "ts", "body", "digest", "refers").mapInArrow(run, _INDEX_DDL)
+    return P.arrow(rows.select("page_id", "url", "ts", "body", "digest", "refers"), run, _INDEX_DDL)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             yield P.batch(merged, *map(list, zip(*held, strict=True)))
 
     # equal keys may be many: the time and place divide them
-    return runs.repartitionByRange(P.partitions(runs.sparkSession), "key", "ts", "start").mapInArrow(run, "part long, " + _INDEX_DDL)
+    return P.arrow(runs.repartitionByRange(P.partitions(runs.sparkSession), "key", "ts", "start"), run, "part long, " + _INDEX_DDL)
 
 
 def read_archives(index: DataFrame, folder: str, ddl: str, schema: pa.Schema, make: Callable[[dict[str, str], dict[str, str], bytes], tuple]) -> DataFrame:
@@ -199,7 +199,7 @@ def read_archives(index: DataFrame, folder: str, ddl: str, schema: pa.Schema, ma
     # stretches of a file, so that a large one is read by several tasks
     stretch = (F.col("start") / (32 << 20)).cast("long")
     dealt = index.select("file", "start", "size").repartition(P.partitions(index.sparkSession), "file", stretch).sortWithinPartitions("file", "start")
-    return dealt.mapInArrow(run, ddl)
+    return P.arrow(dealt, run, ddl)
 
 
 _PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
