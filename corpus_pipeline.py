@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encode_decode
@@ -29,30 +29,49 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, _table(spark, sf_dir, "labels"), keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+def _row_key() -> Column:
+    """Tells rows apart that share an id or have none: a hash of the id and the text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingle overlap the one with the smallest id stays, and one of its repeated rows. Documents without an id or without words stay."""
-    ids = cut(jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """Of each group of documents linked by shingle overlap one stays: the one with the smallest id, rows without an id coming last.
+
+    Rows are told apart by id and text: an unrelated text under the id of a copy stays, and of rows that repeat with id and text one
+    stays. Documents without words are linked with nothing; they stay, one of each that repeats.
+    """
+    mine = docs.select(*COLUMNS).withColumn("row_key", _row_key())
+    # the operator's ids are the rows' places in order of id and key, so that a component is named after the row that stays
+    named = mine.select("doc_id", "row_key", "text").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    groups = cut(jaccard_groups(named.withColumn("key", F.col("row_key")), id_col="key").where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")).distinct(), "groups")
+    first = groups.join(named.select("row_key", "place"), "row_key").groupBy("component").agg(F.min("place").alias("place"), F.count_distinct("row_key").alias("n")).where("n > 1")
+    gone = cut(groups.join(first, "component").where("row_key <> place.row_key").select("row_key"), "copies")
+    return mine.join(gone, "row_key", "left_anti").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words that repeat are cut out, as are those of 400 bytes or more; a character that a cut divides goes with it. Every document keeps its row, its text empty if nothing is left."""
-    out = remove_repeats(docs, keep=COLUMNS, words=WORDS)
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    out = out.withColumn("text", F.when(F.size("spans") > 0, left).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Passages of over 50 words that repeat are cut out, as are those of 400 bytes or more; a character that a cut divides goes with it.
+
+    Every document keeps its row, its text empty if nothing is left. Rows with equal texts of that length are passages of one another.
+    """
+    out = remove_repeats(docs, keep=COLUMNS, words=WORDS, whole_characters=True)
+    some = F.size("spans") > 0
+    out = out.withColumn("text", F.when(some, F.col("kept").cast("string")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item stands go; all others stay as they are, those without an id among them."""
-    found = cut(leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents in which a benchmark item stands go; all others stay as they are, those without an id or under the id of one that goes among them."""
+    mine = docs.select(*COLUMNS).withColumn("row_key", _row_key())
+    found = cut(leaks(mine, _table(spark, sf_dir, "benchmark"), keep=["row_key"]).select("row_key").distinct(), "leaks")
+    return mine.join(found, "row_key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each remaining text, with their number and a digest of the text that they decode to."""
     out = encode_decode(docs, word_tokenizer(), keep=["doc_id", "lang", "source"])
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    sha = F.sha2(F.encode("decoded", "utf-8"), 256)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", sha.alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("suffix_dedup", drop_repeats), ("decontaminate", drop_leaks), ("bpe", encode)]
