@@ -13,8 +13,8 @@ the sets are ordered by distance to its pivot, and only those whose distances di
 inequality again). What the bitmaps leave is verified on whole sets.
 
 Linked sets become one *class*, and only sets of different classes are compared, so that a group of near copies costs a few
-distances for each member: at first each region gives its members' links to one pivot, and a cell with many more open pairs than members
-gives links to a few pivots and is joined again once its classes are contracted. None of this loses a link.
+distances for each member: a cell with many more open pairs than members gives links to a few pivots, and is joined again once its
+classes are contracted. None of this loses a link.
 """
 
 from __future__ import annotations
@@ -212,10 +212,7 @@ def _stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet():
-    """In each region all pairs if it has few sets, else its members and their pairs with one pivot.
-
-    The pivot is the set with the smallest identity, so that a group's many regions choose the same one.
-    """
+    """In each region all pairs if it has few sets, else its members."""
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [P.unpack(x) for x in raw]
@@ -231,8 +228,7 @@ def _meet():
         start, end = _stretches(sig)
         size = end - start
         many = np.repeat(size > FEW, size)
-        last = np.repeat(np.where(size > FEW, 0, end), size)  # in large regions, only the first one has partners
-        last[start] = end
+        last = np.repeat(np.where(size > FEW, 0, end), size)
         found = [np.zeros((2, 0), np.int64), *(_ordered(sid[i], sid[j]) for i, j in _ranges(np.arange(len(sid)) + 1, last, 1_000_000))]
         pairs = _ordered(*np.concatenate(found, axis=1))
         if pairs.shape[1]:
@@ -362,7 +358,7 @@ class Cells:
             left.append(i[ok])
             right.append(j[ok])
             n += int(ok.sum())
-            if n > CROWD * len(x) and len(x) > SMALL and not whole:
+            if n > CROWD * len(x) and not whole:
                 return *self.covered(every), False
         return np.concatenate(left), np.concatenate(right), True
 
@@ -514,40 +510,43 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     paths.append(apath)
     side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
     first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    found = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
+    few = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
     members = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("setid")).agg(F.collect_list("sigs").alias("sigs"))
     members, eat = cut_at(members.join(about.select("setid", "n", "bits"), "setid"), "members")
     paths.append(eat)
 
     texts: list[DataFrame] = []
     seen: list[DataFrame] = []
-    classes = None
-    for r in range(PIVOT_ROUNDS + 2):
-        fresh = found if not seen else found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti")
-        cand, at = cut_at(fresh, f"pairs-{r}")
-        need = cand.select(F.col("a").alias("setid")).union(cand.select("b")).distinct()
-        if texts:
-            need = need.join(_union(texts).select("setid"), "setid", "left_anti")
-        need, nat = cut_at(need, "need")
-        paths += [at, nat]
-        if not texts or not need.isEmpty():
-            got, tat = _texts(keyed, about, need, f"texts-{r}")
-            texts.append(got)
-            paths.append(tat)
-        got, vat = _verify(_union(texts), cand, k, f"distances-{r}")
-        seen.append(got)
-        links = _union(seen).where(linked).select("a", "b")
-        classes, cat = cut_at(connected_components(links), f"classes-{r}")
-        paths += [vat, cat]
-        if r and crowded.isEmpty():
-            break
-        bits = spark.sparkContext.broadcast(P.bitmap(crowded, "a")) if r else None
-        comp = classes.select(F.col("node").alias("setid"), F.col("component").alias("comp"))
-        rows = members.join(comp, "setid", "left").withColumn("comp", F.coalesce("comp", "setid"))
-        blocks = P.arrow(rows, _deal_members(parts, bits), P.BLOCK_DDL)
-        more, gat = cut_at(P.gather(blocks, _join_regions(percent, r >= PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
+    classes = crowded = None
+    for r in range(PIVOT_ROUNDS + 1):
+        if r:
+            comp = classes.select(F.col("node").alias("setid"), F.col("component").alias("comp"))
+            rows = members.join(comp, "setid", "left").withColumn("comp", F.coalesce("comp", "setid"))
+            only = spark.sparkContext.broadcast(P.bitmap(crowded, "a"))
+        else:
+            rows, only = members.withColumn("comp", F.col("setid")), None
+        blocks = P.arrow(rows.select("setid", "comp", "n", "sigs", "bits"), _deal_members(parts, only), P.BLOCK_DDL)
+        joined, gat = cut_at(P.gather(blocks, _join_regions(percent, r == PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
         paths.append(gat)
-        found, crowded = more.where(F.col("kind") == PAIR).select("a", "b").distinct(), more.where(F.col("kind") == CROWDED).select("a")
+        found, crowded = joined.where(F.col("kind") == PAIR).select("a", "b"), joined.where(F.col("kind") == CROWDED).select("a")
+        found = found.unionByName(few).distinct() if not seen else found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti")
+        cand, at = cut_at(found, f"pairs-{r}")
+        paths.append(at)
+        if not seen or not cand.isEmpty():
+            need = cand.select(F.col("a").alias("setid")).union(cand.select("b")).distinct()
+            need, nat = cut_at(need.join(_union(texts).select("setid"), "setid", "left_anti") if texts else need, "need")
+            paths.append(nat)
+            if not texts or not need.isEmpty():
+                got, tat = _texts(keyed, about, need, f"texts-{r}")
+                texts.append(got)
+                paths.append(tat)
+            got, vat = _verify(_union(texts), cand, k, f"distances-{r}")
+            seen.append(got)
+            links = _union(seen).where(linked).select("a", "b")
+            classes, cat = cut_at(connected_components(links), f"classes-{r}")
+            paths += [vat, cat]
+        if crowded.isEmpty():
+            break
 
     label = classes.select(F.col("node").alias("setid"), F.col("component").alias("label"))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_verified")).withColumnRenamed("a", "setid")
