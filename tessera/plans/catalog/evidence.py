@@ -10,6 +10,7 @@ from tessera.operators import evidence as E
 from tessera.operators import ingest as I
 from tessera.plans.catalog import lexical as L
 from tessera.plans.catalog import query, table
+from tessera.plans.lineage import cut
 
 HASH = "md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
 SHINGLES = f"""tk AS (SELECT doc_id, {L.TOK.format(c='text')} AS t FROM documents), sh AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(t) < 4 THEN t ELSE t[i:i + 3] END, ' ') AS sh
@@ -19,8 +20,11 @@ SHINGLES = f"""tk AS (SELECT doc_id, {L.TOK.format(c='text')} AS t FROM document
 def result_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """The best documents of every benchmark query, with sketch, host and snippet."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("host"), S.snippet_of(F.col("text")).alias("snippet"), "text")
-    r = L.ranked(spark, sf_dir, k).join(docs, "key").withColumn("pos", F.col("rank") - 1)
-    return r.withColumn("sk", E.sketch_udf("text")).select("qid", "key", "pos", "bm25", "host", "snippet", F.col("sk.shingles").alias("shingles"), F.col("sk.sig").alias("sig"))
+    r = cut(L.ranked(spark, sf_dir, k), "ranked")
+    # a document is sketched once, however many lists it is in
+    hit = docs.join(r.select("key").distinct(), "key", "left_semi").withColumn("sk", E.sketch_udf("text"))
+    hit = hit.select("key", "host", "snippet", F.col("sk.shingles").alias("shingles"), F.col("sk.sig").alias("sig"))
+    return r.join(hit, "key").select("qid", "key", (F.col("rank") - 1).alias("pos"), "bm25", "host", "snippet", "shingles", "sig")
 
 
 @query()

@@ -13,14 +13,12 @@ TOK = r"regexp_extract_all(lower({c}), '([\p{{L}}\p{{N}}]+)', 1)"
 KEY = "('0x' || substr(md5({c}), 1, 15))::BIGINT"
 HOST = "lower(regexp_extract({c}, '^[a-z]+://([^/?#:]+)', 1))"
 DOMAIN = "CASE WHEN regexp_matches({h}, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN NULL WHEN len(string_split({h}, '.')) <= 2 THEN {h} WHEN string_split({h}, '.')[-2] IN ('co', 'com', 'net', 'org', 'ac', 'gov', 'edu') THEN array_to_string(string_split({h}, '.')[-3:], '.') ELSE array_to_string(string_split({h}, '.')[-2:], '.') END"
-#: Queries: every benchmark item, by its first six tokens.
-MOST = 6
 URL = "'https://' || source || '.example/' || doc_id"
 
 INDEX_SQL = f"""
     ix AS (SELECT doc_id AS key, {TOK.format(c="substr(text, 1, 80)")} AS tt, {TOK.format(c="text")} AS bt FROM documents),
     st AS (SELECT count(*) AS n, avg(len(tt)) AS mt, avg(len(bt)) AS mb FROM ix),
-    qt AS (SELECT DISTINCT item_id AS qid, unnest({TOK.format(c="text")}[1:{MOST}]) AS term FROM benchmark),
+    qt AS (SELECT DISTINCT item_id AS qid, unnest({TOK.format(c="text")}) AS term FROM benchmark),
     tm AS (SELECT DISTINCT term FROM qt),
     tf AS (SELECT key, term, sum(t) AS t, sum(b) AS b, any_value(tl) AS tl, any_value(bl) AS bl FROM
            (SELECT key, len(tt) AS tl, len(bt) AS bl, unnest(tt) AS term, 1 AS t, 0 AS b FROM ix UNION ALL SELECT key, len(tt), len(bt), unnest(bt), 0, 1 FROM ix)
@@ -41,7 +39,8 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), MOST)
+    """Queries: every benchmark item, by all of its tokens."""
+    return lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:

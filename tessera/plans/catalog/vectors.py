@@ -100,8 +100,12 @@ def distances_and_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_id", F.round(S.haversine_km(F.col("lat"), F.col("lon"), F.lit(52.5), F.lit(13.4)), 4).alias("km"))
 
 
-@query()
+#: The cells of a circle, a fixed list of at most a few hundred, and their resolution.
+CIRCLE_RES, CIRCLE = C.filter_cells(-50.0, 60.0, 250.0)
+
+
+@query(f"SELECT cell, count(*) AS n FROM (SELECT {_cell_sql(CIRCLE_RES)} AS cell FROM events) WHERE cell IN ({', '.join(map(str, CIRCLE))}) GROUP BY cell")
 def circle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, allowed = C.filter_cells(40.0, 20.0, 250.0)
-    e = event_cells(spark, sf_dir, 5)
+    res, allowed = C.filter_cells(-50.0, 60.0, 250.0)
+    e = event_cells(spark, sf_dir, res)
     return e.where(lexical.compose_filter(F.col("cell"), allowed)).groupBy("cell").agg(F.count("*").alias("n"))
