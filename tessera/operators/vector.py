@@ -82,7 +82,10 @@ def int8_scan(rows: DataFrame, queries: DataFrame, candidates: DataFrame | None,
 
 def centroids(rows: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, key: str = "vec_id", vec: str = "embedding") -> np.ndarray:
     """Middles of lists by spherical k-means on at most ``sample`` rows, the first in order of a hash of their keys."""
-    m = _unit(np.array([r[0] for r in rows.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vec).collect()], np.float64))
+    some = rows.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vec).collect()
+    if not some:
+        return np.zeros((0, 0))
+    m = _unit(np.array([r[0] for r in some], np.float64))
     c = m[np.linspace(0, len(m) - 1, min(lists, len(m))).astype(int)].copy()
     for _ in range(rounds):
         near = (m @ c.T).argmax(axis=1)
@@ -107,17 +110,71 @@ def assign(rows: DataFrame, middles: np.ndarray, probes: int, key: str = "vec_id
     return rows.select(key, vec).mapInPandas(run, f"{key} long, {vec} array<double>, list long")
 
 
-def ann(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 6, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Approximate neighbours: rows stand in one list, queries look into their nearest ``probes``. All rows are indexed."""
+def list_count(n: int) -> int:
+    """Lists for so many rows: the square root, 4096 at most, so that the middles stay small."""
+    return max(1, min(round(n**0.5), 4096))
+
+
+def probes_for(rows: DataFrame, middles: np.ndarray, k: int, target: float, key: str, vec: str, most: int = 100) -> int:
+    """The least number of lists that finds ``target`` of the true neighbours of at most ``most`` rows, the first in order of a hash other than the sample's.
+
+    The neighbours are found by comparing these rows with all others.
+    """
+    asked = rows.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit("probe")), key).limit(most)
+    truth = knn(rows, asked, k, key, vec).select("qid", "key")
+    homes = assign(rows.join(truth.select(F.col("key").alias(key)).distinct(), key, "left_semi"), middles, 1, key, vec).select(F.col(key).alias("key"), "list")
+    order = assign(asked, middles, len(middles), key, vec).groupBy(F.col(key).alias("qid")).agg(F.collect_list("list").alias("lists"))
+    depth = truth.join(homes, "key").join(order, "qid").select(F.array_position("lists", F.col("list")).alias("d")).groupBy("d").count().orderBy("d").collect()
+    total, have = sum(r["count"] for r in depth), 0
+    for r in depth:
+        have += r["count"]
+        if have >= target * total:
+            return int(r["d"])
+    return len(middles)
+
+
+def ann(rows: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, key: str = "vec_id", vec: str = "embedding", allowed: DataFrame | None = None, target: float = 0.97) -> DataFrame:
+    """Approximate neighbours ``(qid, key, sim, rank)``: each row stands in one list, queries look into their nearest ``probes``.
+
+    All rows are indexed. Without ``lists`` their number follows the table's; without ``probes`` it is measured, so that ``target`` of the
+    true neighbours of some rows are found. ``allowed`` is a table of keys: only these are ranked, by the same index. A task finds the
+    lists of its rows and compares those of a list with the queries that look into it, in one matrix product; k rows a query stay.
+    """
+    spark = rows.sparkSession
     rows = rows.select(key, F.transform(vec, lambda x: x.cast("double")).alias(vec))
     queries = queries.select(key, F.transform(vec, lambda x: x.cast("double")).alias(vec))
-    c = centroids(rows, lists, key=key, vec=vec)
-    index = assign(rows, c, 1, key, vec)
-    asked = assign(queries, c, probes, key, vec).select(F.col(key).alias("qid"), F.col(vec).alias("qv"), "list")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    sim = dot(F.col(vec), F.col("qv")) / F.greatest(F.sqrt(dot(F.col(vec), F.col(vec)) * dot(F.col("qv"), F.col("qv"))), F.lit(1e-9))
-    got = index.join(asked, "list").select("qid", F.col(key).alias("key"), F.round(sim, 12).alias("sim"))
-    return top_k(got, ["qid"], [F.desc("sim"), F.asc("key")], k)
+    none = spark.createDataFrame([], "qid long, key long, sim double")
+    c = centroids(rows, lists or list_count(rows.where(F.col(vec).isNotNull()).count()), key=key, vec=vec)
+    if not len(c):
+        return none.withColumn("rank", F.lit(1))
+    probes = probes or probes_for(rows, c, k, target, key, vec)
+    ranked = rows if allowed is None else rows.join(allowed.select(key).distinct(), key, "left_semi")
+    out = none
+    for ids, q in query_blocks(queries, key, vec):
+        unit = _unit(q)
+        near = np.argsort(-(unit @ c.T), axis=1, kind="stable")[:, :probes]
+        shared = spark.sparkContext.broadcast((ids, unit, near, c))
+
+        def scan(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qid, qm, near, middles = shared.value
+            looks = np.zeros((len(qid), len(middles)), bool)
+            looks[np.arange(len(qid))[:, None], near] = True
+            for pdf in it:
+                pdf = pdf[pdf[vec].notna()]
+                if not len(pdf):
+                    continue
+                keys, m = pdf[key].to_numpy(), _unit(_matrix(pdf[vec]))
+                home = (m @ middles.T).argmax(axis=1)
+                for x in np.unique(home):
+                    at, who = np.flatnonzero(home == x), np.flatnonzero(looks[:, x])
+                    if not len(who):
+                        continue
+                    sim = np.round(m[at] @ qm[who].T, 12)
+                    best = np.lexsort((np.broadcast_to(keys[at][:, None], sim.shape), -sim), axis=0)[:k]
+                    yield pd.DataFrame({"qid": np.tile(qid[who], len(best)), "key": keys[at][best].ravel(), "sim": np.take_along_axis(sim, best, axis=0).ravel()})
+
+        out = out.unionByName(ranked.mapInPandas(scan, "qid long, key long, sim double"))
+    return top_k(out, ["qid"], [F.desc("sim"), F.asc("key")], k)
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:

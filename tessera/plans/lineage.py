@@ -14,10 +14,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is missing (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is missing and all runs on one machine (tests)."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")

@@ -222,3 +222,24 @@ def test_entry_scores_whole_queries(monkeypatch):
     monkeypatch.setattr(E, "search", lambda *a, **k: asked.update(k) or [None])
     E.entry(None)
     assert asked.get("most_terms") is None
+
+
+def test_ann_ranks_allowed_keys_only(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(300, 8)))] + [(900, None)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    some = t.where("vec_id % 3 = 0").select("vec_id")
+    got = vector.ann(t, t.where("vec_id < 5"), 4, lists=6, probes=6, allowed=some).collect()
+    want = vector.knn(t.where("vec_id % 3 = 0"), t.where("vec_id < 5"), 4).collect()
+    assert sorted((r["qid"], r["key"], r["rank"]) for r in got) == sorted((r["qid"], r["key"], r["rank"]) for r in want) and len(got) == 20
+    assert vector.ann(t.limit(0), t.limit(0), 4).count() == 0
+
+
+def test_a_cluster_must_name_the_shared_folder(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from tessera.plans import lineage
+
+    conf = N(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        lineage.shared_dir(N(conf=conf, sparkContext=N(getConf=lambda: conf, master="yarn", applicationId="a")))

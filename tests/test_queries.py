@@ -17,7 +17,13 @@ def test_query(spark, con, name):
     if name in catalog.ORACLES:
         assert plain(got) == plain(con.execute(catalog.ORACLES[name]).df())
     else:
-        assert len(got.columns) > 0
+        assert len(got) > 0
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_registered_search(spark, sf):
+    got = catalog.QUERIES["vector_ann_recall"](spark, SF.replace("0.001", sf)).first()["recall"]
+    assert got >= 0.95
 
 
 def test_entry(spark):
