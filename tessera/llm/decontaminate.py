@@ -32,8 +32,8 @@ class Items:
         self.ids, self.q = list(ids), q
         self.data, self.off = normal(texts)
         m = np.diff(self.off)
-        #: Edits allowed: so many hundredths of the length, but so few that the lemma still asks for a q-gram.
-        self.budget = np.where(m >= q, np.minimum(m * percent // 100, (m - q) // q), 0)
+        #: Edits allowed: so many hundredths of the length. ``q`` is such that the lemma still asks for a q-gram (see :func:`gram_size`).
+        self.budget = m * percent // 100
         self.need = m - q + 1 - q * self.budget
         c = X.prefix_hash(self.data)
         at = np.arange(max(len(self.data) - q + 1, 0))
@@ -47,12 +47,22 @@ class Items:
         self.item, self.pos = item[order], (at - self.off[item])[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.gram >> U(44)] = True
-        self.short = [i for i in range(len(m)) if 0 < m[i] < q]
+        self.short = [i for i in range(len(m)) if 0 < m[i] < q]  # these are too short for an edit
 
     def text(self, i: int) -> np.ndarray:
         return self.data[self.off[i] : self.off[i + 1]]
 
 
+def gram_size(text: str, q: int, percent: int) -> int:
+    """The largest q up to the given one with which an item of this length shares a q-gram with every match in its budget.
+
+    With e edits on m characters at least ``m - q + 1 - q e`` q-grams stay. Items too short for an edit keep ``q``.
+    """
+    m = len(" ".join(text.lower().split()))
+    e = m * percent // 100
+    return q if not e else max(1, min(q, m // (e + 1)))
+
+
 def edits(item: np.ndarray, doc: np.ndarray, low: int, high: int, most: int) -> int:
     """The least edits that turn the item into a stretch of doc, on the diagonals low..high; most + 1 if there are more."""
     width = high - low + 1
@@ -137,7 +147,8 @@ def leaks(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",),
     Texts are compared as code points, lower-cased, with each run of white space as one blank and none at the ends. An item stands in a
     document if it can be turned into a stretch of it with at most ``percent`` hundredths of its length in edits.
     Such a stretch shares at least ``m - q + 1 - q e`` q-grams with the item in a band of e + 1 diagonals, so that bands with
-    fewer are dropped without loss; the rest are aligned within their band. Items shorter than ``q`` must occur exactly.
+    fewer are dropped without loss; the rest are aligned within their band. Items so short that their budget would ask for none have
+    shorter q-grams; those too short for an edit must occur exactly.
 
     Items are the stated query set: they go to all tasks in blocks of at most BLOCK_CHARS characters, with one pass over the documents for each. Null or
     blank items match nothing; null or empty documents hold nothing. Repeated documents or items each give their own
@@ -172,14 +183,20 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
 
 def _search(index, names, q, percent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*index.value, q, percent)
+        by_size: dict[int, list[tuple[int, str]]] = {}
+        for i, t in zip(*index.value, strict=True):
+            by_size.setdefault(gram_size(t, q, percent), []).append((i, t))
+        groups = [Items(*zip(*x, strict=True), size, percent) for size, x in sorted(by_size.items())]
         for b in it:
             text = b.column(b.schema.get_field_index("text"))
             sizes = np.r_[0, np.cumsum([len(t) if t else 0 for t in text.to_pylist()])]
             for i, j in X.chunks(sizes):
-                got = matches(items, *normal(text.slice(i, j - i).to_pylist()))
+                data, off = normal(text.slice(i, j - i).to_pylist())
+                got = [(r, items.ids[k], e) for items in groups for r, k, _, e in matches(items, data, off)]
                 if got:
                     at = pa.array([i + r for r, *_ in got])
-                    yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(at) for c in names), pa.array([items.ids[x[1]] for x in got], pa.int64()), pa.array([x[3] for x in got], pa.int64())], names=[*names, "item_id", "edits"])
+                    kept = [b.column(b.schema.get_field_index(c)).take(at) for c in names]
+                    found = [pa.array([x[k] for x in got], pa.int64()) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([*kept, *found], names=[*names, "item_id", "edits"])
 
     return run
