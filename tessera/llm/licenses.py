@@ -26,6 +26,26 @@ SENTENCES = {
     "BSD-1": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BSD-2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BSD-3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "BSD-4": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "LGPL21-1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "LGPL3-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AGPL3-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "MPL2-1": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "MPL2-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "MPL2-2b": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "ISC-1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "UNL-1": "this is free and unencumbered software released into the public domain",
+    "CC0-1": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "SPDX-MIT": "spdx license identifier mit",
+    "SPDX-AL2": "spdx license identifier apache 2 0",
+    "SPDX-BSD2": "spdx license identifier bsd 2 clause",
+    "SPDX-BSD3": "spdx license identifier bsd 3 clause",
+    "SPDX-GPL2": "spdx license identifier gpl 2 0 only",
+    "SPDX-GPL2L": "spdx license identifier gpl 2 0 or later",
+    "SPDX-GPL3": "spdx license identifier gpl 3 0 only",
+    "SPDX-GPL3L": "spdx license identifier gpl 3 0 or later",
+    "SPDX-MPL2": "spdx license identifier mpl 2 0",
+    "SPDX-ISC": "spdx license identifier isc",
     "CC-BY-4": "licensed under cc by 4 0",
     "CC-BY-SA-4": "licensed under cc by sa 4 0",
     "CC-BY-NC-4": "licensed under cc by nc 4 0",
@@ -41,6 +61,7 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("apache-2.0-notice-long", "Apache-2.0", ("AL2-0b",)),
     ("mit-text", "MIT", ("MIT-1", "MIT-2")),
     ("mit-notice", "MIT", ("MIT-0",)),
+    ("bsd-3-conditions", "BSD-3-Clause", ("BSD-1", "BSD-2", "BSD-3", "BSD-4")),
     ("bsd-conditions", "BSD", ("BSD-1", "BSD-2", "BSD-3")),
     ("gpl-3-text", "GPL-3.0", ("GPL3-1", "GPL-2")),
     ("gpl-3-grant", "GPL-3.0", ("GPL3-1",)),
@@ -48,6 +69,25 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("gpl-2-text", "GPL-2.0", ("GPL2-1", "GPL-2")),
     ("gpl-2-grant", "GPL-2.0", ("GPL2-1",)),
     ("gpl-2-notice", "GPL-2.0", ("GPL2-0",)),
+    ("lgpl-2.1-grant", "LGPL-2.1", ("LGPL21-1",)),
+    ("lgpl-3-grant", "LGPL-3.0", ("LGPL3-1",)),
+    ("agpl-3-grant", "AGPL-3.0", ("AGPL3-1",)),
+    ("mpl-2-header", "MPL-2.0", ("MPL2-1", "MPL2-2")),
+    ("mpl-2-header-http", "MPL-2.0", ("MPL2-1", "MPL2-2b")),
+    ("mpl-2-terms", "MPL-2.0", ("MPL2-1",)),
+    ("isc-text", "ISC", ("ISC-1",)),
+    ("unlicense-text", "Unlicense", ("UNL-1",)),
+    ("cc0-waiver", "CC0-1.0", ("CC0-1",)),
+    ("mit-identifier", "MIT", ("SPDX-MIT",)),
+    ("apache-2.0-identifier", "Apache-2.0", ("SPDX-AL2",)),
+    ("bsd-2-identifier", "BSD-2-Clause", ("SPDX-BSD2",)),
+    ("bsd-3-identifier", "BSD-3-Clause", ("SPDX-BSD3",)),
+    ("gpl-2-identifier", "GPL-2.0", ("SPDX-GPL2",)),
+    ("gpl-2-later-identifier", "GPL-2.0", ("SPDX-GPL2L",)),
+    ("gpl-3-identifier", "GPL-3.0", ("SPDX-GPL3",)),
+    ("gpl-3-later-identifier", "GPL-3.0", ("SPDX-GPL3L",)),
+    ("mpl-2-identifier", "MPL-2.0", ("SPDX-MPL2",)),
+    ("isc-identifier", "ISC", ("SPDX-ISC",)),
     ("cc-by-nc-nd-4.0-notice", "CC-BY-NC-ND-4.0", ("CC-BY-NC-ND-4",)),
     ("cc-by-nc-4.0-notice", "CC-BY-NC-4.0", ("CC-BY-NC-4",)),
     ("cc-by-sa-4.0-notice", "CC-BY-SA-4.0", ("CC-BY-SA-4",)),
@@ -56,7 +96,7 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", "Proprietary", ("ARR-0",)),
 )
 #: Each known sentence holds one of these, so that texts without any need no splitting.
-HINTS = ("licen", "permi", "copyright", "redistribut", "warrant", "rights")
+HINTS = ("licen", "permi", "copyright", "redistribut", "warrant", "rights", "public domain", "mpl", "contributors")
 #: Where sentences end in the SQL, which knows those on one line only, and what normalising makes a blank of.
 ENDS, OTHER = r"\n|[.?;]+[^\p{L}\p{N}]+|[.?;]+\z", r"[^\p{L}\p{N}]+"
 
