@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, language, licenses, order, quality, storage, toxicity, warc
+from tessera.llm import bpe, decontaminate, jaccard_join, language, licenses, order, quality, storage, toxicity, warc
 from tessera.llm.jaccard_join import jaccard_groups, parts_of
 from tessera.llm.suffix_dedup import remove_repeats, remove_repeats_plainly
 from tests.compare import SF
@@ -91,6 +91,39 @@ def test_jaccard_groups_edges(spark):
     assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None), (7, 7)], key=key)
 
 
+def test_cells_lose_no_pair(monkeypatch):
+    """Cells of pivots with small limits against all pairs by brute force, and crowds that are joined round by round."""
+    rnd = np.random.default_rng(5)
+    base = [rnd.integers(0, 1 << 62, 90).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.r_[b[rnd.permutation(90)[: rnd.integers(78, 91)]], rnd.integers(0, 1 << 62, rnd.integers(0, 9)).astype(np.uint64)]) for b in base for _ in range(25)]
+    sets += [np.unique(rnd.integers(0, 1 << 62, 85).astype(np.uint64)) for _ in range(8)]
+    sid, size = rnd.permutation(len(sets)).astype(np.int64), np.array([len(s) for s in sets])
+    link = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (size[i] + size[j] - c)}
+    bits = [jaccard_join.parity(s) for s in sets]
+    for small, few in ((4, 12), (16, 12), (10**6, 8)):
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        monkeypatch.setattr(jaccard_join, "PIVOTS", few)
+        cells = jaccard_join.Cells(sid, np.arange(len(sets)), size, bits, 80)
+        reach, got, n = cells.reach(np.arange(len(sets))), set(), 0
+        for home, guest, d in cells.divide(np.arange(len(sets)), reach):
+            i, j, all_ = cells.open_pairs(home, guest, d, reach, True)
+            assert all_
+            got |= {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+            n += 1
+        assert link <= got and (n > 1) == (small < 10**6)
+    crowd = np.arange(25)
+    i, j, all_ = cells.open_pairs(crowd, crowd[:0], np.zeros(25, np.int64), reach, False)
+    assert not all_ and 0 < len(i) <= jaccard_join.COVERS * len(crowd)
+
+
+def test_jaccard_groups_of_a_crowd(spark):
+    rnd = random.Random(17)
+    texts = near_copies(rnd, words(rnd, 60), 150, 7) + near_copies(rnd, words(rnd, 90), 60, 14)
+    rows = list(enumerate(texts))
+    got = [tuple(r) for r in jaccard_groups(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(components(rows))
+
+
 def test_parts_leave_no_gap():
     for cls in range(0, 40):
         m, spare = parts_of(cls, 80)
@@ -258,6 +291,22 @@ limitations under the License.
     assert [got[i] for i in range(len(cases))] == [rules for _, rules in cases]
 
 
+def test_licenses_of_other_families(spark):
+    """Expected licences are written down by hand, not taken from the module's rules."""
+    cases = [
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", ["GPL-2.0"]),
+        ("# SPDX-License-Identifier: MIT\n", ["MIT"]),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", ["MPL-2.0"]),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", ["Unlicense"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", ["ISC"]),
+        ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n", ["LGPL-2.1"]),
+        ("    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU Affero General Public License as\n    published by the Free Software Foundation, either version 3 of the\n    License, or (at your option) any later version.\n", ["AGPL-3.0"]),
+        ("We mention the MIT license, and public domain works.", []),
+    ]
+    got = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan_licenses(table(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [x for _, x in cases]
+
+
 def test_bpe_matches_the_library(spark):
     PT = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -292,6 +341,13 @@ def test_leaks(spark):
     rnd = random.Random(5)
     items = [words(rnd, rnd.randrange(8, 25)) for _ in range(12)] + ["tiny", None, " "]
     docs = [None, "", "tiny", words(rnd, 50)]
+    for n in (12, 13, 18, 19, 25, 29, 38, 39):  # lengths at which the lemma asks for shorter q-grams
+        items.append("".join(rnd.choice("abcdefghij") for _ in range(n)))
+        for _ in range(6):
+            t = list(items[-1])
+            for _ in range(rnd.randrange(5)):
+                t[rnd.randrange(len(t))] = rnd.choice(["", "q", "zz"])
+            docs.append(words(rnd, 5) + " " + "".join(t) + " " + words(rnd, 5))
     for s in items[:12]:
         for _ in range(3):
             t = list(s.upper() if rnd.random() < 0.3 else s)
@@ -304,7 +360,7 @@ def test_leaks(spark):
     for d, t in enumerate(docs):
         for i, s in enumerate(items):
             m = len(norm(s))
-            most = min(m * 8 // 100, (m - 10) // 10) if m >= 10 else 0
+            most = m * 8 // 100
             if m and (e := distance(norm(s), norm(t))) <= most:
                 want.add((d, i, e))
     it = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

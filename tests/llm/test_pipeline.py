@@ -57,3 +57,31 @@ def test_stage_takes_an_empty_table(spark, tmp_path, name):
     spark.createDataFrame([(0, "some text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, setid string").withColumn("other", F.lit(1))
     assert dict(corpus_pipeline.STAGES)[name](spark, none, str(tmp_path)).count() == 0
+
+
+COLS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, tmp_path):
+    rnd = random.Random(13)
+    a, b, c, leak = words(rnd, 60), words(rnd, 60), words(rnd, 60), words(rnd, 30)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (None, None), (7, None), (8, "")]
+    table = lambda r: spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in r], COLS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, table(rows), "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (5, b), (None, c), (None, None), (7, None), (8, "")], key=repr)
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, a + " " + leak), (5, b), (None, leak), (None, c), (6, None)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, table(rows), str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(5, b), (None, c), (6, None)], key=repr)
+
+
+def test_cuts_keep_replacement_characters_and_whole_letters(spark):
+    rnd = random.Random(14)
+    passage = "é".join(words(rnd, 90).split(" "))  # one word of many bytes, so that only bytes repeat
+    rows = [(1, "\ufffd begin à" + passage + "è end \ufffd"), (2, "other â" + passage + "ê tail"), (3, "\ufffd alone")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], COLS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
+    assert len(passage.encode()) > 400
+    # both letters around the passage begin with the same byte in the two texts: it goes with the passage, and so does the rest of the letter
+    assert got[1] in ("\ufffd begin " + x + y + " end \ufffd" for x in ("", "à") for y in ("", "è"))
+    assert got[2] in ("other " + x + y + " tail" for x in ("", "â") for y in ("", "ê")) and got[3] == "\ufffd alone"
