@@ -1,6 +1,9 @@
 """Small cases with known results."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +246,47 @@ def test_a_cluster_must_name_the_shared_folder(monkeypatch):
     conf = N(get=lambda *_: None)
     with pytest.raises(ValueError):
         lineage.shared_dir(N(conf=conf, sparkContext=N(getConf=lambda: conf, master="yarn", applicationId="a")))
+
+
+def test_ranking_in_blocks_of_queries(spark, monkeypatch):
+    """Small blocks, slices and buffers give the rows of a count by hand; ties go to the smaller key, null texts match nothing."""
+    words = ["ash", "oak", "elm", "fir", "yew"]
+    texts = [" ".join(words[(i * j) % 5] for j in range(1 + i % 9)) for i in range(40)] + [None, "", "oak oak", "oak oak"]
+    docs = spark.createDataFrame([(f"d{i:02d}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    asked = {1: "oak elm", 2: "yew", 3: "pine", 4: "ash oak elm fir yew", 5: None}
+    queries = spark.createDataFrame(list(asked.items()), "item long, text string")
+    terms = lexical.query_terms(queries, "item", F.col("text"))
+    toks = [(t or "").split() for t in texts]
+    n, mean = len(toks), sum(map(len, toks)) / len(toks)
+    df = {w: sum(w in t for t in toks) for w in words}
+    want = []
+    for q, text in asked.items():
+        got = []
+        for i, t in enumerate(toks):
+            s = 0.0
+            for w in set((text or "").split()) & set(t):
+                idf, tf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)), t.count(w)
+                s += 3 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+            if s > 0 and i % 4:
+                got.append((-round(s, 9), f"d{i:02d}"))
+        want += [(q, key, rank, round(-s, 6)) for rank, (s, key) in enumerate(sorted(got)[:7], 1)]
+    index = lexical.index_documents(docs).withColumn("odd", F.substring("key", 2, 2).cast("int") % 4 != 0)
+    for terms_most in (1 << 18, 2):
+        monkeypatch.setattr(lexical, "BLOCK_TERMS", terms_most)
+        rows = lexical.bm25(index, terms, 7, keep=F.col("odd")).select("qid", "key", "rank", F.round("bm25", 6)).collect()
+        assert sorted(map(tuple, rows), key=lambda r: (r[0], r[2])) == want
+    assert lexical.bm25(index, terms.limit(0), 7).count() == 0 and lexical.bm25(index.limit(0), terms, 7).count() == 0
+
+
+def test_best_rows_of_a_task():
+    """The kept rows are those of a full sort, however often the buffer is emptied."""
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 6, (200, 4)).astype(float)
+    best = lexical._Best(4, 5)
+    best.limit = 16
+    for at in range(0, 200, 7):
+        part = pa.array(np.arange(200)[::-1]).slice(at, 7)
+        best.add(part, scores[at:at + 7])
+    got = [tuple(r.values()) for b in best.rows() for r in b.to_pylist()]
+    want = [(q, *r[::-1]) for q in range(4) for r in sorted((-scores[199 - key, q], key) for key in range(200))[:5]]
+    assert [(q, key, -s) for q, key, s in got] == want
