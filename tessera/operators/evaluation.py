@@ -57,16 +57,24 @@ def alpha_ndcg_by_query(ranked: DataFrame, judged: DataFrame, k: int = 10) -> Da
     return ranked.groupBy("qid").cogroup(judged.where("grade > 0").groupBy("qid")).applyInPandas(run, "qid long, alpha_ndcg double")
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> Column:
-    """Rank from 1, equals sharing the mean of their ranks."""
+def average_rank(value: str, by: Sequence[str], n: str) -> Column:
+    """Rank from 1 of a row that stands for ``n`` equal ones, equals sharing the mean of their ranks; nulls come first and are equal."""
     w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+    same = F.sum(n).over(Window.partitionBy(*by, value))
+    return F.sum(n).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)) - (same - 1) / 2
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Rank correlation of each group; null for fewer than three rows or a constant side."""
-    r = df.withColumn("_x", average_rank(df, x, by)).withColumn("_y", average_rank(df, y, by))
-    return r.groupBy(*by).agg(F.when(F.count("*") >= 3, F.corr("_x", "_y")).alias("spearman")).withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
+    """Rank correlation of each group; null for fewer than three rows or a constant side.
+
+    Rows are counted by their pair of values before anything is ordered, so that a group costs its distinct pairs.
+    """
+    g = df.groupBy(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy")).agg(F.count("*").alias("_n"))
+    g = g.withColumn("_mean", (F.sum("_n").over(Window.partitionBy(*by)) + 1) / 2)
+    g = g.withColumns({"_x": average_rank("_vx", by, "_n") - F.col("_mean"), "_y": average_rank("_vy", by, "_n") - F.col("_mean")})
+    s = g.groupBy(*by).agg(F.sum("_n").alias("_rows"), *(F.sum(F.col("_n") * F.col(i) * F.col(j)).alias(i + j) for i, j in (("_x", "_x"), ("_x", "_y"), ("_y", "_y"))))
+    able = (F.col("_rows") >= 3) & (F.col("_x_x") > 0) & (F.col("_y_y") > 0)
+    return s.select(*by, F.when(able, F.col("_x_y") / F.sqrt(F.col("_x_x") * F.col("_y_y"))).alias("spearman"))
 
 
 def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
@@ -85,11 +93,13 @@ def pair_scores(df: DataFrame, truth: str, found: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, percents: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Percentiles by nearest rank: the value at place ceil(p n / 100), the first at least."""
+    """Percentiles by nearest rank: the value at place ceil(p n / 100), the first at least. Rows are counted by value before values are ordered."""
     w = Window.partitionBy(*by)
-    r = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    g = g.withColumn("_n", F.sum("_k").over(w)).withColumn("_to", F.sum("_k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda p: F.greatest(F.ceil(F.lit(p) / 100 * F.col("_n")), F.lit(1))
-    return r.groupBy(*by).agg(*(F.max(F.when(F.col("_r") == at(p), F.col(value))).alias(f"p{p:g}".replace(".", "_")) for p in percents))
+    here = lambda p: (at(p) <= F.col("_to")) & (at(p) > F.col("_to") - F.col("_k"))
+    return g.groupBy(*by).agg(*(F.max(F.when(here(p), F.col(value))).alias(f"p{p:g}".replace(".", "_")) for p in percents))
 
 
 def conformal_threshold(df: DataFrame, score: str, wrong: str, alpha: float = 0.1, least: int = 20) -> DataFrame:

@@ -11,14 +11,19 @@ from tessera.functions import scalars as S
 def ingest(batch: DataFrame, seen: DataFrame, tombstones: DataFrame, text: str = "text", order: Column | None = None) -> DataFrame:
     """The batch with ``hash`` and ``status``: refused (a tombstone), deduped (seen before, or earlier in the batch) or accepted, in that order of precedence.
 
-    Rows that are null or blank are left out. ``seen`` and ``tombstones`` have a column ``hash``.
+    Rows that are null or blank are left out. ``seen`` and ``tombstones`` have a column ``hash``. Of rows that tie in ``order`` any one is the first.
     """
     x = batch.withColumn("hash", S.content_hash(F.col(text))).where(F.col(text).isNotNull() & (F.trim(F.regexp_replace(text, r"\s+", " ")) != ""))
     mark = lambda d, c: d.select("hash").distinct().withColumn(c, F.lit(True))
+    order = order if order is not None else F.monotonically_increasing_id()
+    # the earliest of a hash in each task of the input first, then the earliest of those: the copies of a common text stay spread
+    x = x.withColumns({"_o": order, "_p": F.spark_partition_id()})
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("hash", "_p").orderBy("_o")))
+    x = x.withColumn("_p", F.when(F.col("_r") == 1, -1).otherwise(F.col("_p")))
+    x = x.withColumn("_r", F.when(F.col("_p") == -1, F.row_number().over(Window.partitionBy("hash", "_p").orderBy("_o"))).otherwise(2))
     x = x.join(mark(tombstones, "_gone"), "hash", "left").join(mark(seen, "_seen"), "hash", "left")
-    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("hash").orderBy(order if order is not None else F.monotonically_increasing_id())))
     status = F.when(F.col("_gone"), "refused").when(F.col("_seen") | (F.col("_r") > 1), "deduped").otherwise("accepted")
-    return x.withColumn("status", status).drop("_gone", "_seen", "_r")
+    return x.withColumn("status", status).drop("_gone", "_seen", "_o", "_p", "_r")
 
 
 def ingest_stats(ingested: DataFrame) -> DataFrame:

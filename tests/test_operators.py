@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -290,3 +291,31 @@ def test_best_rows_of_a_task():
     got = [tuple(r.values()) for b in best.rows() for r in b.to_pylist()]
     want = [(q, *r[::-1]) for q in range(4) for r in sorted((-scores[199 - key, q], key) for key in range(200))[:5]]
     assert [(q, key, -s) for q, key, s in got] == want
+
+
+def test_ingest_of_a_hot_text_accepts_its_first_row_alone(spark):
+    batch = spark.range(600).selectExpr("600 - id id", "if(id % 3 = 0, concat('text ', id), 'the same text') text").repartition(16)
+    none = spark.createDataFrame([], "hash string")
+    got = ingest.ingest(batch, none, none, order=F.col("id")).where("status = 'accepted'").select("id", "text").collect()
+    assert len(got) == 201
+    assert [r["id"] for r in got if r["text"] == "the same text"] == [1]
+    equal = spark.createDataFrame([(1, "again")] * 50, "id int, text string").repartition(8)
+    stats = ingest.ingest_stats(ingest.ingest(equal, none, none, order=F.col("id"))).first()
+    assert (stats["accepted"], stats["deduped"], stats["refused"]) == (1, 49, 0)
+
+
+def test_ranks_of_counted_values_match_ranks_of_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(g), None if rng.random() < 0.1 else float(rng.integers(0, 6)), int(rng.integers(0, 4))) for g in rng.integers(0, 3, 200)]
+    rows += [(7, 1.0, 1), (7, 2.0, 2), (8, 1.0, 1), (8, 1.0, 2), (8, 1.0, 3)]
+    df = spark.createDataFrame(rows, "g int, x double, y int")
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"]).fillna({"x": -1.0})
+    got = {r["g"]: r["spearman"] for r in M.spearman(df, "x", "y", ["g"]).collect()}
+    assert got[7] is None and got[8] is None
+    for g in range(3):
+        part = pdf[pdf.g == g]
+        assert got[g] == pytest.approx(part.x.rank().corr(part.y.rank()))
+    for r in M.nearest_rank(df, "x", [1, 50, 95, 100], ["g"]).collect():
+        values = sorted(x for g, x, _ in rows if g == r["g"] and x is not None)
+        assert [r["p1"], r["p50"], r["p95"], r["p100"]] == [values[max(-(-p * len(values) // 100), 1) - 1] for p in (1, 50, 95, 100)]
+    assert M.spearman(df.where("false"), "x", "y", ["g"]).count() == 0
