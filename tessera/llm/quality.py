@@ -98,6 +98,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     rows = P.arrow(src, run, ddl).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     rows, _ = cut_at(rows, "quality")
     hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("f")).withColumn("r", F.col("f") / F.col("n"))
+    # written, so that its size is known before the join: while it is small, the rows of a large host stay where they are read
+    hosts, _ = cut_at(hosts, "hosts")
     prior = hosts.agg((F.sum("f") / F.sum("n")).alias("m"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("s2")).first()
     rate, strength = prior_of(prior["m"], prior["n"], prior["s2"])
     hosts = hosts.select("host", ((F.col("f") + F.lit(rate * strength)) / (F.col("n") + F.lit(strength))).alias("host_rate"))
