@@ -170,14 +170,17 @@ def identify(pages: DataFrame | None, docs: DataFrame | None, model: Likelihood,
         return F.transform(e, lambda x: x / total(e))
 
     rows = rows.withColumn("own", add(add(F.col("ll"), told("declared")), told("suffix"))).withColumn("p", softmax(F.col("own")))
-    sums = lambda key: rows.groupBy(*key).agg(F.array(*(F.sum(F.get("p", F.lit(i))) for i in range(len(langs)))).alias("c"))
-    hosts, domains = sums(["host"]).withColumnRenamed("c", "ch"), sums(["domain"]).withColumnRenamed("c", "cd")
-    every = rows.agg(*(F.sum(F.get("p", F.lit(i))).alias(f"x{i}") for i in range(len(langs)))).first()
+    each = range(len(langs))
+    hosts, _ = cut_at(rows.groupBy("host", "domain").agg(F.array(*(F.sum(F.get("p", F.lit(i))) for i in each)).alias("ch")), "hosts")
+    domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.get("ch", F.lit(i))) for i in each)).alias("cd"))
+    every = hosts.agg(*(F.sum(F.get("ch", F.lit(i))).alias(f"x{i}") for i in each)).first()
+    # one row a host with its domain's sums, written so that its size is known before the join: while it is small, the rows of a large host stay where they are read
+    priors, _ = cut_at(hosts.join(domains, "domain").select("host", "ch", "cd"), "priors")
     n_all = sum(x or 0.0 for x in every)
     base = F.array(*(F.lit(float(((x or 0.0) + 1.0) / (n_all + len(langs)))) for x in every))
     less = lambda c: F.zip_with(c, F.col("p"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
     layer = lambda c, above: F.zip_with(c, above, lambda x, y: (x + KAPPA * y) / (total(c) + KAPPA))
-    out = rows.join(hosts, "host").join(domains, "domain")
+    out = rows.join(priors, "host")
     out = out.withColumn("pd", layer(less(F.col("cd")), base)).withColumn("ph", layer(less(F.col("ch")), F.col("pd")))
     out = out.withColumn("post", softmax(add(F.col("own"), F.transform("ph", lambda x: F.log(x)))))
     return out.select(*ids, "text_lang", best(F.col("post")).alias("lang"), F.array_max("post").alias("probability"))
