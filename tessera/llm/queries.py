@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,11 @@ from tessera.llm.language import identify, learn_likelihood
 from tessera.llm.licenses import oracle_sql as licenses_sql
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.order import materialise
+from tessera.llm.periodic import periodic_runs, run_digest
 from tessera.llm.quality import COUNTS, quality
+from tessera.llm.simhash_join import simhash_groups
 from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.token_align import align_tokenizers
 from tessera.llm.toxicity import score_toxicity
 from tessera.llm.warc import archive
 
@@ -82,6 +86,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages"))[0]
 
 
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document whose id's checksum is divisible by ten, with a tail that repeats; those of others as they are."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(_table(spark, sf_dir, "documents"), edit=periodic_tail))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as T
+
+    return align_tokenizers(_table(spark, sf_dir, "documents"), T.path("byte_bpe_50k.json"), T.PATTERN, T.path("piece_bpe_32k.model"))
+
+
+def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -93,6 +122,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_align": op12_token_align,
+    "op13_simhash_join": op13_simhash_join,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
