@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.functions import stemming
 from tessera.operators import fusion, lexical
+from tessera.operators.stored_index import IndexRefused, StoredIndex
 from tessera.plans.catalog import query, table
+from tessera.plans.lineage import new_path, shared_dir
 
 TOK = r"regexp_extract_all(lower({c}), '([\p{{L}}\p{{N}}]+)', 1)"
 KEY = "('0x' || substr(md5({c}), 1, 15))::BIGINT"
@@ -43,8 +48,39 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
 
 
+def _with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").withColumns({"title": S.title_of(t), "snippet": S.snippet_of(t)})
+
+
+STORED = ("source", "lang", "n_chars", "title", "snippet")
+
+
+def stored(spark: SparkSession, sf_dir: str, stem: bool = False) -> StoredIndex:
+    """The index of ``documents`` in the shared folder, built by the first query that asks for it and opened by all others.
+
+    It is named after the table's files, their sizes and times, so that a table that has changed gets another one.
+    """
+    docs = table(spark, sf_dir, "documents")
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    about = []
+    for f in sorted(docs.inputFiles()):
+        s = path(f).getFileSystem(conf).getFileStatus(path(f))
+        about.append(f"{f} {s.getLen()} {s.getModificationTime()}")
+    name = hashlib.sha256("\n".join(about).encode()).hexdigest()[:24]
+    at = f"{shared_dir(spark)}/tessera-index-{name}-{'stems' if stem else 'words'}"
+    index = StoredIndex.open_or_create(spark, at, stem)
+    if not index.manifest["number"]:
+        index.add(_with_texts(spark, sf_dir), "doc_id", store=STORED)
+        try:
+            index.commit()
+        except IndexRefused:  # another session was quicker
+            index = StoredIndex.open_or_create(spark, at, stem)
+    return index
+
+
 def ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.bm25(_index(spark, sf_dir), _terms(spark, sf_dir), k)
+    return stored(spark, sf_dir).bm25(_terms(spark, sf_dir), k)
 
 
 @query(f"SELECT page_id, {KEY.format(c='url')} AS url_key, {HOST.format(c='url')} AS host, {KEY.format(c=HOST.format(c='url'))} AS domain_hash, {DOMAIN.format(h=HOST.format(c='url'))} AS domain FROM pages")
@@ -80,12 +116,51 @@ def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir, 100).select("qid", "key", F.round("bm25", 6).alias("bm25"), "rank")
 
 
+@query(f"""WITH terms AS (SELECT DISTINCT unnest({TOK.format(c="text")}) AS term FROM documents),
+    {stemming.stems_sql("terms")}
+    SELECT term, stem FROM stems""")
+def stem_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return stemming.stems(d.select(F.explode(S.tokens(F.col("text"))).alias("term")))
+
+
+#: The ranking of INDEX_SQL with stems in place of tokens.
+STEM_INDEX_SQL = INDEX_SQL.replace("qt AS (SELECT DISTINCT item_id AS qid, unnest(", "qw AS (SELECT DISTINCT item_id AS qid, unnest(").replace("AS term FROM benchmark)", "AS term FROM benchmark), qt AS (SELECT DISTINCT qid, stem AS term FROM qw JOIN stems USING (term))").replace(
+    "SEMI JOIN tm USING (term) GROUP BY key, term)", "x JOIN stems USING (term) SEMI JOIN tm ON tm.term = stems.stem GROUP BY key, stems.stem)").replace("tf AS (SELECT key, term, sum(t)", "tf AS (SELECT key, stems.stem AS term, sum(t)")
+
+
+@query(f"""WITH words AS (SELECT DISTINCT term FROM (SELECT unnest({TOK.format(c="text")}) AS term FROM documents UNION ALL SELECT unnest({TOK.format(c="substr(text, 1, 80)")}) FROM documents UNION ALL SELECT unnest({TOK.format(c="text")}) FROM benchmark)),
+    {stemming.stems_sql("words")}, {STEM_INDEX_SQL},
+    sc AS (SELECT qid, key, sum(2.0 * s_title + s_body) AS bm25 FROM ts JOIN qt USING (term) GROUP BY qid, key)
+    SELECT qid, key, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, key)::INT AS rank FROM sc QUALIFY rank <= 100""")
+def stemmed_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored(spark, sf_dir, stem=True)
+    terms = index.query_terms(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    return index.bm25(terms, 100).select("qid", "key", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query(f"""WITH {INDEX_SQL.replace("FROM documents),", "FROM documents WHERE source IS DISTINCT FROM 'src0' OR source IS NULL),", 1)}
+    SELECT term, n, dt AS df_title, db AS df_body, round(mt, 6) AS avg_title, round(mb, 6) AS avg_body FROM df, st""")
+def index_after_forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segments are committed, a host's documents are removed by key, and the segments are merged: statistics are those of what is left."""
+    docs = table(spark, sf_dir, "documents")
+    index = StoredIndex.open_or_create(spark, new_path(spark, "index"), stem=False)
+    for part in ("lang = 'en'", "lang IS DISTINCT FROM 'en'"):
+        index.add(docs.where(part), "doc_id", store=["source"])
+        index.commit()
+    index.remove(index.documents().where("source = 'src0'"))
+    index.commit()
+    index.merge()
+    index.vacuum()
+    n, title, body = index.totals()
+    df = index.statistics(_terms(spark, sf_dir))
+    return df.select("term", F.lit(n).alias("n"), "df_title", "df_body", F.round(F.lit(title), 6).alias("avg_title"), F.round(F.lit(body), 6).alias("avg_body"))
+
+
 @query(f"""WITH {INDEX_SQL}, sc AS (SELECT qid, key, sum(2.0 * s_title + s_body) AS bm25 FROM ts JOIN qt USING (term) JOIN documents d ON d.doc_id = key WHERE d.lang = 'en' AND d.n_chars BETWEEN 500 AND 5000 GROUP BY qid, key)
     SELECT qid, key, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, key)::INT AS rank FROM sc QUALIFY rank <= 50""")
 def filtered_bm25_global_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    ix = lexical.index_documents(docs).join(docs.select(F.col("doc_id").alias("key"), "lang", "n_chars"), "key")
-    out = lexical.bm25(ix, _terms(spark, sf_dir), 50, keep=(F.col("lang") == "en") & F.col("n_chars").between(500, 5000))
+    out = stored(spark, sf_dir).bm25(_terms(spark, sf_dir), 50, keep=(F.col("lang") == "en") & F.col("n_chars").between(500, 5000))
     return out.select("qid", "key", F.round("bm25", 6).alias("bm25"), "rank")
 
 
@@ -95,9 +170,8 @@ def filtered_bm25_global_statistics(spark: SparkSession, sf_dir: str) -> DataFra
     r AS (SELECT qid, key, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, key)
     SELECT qid, key, round(rrf, 9) AS rrf, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, key)::INT AS rank FROM r QUALIFY rank <= 20""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, q = table(spark, sf_dir, "documents"), _terms(spark, sf_dir)
-    title = lexical.bm25(lexical.index_documents(docs, body=F.lit(""), title=S.title_of(F.col("text"))), q, 200, boost=1.0)
-    body = lexical.bm25(lexical.index_documents(docs, title=F.lit("")), q, 200)
+    index, q = stored(spark, sf_dir), _terms(spark, sf_dir)
+    title, body = index.bm25(q, 200, boost=1.0, body=0.0), index.bm25(q, 200, boost=0.0)
     fused = fusion.rrf({"title": title, "body": body})
     return lexical.top_k(fused, ["qid"], [F.desc(F.round("rrf", 12)), F.asc("key")], 20).select("qid", "key", F.round("rrf", 9).alias("rrf"), "rank")
 
@@ -141,7 +215,7 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY round(ltr, 12) DESC, key) AS within FROM c)
     SELECT qid, key, source AS host, round(ltr, 9) AS ltr, row_number() OVER (PARTITION BY qid ORDER BY round(ltr, 12) DESC, key)::INT AS rank FROM d WHERE within <= 3 QUALIFY rank <= 10""")
 def ltr_and_domain_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("host"), S.snippet_of(F.col("text")).alias("snippet"))
+    docs = stored(spark, sf_dir).documents().select("key", F.col("source").alias("host"), "snippet")
     f = ranked(spark, sf_dir, 100).select("qid", "key", (1 / (60 + F.col("rank"))).alias("rrf")).join(docs, "key")
     scored = f.withColumn("ltr", fusion.linear_ltr({"rrf": F.col("rrf"), "snippet": S.snippet_norm(F.col("snippet"))}, {"rrf": 1.0, "snippet": 0.001}))
     return fusion.domain_cap(scored, ["qid"], "host", [F.desc(F.round("ltr", 12)), F.asc("key")], 3, 10).select("qid", "key", "host", F.round("ltr", 9).alias("ltr"), "rank")

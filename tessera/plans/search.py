@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import evidence, fusion, lexical
+from tessera.operators.stored_index import StoredIndex
 from tessera.plans.config import Config, clamp, validate
 
 
@@ -21,12 +22,13 @@ class Request:
     overrides: tuple[tuple[str, float], ...] = ()
 
 
-def search(docs: DataFrame, queries: DataFrame, request: Request = Request(), config: Config = Config(), web: DataFrame | None = None, ann: DataFrame | None = None, keep: Column | None = None, priors: DataFrame | None = None, most_terms: int | None = None) -> tuple[DataFrame, list[str]]:
+def search(docs: DataFrame, queries: DataFrame, request: Request = Request(), config: Config = Config(), web: DataFrame | None = None, ann: DataFrame | None = None, keep: Column | None = None, priors: DataFrame | None = None, most_terms: int | None = None, index: StoredIndex | None = None) -> tuple[DataFrame, list[str]]:
     """One plan for a whole batch of queries: (qid, query) against documents (doc_id, text, source).
 
     Stages: full-text ranking (and vector neighbours ``ann`` and web lists ``web`` where given, as qid, key, rank), fusion by reciprocal
     rank, a linear score of the first hundred, at most so many results of a host, clusters of derived texts, and on request their
-    diversification. Filters (``keep``) apply to local documents before ranking and switch neighbours off. Returns results and degradation flags.
+    diversification. Texts are ranked as
+    they stand, or where ``index`` is given by that stored index of them. Filters (``keep``) apply to local documents before ranking and switch neighbours off. Returns results and degradation flags.
     """
     flags = validate(request.scope, request.mode, filtered=keep is not None)
     knob = lambda name, default: int(clamp(name, dict(request.overrides).get(name, default)))
@@ -34,7 +36,11 @@ def search(docs: DataFrame, queries: DataFrame, request: Request = Request(), co
     terms = lexical.query_terms(queries, "qid", F.col("query"), most_terms)
     lists: dict[str, DataFrame] = {}
     if request.scope != "web":
-        lists["bm25"] = lexical.bm25(lexical.index_documents(docs), terms, knob("bm25_top_k", config.bm25_top_k), config.bm25_k1, config.bm25_b, config.title_boost, keep)
+        how = (knob("bm25_top_k", config.bm25_top_k), config.bm25_k1, config.bm25_b, config.title_boost, keep)
+        if index is None:
+            lists["bm25"] = lexical.bm25(lexical.index_documents(docs), terms, *how)
+        else:
+            lists["bm25"] = index.bm25(index.query_terms(queries, "qid", F.col("query")), *how)
         if ann is not None and keep is None:
             lists["ann"] = ann
     if request.scope != "local":
