@@ -7,11 +7,15 @@ most ``e`` shingles, agree entirely on one (more parts than ``e``, parts without
 replicated to the region of each of its parts' contents.
 
 Within a region the join is by pivots. Its metric is the Hamming distance of parity bitmaps, never more than the number of shingles
-in which two sets differ. A set belongs to the cell of its nearest pivot and is replicated to each cell whose pivot is at most
-``2 e`` further away than that; cells are divided again by pivots of their own until they are small or no longer divide. In a cell
+in which two sets differ. A set within ``e`` of a pivot is at home in the cell of its nearest one, and every other set within ``2 e`` of that
+pivot is replicated to the cell: no set further away can link with one at home there. What is at home in no cell is divided again by
+pivots of its own, and so on until few are left or pivots find nobody but themselves. In a cell
 the sets are ordered by distance to its pivot, and only those whose distances differ by ``e`` at most are compared (the triangle
 inequality again). What the bitmaps leave is verified on whole sets.
 
+Pivots find nothing among many unrelated sets that share a region for a common line or passage. Such an undivided region shows which
+shingles are common, and its sets are dealt out to regions anew by their other shingles, in which linked sets differ no more than in all.
+
 Linked sets become one *class*, and only sets of different classes are compared, so that a group of near copies costs a few
 distances for each member: a cell with many more open pairs than members gives links to a few pivots, and is joined again once its
 classes are contracted. None of this loses a link.
@@ -34,8 +38,11 @@ from tessera.plans.lineage import cut_at, delete
 U = X.U
 #: Rounds in which crowded cells may give links to pivots only; in the one after them every cell gives all its open pairs.
 PIVOT_ROUNDS = 4
-#: Regions of at most so many sets give all their pairs at once; cells of at most so many are not divided.
-FEW, SMALL = 4, 64
+#: Regions of at most so many sets give all their pairs at once; so many are not divided; of more classes than so many that pivots
+#: do not divide the common shingles are set aside.
+FEW, SMALL, MUCH = 4, 12, 128
+#: Rounds of pivots in a row that find hardly anybody, after which a region counts as undivided.
+POOR = 4
 #: Pivots that divide a cell, and in a crowded cell pivots that sets are linked to and sets tried for each.
 PIVOTS, COVERS, TRIED = 8, 4, 12
 #: A cell with more open pairs than this many times its members is crowded.
@@ -43,9 +50,10 @@ CROWD = 4
 #: Parity bits of a set: the next power of two of so many times its size, within these bounds.
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 65536
 _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
-PAIR, MEMBER, CROWDED = 1, 2, 3
+PAIR, MEMBER, CROWDED, UNDIVIDED = 1, 2, 3, 4
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sigs", pa.binary())])
 _FOUND_DDL = "kind int, a long, b long, sigs binary"
+_ONE = pa.schema([("h", pa.int64())])
 _AB = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -120,13 +128,10 @@ def parts_of(cls: int, t: int) -> tuple[int, int]:
         spare += 1
 
 
-def signatures(n: np.ndarray, first: np.ndarray, row: np.ndarray, h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, signature)`` of the parts of each set, under its own size class and under the next larger one."""
-    rows, sigs = [], []
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    spread = X.mix(h + U(0x2545F4914F6CDD1D))
+def _parted(n: np.ndarray, row: np.ndarray, h: np.ndarray, t: int, turn: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(part of each shingle, set and signature of each part, parts to be used)``, once for each set's own size class and once for the next larger one."""
     own = size_class(n, t)
+    spread = X.mix(h + U(0x2545F4914F6CDD1D))
     for step in (0, 1):
         cls = own + step
         m, spare = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
@@ -141,15 +146,20 @@ def signatures(n: np.ndarray, first: np.ndarray, row: np.ndarray, h: np.ndarray,
         who = np.repeat(np.arange(len(n)), m)
         part = np.arange(len(total)) - base[who]
         empty = np.bincount(who[count == 0], minlength=len(n))
-        keep = (count > 0) | (empty > spare)[who]
-        sig = X.mix(total + X.mix((part.astype(U) << U(16)) + cls[who].astype(U) + U(1)))
-        rows.append(who[keep])
-        sigs.append(sig[keep])
-    return np.concatenate(rows), np.concatenate(sigs)
+        sig = X.mix(total + X.mix((U(turn) << U(48)) + (part.astype(U) << U(16)) + cls[who].astype(U) + U(1)))
+        yield at, who, sig, (count > 0) | (empty > spare)[who]
+
+
+def signatures(n: np.ndarray, row: np.ndarray, h: np.ndarray, t: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, signature)`` of the parts of each set. ``n`` has the sizes of whole sets, of which ``row`` and ``h`` may be a part."""
+    if not n.any():
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    made = [(who[keep], sig[keep]) for _, who, sig, keep in _parted(n, row, h, t, turn)]
+    return np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made])
 
 
-def _regions(k, t, buckets):
-    """Blocks of signatures with their sets, each set once for each batch."""
+def _regions(k, t, buckets, common=None, turn=0):
+    """Blocks of signatures with their sets, each set once for each batch; shingles in the broadcast bitmap ``common`` are left out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -163,8 +173,9 @@ def _regions(k, t, buckets):
                 keep = new[row]
                 if not keep.any():
                     continue
-                m = np.where(new, n, 0)
-                who, sig = signatures(m, np.cumsum(m) - m, row[keep], h[keep], t)
+                if common is not None:
+                    keep &= ~P.hits(common.value, X.signed(h))
+                who, sig = signatures(np.where(new, n, 0), row[keep], h[keep], t, turn)
                 rows += [(bucket, P.pack(sig[at], ids[who[at]])) for bucket, at in P.by_bucket(sig >> U(8), buckets)]
             if rows:
                 yield P.blocks(rows)
@@ -172,6 +183,23 @@ def _regions(k, t, buckets):
     return run
 
 
+def _in_common(k, t, undivided, common=None, turn=0):
+    """The shingles by which sets came to undivided regions."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            data, off = X.column(b, "text")
+            for i, j in X.chunks(off):
+                n, _, row, h = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                if common is not None:
+                    keep = ~P.hits(common.value, X.signed(h))
+                    row, h = row[keep], h[keep]
+                got = [h[P.hits(undivided.value, X.signed(sig))[at]] for at, _, sig, _ in _parted(n, row, h, t, turn)]
+                yield P.batch(_ONE, X.signed(np.unique(np.concatenate(got))))
+
+    return run
+
+
 def _ranges(low: np.ndarray, high: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(i, j)`` for all j from low[i] up to high[i], a bounded number at a time."""
     cnt = np.maximum(high - low, 0)
@@ -239,17 +267,17 @@ def _meet():
     return run
 
 
-def _deal_members(buckets, regions):
-    """Members with class, size and bitmap, dealt out by signature again: by all of them, or by those in a broadcast bitmap."""
+def _deal_members(buckets, again=None, turn=0):
+    """Members with class, size and bitmap, dealt out by signature: all of this turn, and of earlier ones those in a broadcast bitmap."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sid, comp, n = P.ints(b, "setid"), P.ints(b, "comp"), P.ints(b, "n")
+            sid, comp, n, made = (P.ints(b, c) for c in ("setid", "comp", "n", "turn"))
             sigs, bits = [b"".join(x) for x in P.raws(b, "sigs")], P.raws(b, "bits")
             sig = np.frombuffer(b"".join(sigs), U)
             doc = np.repeat(np.arange(len(sid)), [len(x) >> 3 for x in sigs])
-            if regions is not None:
-                keep = P.hits(regions.value, X.signed(sig))
+            if again is not None:
+                keep = P.hits(again.value, X.signed(sig)) | (made == turn)[doc]
                 sig, doc = sig[keep], doc[keep]
             rows = []
             for bucket, at in P.by_bucket(sig >> U(8), buckets):
@@ -262,6 +290,19 @@ def _deal_members(buckets, regions):
     return run
 
 
+def _members_of(regions):
+    """Sets that are in one of the regions of a broadcast bitmap."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sigs = [b"".join(x) for x in P.raws(b, "sigs")]
+            doc = np.repeat(np.arange(b.num_rows), [len(x) >> 3 for x in sigs])
+            at = np.unique(doc[P.hits(regions.value, X.signed(np.frombuffer(b"".join(sigs), U)))])
+            yield P.batch(pa.schema([("setid", pa.int64())]), P.ints(b, "setid")[at])
+
+    return run
+
+
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     """A bitmap at half its width or less."""
     while len(bits) > words:
@@ -322,28 +363,27 @@ class Cells:
     def divide(self, members: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(home, guests, distances)`` of the cells: sets at home there, those replicated to it, and how far all are from its pivot.
 
-        Every two sets at most ``reach`` apart are both at home in one cell, or one is and the other is its guest.
+        Every two sets at most ``reach`` apart are both at home in one cell, or one is and the other is its guest. The last cell holds
+        what no pivot has come near to.
         """
         held = self.tables[int(self.words[members].min())]
         away = lambda p, x: np.bitwise_count(held[x] ^ held[p]).sum(axis=1).astype(np.int64)
-        todo = [(members, members[:0])]
-        while todo:
-            home, guest = todo.pop()
-            every = np.r_[home, guest]
-            # a region's pivots are the sets with the smallest identities, which are hashes: a crowd has its share of them
-            pivots = home[np.argsort(self.sid[home])[: PIVOTS if len(every) > SMALL else 1]]
-            d = np.stack([away(p, every) for p in pivots])
-            if len(pivots) > 1:
-                nearest, own = d.min(axis=0), d.argmin(axis=0)
-                enters = d <= nearest + 2 * reach
-                if np.square(enters.sum(axis=1)).sum() <= 0.7 * len(every) ** 2:
-                    n = len(home)
-                    for c in range(len(pivots)):
-                        # of two sets that are at home in different cells, the one in the later cell is the guest
-                        more = np.r_[home[enters[c, :n] & (own[:n] > c)], guest[enters[c, n:]]]
-                        todo.append((home[own[:n] == c], more))
-                    continue
-            yield home, guest, d[0]
+        rest, poor = members, 0
+        while len(rest) > SMALL and poor < POOR:
+            # the sets with the smallest identities, which are hashes: a crowd has its share of them, and a group's regions agree
+            pivots = rest[np.argsort(self.sid[rest])[:PIVOTS]]
+            d = np.stack([away(p, rest) for p in pivots])
+            own, inside = d.argmin(axis=0), d.min(axis=0) <= reach
+            poor = poor + 1 if inside.sum() < 2 * len(pivots) else 0
+            for c in range(len(pivots)):
+                home = inside & (own == c)
+                # of two sets that are at home in different cells, the one in the later cell is the guest
+                guest = (d[c] <= 2 * reach) & ~home & ~(inside & (own < c))
+                if home.sum() > 1 or (home.any() and guest.any()):
+                    yield rest[home], rest[guest], np.r_[d[c, home], d[c, guest]]
+            rest = rest[~inside]
+        if len(rest) > 1:
+            yield rest, rest[:0], away(rest[0], rest)
 
     def open_pairs(self, home: np.ndarray, guest: np.ndarray, d: np.ndarray, reach: int, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
         """Pairs of a cell that may link, and whether these are all of them; a crowded cell gives pairs with a few pivots."""
@@ -383,7 +423,7 @@ class Cells:
 
 
 def _join_regions(t, whole):
-    """Pairs of different classes that may link in each region, and the signatures of regions that gave a part only."""
+    """Pairs of different classes that may link in each region, and the signatures of regions that gave a part only or are undivided."""
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [P.unpack(x) for x in raw]
@@ -398,13 +438,16 @@ def _join_regions(t, whole):
         del maps
         at = np.argsort(sig, kind="stable")
         sig, doc = sig[at], doc[at]
-        found, held, crowded = [np.zeros((2, 0), np.int64)], 0, set()
+        found, held, crowded, undivided = [np.zeros((2, 0), np.int64)], 0, set(), set()
         for a, z in zip(*_stretches(sig), strict=True):
             x = doc[a:z]
             if (comp[x] == comp[x[0]]).all():
                 continue
             reach = cells.reach(x)
-            for home, guest, d in cells.divide(x, reach):
+            for home, guest, d in cells.divide(np.unique(x), reach):
+                if not whole and t < 100 and not len(guest) and d.max() > reach and len(np.unique(comp[home])) > MUCH:
+                    undivided.add(int(a))
+                    continue
                 i, j, all_ = cells.open_pairs(home, guest, d, reach, whole)
                 if not all_:
                     crowded.add(int(a))
@@ -415,9 +458,10 @@ def _join_regions(t, whole):
         pairs = _ordered(*np.concatenate(found, axis=1))
         if pairs.shape[1]:
             yield _pairs(pairs)
-        if crowded:
-            at = sorted(crowded)
-            yield P.batch(_FOUND, np.full(len(at), CROWDED), X.signed(sig[at]), np.zeros(len(at), np.int64), pa.nulls(len(at), pa.binary()))
+        for kind, some in ((CROWDED, crowded), (UNDIVIDED, undivided)):
+            at = sorted(some)
+            if at:
+                yield P.batch(_FOUND, np.full(len(at), kind), X.signed(sig[at]), np.zeros(len(at), np.int64), pa.nulls(len(at), pa.binary()))
 
     return run
 
@@ -509,43 +553,68 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     about, apath = cut_at(brief.groupBy("setid").agg(F.min("n").alias("n"), F.min("rk").alias("rk"), F.min("bits").alias("bits")), "about")
     paths.append(apath)
     side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
-    first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    few = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
-    members = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("setid")).agg(F.collect_list("sigs").alias("sigs"))
-    members, eat = cut_at(members.join(about.select("setid", "n", "bits"), "setid"), "members")
-    paths.append(eat)
 
+    def of_regions(met: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of small regions that may link, and the members of the others."""
+        first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+        few = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
+        many = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("setid")).agg(F.collect_list("sigs").alias("sigs"))
+        many, at = cut_at(many.join(about.select("setid", "n", "bits"), "setid").withColumn("turn", F.lit(turn).cast("long")), f"members-{turn}")
+        paths.append(at)
+        return few, many
+
+    few, members = of_regions(met, 0)
     texts: list[DataFrame] = []
     seen: list[DataFrame] = []
-    classes = crowded = None
+    classes = again = common = None
+
+    def fetch(need: DataFrame, tag: str) -> None:
+        """Texts of sets that are not at hand yet."""
+        need, at = cut_at(need.distinct().join(_union(texts).select("setid"), "setid", "left_anti") if texts else need.distinct(), "need")
+        paths.append(at)
+        if not texts or not need.isEmpty():
+            got, at = _texts(keyed, about, need, tag)
+            texts.append(got)
+            paths.append(at)
+
     for r in range(PIVOT_ROUNDS + 1):
         if r:
             comp = classes.select(F.col("node").alias("setid"), F.col("component").alias("comp"))
             rows = members.join(comp, "setid", "left").withColumn("comp", F.coalesce("comp", "setid"))
-            only = spark.sparkContext.broadcast(P.bitmap(crowded, "a"))
+            only = spark.sparkContext.broadcast(P.bitmap(again, "a"))
         else:
             rows, only = members.withColumn("comp", F.col("setid")), None
-        blocks = P.arrow(rows.select("setid", "comp", "n", "sigs", "bits"), _deal_members(parts, only), P.BLOCK_DDL)
+        blocks = P.arrow(rows.select("setid", "comp", "n", "turn", "sigs", "bits"), _deal_members(parts, only, r), P.BLOCK_DDL)
         joined, gat = cut_at(P.gather(blocks, _join_regions(percent, r == PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
         paths.append(gat)
-        found, crowded = joined.where(F.col("kind") == PAIR).select("a", "b"), joined.where(F.col("kind") == CROWDED).select("a")
-        found = found.unionByName(few).distinct() if not seen else found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti")
+        found, again, undivided = (joined.where(F.col("kind") == kind).select("a", "b") for kind in (PAIR, CROWDED, UNDIVIDED))
+        found = found if few is None else found.unionByName(few)
+        found = found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti") if seen else found.distinct()
         cand, at = cut_at(found, f"pairs-{r}")
         paths.append(at)
         if not seen or not cand.isEmpty():
-            need = cand.select(F.col("a").alias("setid")).union(cand.select("b")).distinct()
-            need, nat = cut_at(need.join(_union(texts).select("setid"), "setid", "left_anti") if texts else need, "need")
-            paths.append(nat)
-            if not texts or not need.isEmpty():
-                got, tat = _texts(keyed, about, need, f"texts-{r}")
-                texts.append(got)
-                paths.append(tat)
+            fetch(cand.select(F.col("a").alias("setid")).union(cand.select("b")), f"texts-{r}")
             got, vat = _verify(_union(texts), cand, k, f"distances-{r}")
             seen.append(got)
             links = _union(seen).where(linked).select("a", "b")
             classes, cat = cut_at(connected_components(links), f"classes-{r}")
             paths += [vat, cat]
-        if crowded.isEmpty():
+        few = None
+        if not undivided.isEmpty():
+            # the sets of undivided regions are dealt out again, without the shingles that brought them there
+            only = spark.sparkContext.broadcast(P.bitmap(undivided, "a"))
+            theirs, tat = cut_at(P.arrow(members.select("setid", "sigs"), _members_of(only), "setid long").distinct(), "undivided")
+            fetch(theirs, f"texts-{r}-undivided")
+            mine, mat = cut_at(_union(texts).join(theirs, "setid", "left_semi").select("text"), "anew")
+            before = common
+            shown, sat = cut_at(P.arrow(mine, _in_common(k, percent, only, before, r), "h long").distinct(), "common")
+            more = P.bitmap(shown, "h")
+            common = spark.sparkContext.broadcast(more if before is None else more | before.value)
+            met, at = cut_at(P.gather(P.arrow(mine, _regions(k, percent, parts, common, r + 1), P.BLOCK_DDL), _meet(), _FOUND_DDL), f"regions-{r + 1}")
+            paths += [tat, mat, sat, at]
+            few, new = of_regions(met, r + 1)
+            members = members.unionByName(new)
+        elif again.isEmpty():
             break
 
     label = classes.select(F.col("node").alias("setid"), F.col("component").alias("label"))

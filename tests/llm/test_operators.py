@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, jaccard_join, language, licenses, order, quality, storage, toxicity, warc
+from tessera.llm import bpe, decontaminate, jaccard_join, language, licenses, order, packed, quality, storage, toxicity, warc
+from tessera.llm import text as X
 from tessera.llm.jaccard_join import jaccard_groups, parts_of
 from tessera.llm.suffix_dedup import remove_repeats, remove_repeats_plainly
 from tests.compare import SF
@@ -436,3 +438,121 @@ def test_loser_tree():
     for k in (0, 1, 2, 3, 7, 16):
         runs = [sorted((rnd.randrange(50), i) for i in range(rnd.randrange(20))) for _ in range(k)]
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_cells_of_more_groups_than_pivots(monkeypatch):
+    """Groups of near copies among unrelated sets: most sets are in a cell of their group, and comparisons stay far below all pairs."""
+    rnd = np.random.default_rng(11)
+    base = [rnd.integers(0, 1 << 62, 80).astype(np.uint64) for _ in range(60)]
+    sets = [np.unique(np.r_[b[rnd.permutation(80)[:76]], rnd.integers(0, 1 << 62, 3).astype(np.uint64)]) for b in base for _ in range(20)]
+    sets += [rnd.integers(0, 1 << 62, 80).astype(np.uint64) for _ in range(200)]
+    sid, size = rnd.permutation(len(sets)).astype(np.int64), np.array([len(s) for s in sets])
+    cells = jaccard_join.Cells(sid, np.arange(len(sets)), size, [jaccard_join.parity(s) for s in sets], 80)
+    reach = cells.reach(np.arange(len(sets)))
+    made = list(cells.divide(np.arange(len(sets)), reach))
+    assert len(made) >= 50 and sum(len(h) + len(g) for h, g, _ in made[:-1]) < 2 * 60 * 20
+    got = set()
+    for home, guest, d in made:
+        i, j, _ = cells.open_pairs(home, guest, d, reach, True)
+        got |= {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert {(g * 20 + i, g * 20 + j) for g in range(60) for i in range(20) for j in range(i + 1, 20) if 100 * (c := len(np.intersect1d(sets[g * 20 + i], sets[g * 20 + j]))) >= 80 * (size[g * 20 + i] + size[g * 20 + j] - c)} <= got
+
+
+@pytest.mark.parametrize("much", [128, 3])
+def test_jaccard_groups_that_share_a_line(spark, monkeypatch, much):
+    """Texts that share a line, some of them near copies, dealt out without the line where ``much`` is small."""
+    monkeypatch.setattr(jaccard_join, "MUCH", much)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    rnd = random.Random(17)
+    line = " ".join(f"line{i}" for i in range(30))
+    own = [[f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([4, 25, 60]))] for _ in range(160)]
+    rows = [(i, line + " " + " ".join(ws)) for i, ws in enumerate(own)]
+    rows += [(1000 + i, line + " " + " ".join(ws[: len(ws) - 1 - i % 3])) for i, ws in enumerate(own[:80])]
+    got = {r.doc_id: r.component_id for r in jaccard_groups(table(spark, rows)).collect()}
+    sets = {i: shingled(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(sets)
+
+
+def shingled(text, k=5):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + k]) for i in range(max(len(ws) - k, 0) + 1)}
+
+
+class Held:
+    """What a broadcast variable looks like to a task."""
+
+    def __init__(self, keys):
+        self.value = np.zeros(1 << 17, np.uint64)
+        k = np.mod(np.asarray(keys, np.int64), 1 << 23)
+        np.bitwise_or.at(self.value, k >> 6, np.uint64(1) << (k & 63).astype(np.uint64))
+
+
+def comparisons(texts, monkeypatch, rounds=3):
+    """Bitmaps compared, pairs found and undivided regions, the rounds' tasks run here one after another with classes left as they are."""
+    J, P = jaccard_join, packed
+    done = [0]
+    plain = J.Cells.may_link
+    monkeypatch.setattr(J.Cells, "may_link", lambda self, i, j: (done.__setitem__(0, done[0] + len(i)), plain(self, i, j))[1])
+
+    def reduced(batches, reduce):
+        blocks = {}
+        for b in batches:
+            for r in b.to_pylist():
+                blocks.setdefault(r["bucket"], []).append(r["block"])
+        return [r for raw in blocks.values() for b in reduce(raw) for r in b.to_pylist()]
+
+    def regions(batch, *how):
+        met = reduced(J._regions(5, 80, 8, *how)(iter([batch])), J._meet())
+        sigs = {}
+        for r in met:
+            if r["kind"] == J.MEMBER:
+                sigs.setdefault(r["a"], []).append(r["sigs"])
+        cols = {"setid": list(sigs), "comp": list(sigs), "n": [about[s][0] for s in sigs], "turn": [how[1] if how else 0] * len(sigs), "sigs": list(sigs.values()), "bits": [about[s][1] for s in sigs]}
+        return pa.record_batch(cols, pa.schema([("setid", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("turn", pa.int64()), ("sigs", pa.list_(pa.binary())), ("bits", pa.binary())]))
+
+    batch = pa.record_batch({"text": pa.array(texts)})
+    data, off = X.column(batch, "text")
+    n, first, _, h = J._sets(data, off, 5)
+    ids = J._identity(n, first, h)
+    about = {int(s): (int(m), J.parity(h[f : f + m])) for s, m, f in zip(ids, n, first, strict=True)}
+    where = {int(s): i for i, s in enumerate(ids)}
+    members, again, common, pairs, flagged = [regions(batch)], None, None, set(), 0
+    for r in range(rounds):
+        got = reduced((b for m in members for b in J._deal_members(8, again, r)(iter([m]))), J._join_regions(80, r == rounds - 1))
+        pairs |= {(x["a"], x["b"]) for x in got if x["kind"] == J.PAIR}
+        undivided = Held([x["a"] for x in got if x["kind"] == J.UNDIVIDED])
+        again = Held([x["a"] for x in got if x["kind"] == J.CROWDED])
+        flagged += sum(x["kind"] == J.UNDIVIDED for x in got)
+        theirs = {x["setid"] for m in members for b in J._members_of(undivided)(iter([m])) for x in b.to_pylist()}
+        if not theirs:
+            break
+        mine = pa.record_batch({"text": pa.array([texts[where[s]] for s in sorted(theirs)])})
+        shown = [x["h"] for b in J._in_common(5, 80, undivided, common, r)(iter([mine])) for x in b.to_pylist()]
+        more = Held(shown)
+        if common is not None:
+            more.value |= common.value
+        common = more
+        members.append(regions(mine, common, r + 1))
+    return done[0], len(pairs), flagged
+
+
+def test_unrelated_sets_that_share_a_line(monkeypatch):
+    rnd = random.Random(23)
+    line = " ".join(f"line{i}" for i in range(16))
+    texts = [f"{line} " + " ".join(f"w{rnd.randrange(10**7)}" for _ in range(100)) for _ in range(4000)]
+    few, _, _ = comparisons(texts[:1000], monkeypatch)
+    many, pairs, undivided = comparisons(texts, monkeypatch)
+    assert undivided > 0 and pairs == 0 and max(few / 1000, many / 4000) < 100  # all pairs would be 500 and 2,000 for each text
