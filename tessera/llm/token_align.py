@@ -56,7 +56,7 @@ class BytePairs:
         self.coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=vocab, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.coder.encode_ordinary(text), np.int64)
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class Pieces:
@@ -73,34 +73,53 @@ class Pieces:
         return np.asarray(self.model.encode(text), np.int64)
 
 
+class Spelling:
+    """Byte strings of numbered things, one after another."""
+
+    def __init__(self, strings: Sequence[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """The strings of these, joined."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+
+
 class Aligner:
-    """Both tokenizers, the lengths of their tokens, and the strings that stand for tokens in a listing of groups."""
+    """Both tokenizers, the bytes of their tokens, and the strings that stand for tokens in a listing of groups."""
 
     def __init__(self, a: str, pattern: str, b: str):
         self.a, self.b = BytePairs(a, pattern), Pieces(b)
-        self.len_a, self.len_b = (np.array([len(x) for x in t.spelt], np.int64) for t in (self.a, self.b))
-        na, nb = len(self.len_a), len(self.len_b)
-        self.listed = [f"{i}{end}" for n, ends in ((na, ",|"), (nb, ",;")) for end in ends for i in range(n)]
+        self.spelt_a, self.spelt_b = Spelling(self.a.spelt), Spelling(self.b.spelt)
+        self.listed = Spelling([b"%d" % i + end for t, ends in ((self.a, (b",", b"|")), (self.b, (b",", b";"))) for end in ends for i in range(len(t.spelt))])
 
-    def align(self, text: str) -> tuple[int, int, int, np.ndarray, np.ndarray, str] | None:
+    def align(self, text: str) -> tuple[int, int, int, np.ndarray, np.ndarray, bytes] | None:
         """Tokens of either, groups, distinct keys with their numbers, and the listing; nothing if the tokens do not spell the text."""
         if not text:
             return None
         line = " " + text
-        raw = line.encode()
+        raw = np.frombuffer(line.encode(), np.uint8)
         a, b = self.a.encode(line), self.b.encode(text)
-        if b"".join(map(self.a.spelt.__getitem__, a.tolist())) != raw or b"".join(map(self.b.spelt.__getitem__, b.tolist())) != raw:
+        if not all(np.array_equal(s.of(ids), raw) for s, ids in ((self.spelt_a, a), (self.spelt_b, b))):
             return None
-        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        ends = np.union1d(end_a, end_b)
-        key = b[np.searchsorted(end_b, ends)] << 32 | a[np.searchsorted(end_a, ends)]
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        end_a, end_b = np.cumsum(self.spelt_a.size[a]), np.cumsum(self.spelt_b.size[b])
+        sides = np.zeros(len(raw) + 1, np.uint8)
+        sides[end_a] = 1
+        sides[end_b] |= 2
+        ends, both = np.flatnonzero(sides), np.flatnonzero(sides == 3)
+        at_a, at_b = (np.cumsum(sides[ends] & side > 0) - (sides[ends] & side > 0) for side in (1, 2))
+        key = b[at_b] << 32 | a[at_a]
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        na, nb = len(self.len_a), len(self.len_b)
-        sign = np.r_[a + na * (both[group_a] == end_a), 2 * na + b + nb * (both[group_b] == end_b)]
-        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
-        listing = "".join(map(self.listed.__getitem__, sign[order].tolist()))[:-1]
-        return len(a), len(b), len(both), *np.unique(key, return_counts=True), listing
+        # a token stands after all tokens of earlier groups and, if it is of the second kind, those of the first kind in its own
+        done_a, done_b = np.searchsorted(end_a, both, "right"), np.searchsorted(end_b, both, "right")
+        na, nb = len(self.spelt_a.size), len(self.spelt_b.size)
+        listed = np.empty(len(a) + len(b), np.int64)
+        listed[np.arange(len(a)) + np.r_[0, done_b][group_a]] = a + na * (both[group_a] == end_a)
+        listed[np.arange(len(b)) + done_a[group_b]] = 2 * na + b + nb * (both[group_b] == end_b)
+        return len(a), len(b), len(both), *np.unique(key, return_counts=True), self.listed.of(listed)[:-1].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -144,7 +163,7 @@ def _aligned(src: DataFrame, names: Sequence[str], files: tuple[str, str, str])
                             rows.append((0, 0, 0, 0, "", squeeze(np.zeros(0, np.int64), np.zeros(0, np.int64))))
                         else:
                             na, nb, groups, key, n, listing = got
-                            rows.append((na, nb, groups, int(n.sum()), hashlib.sha256(listing.encode()).hexdigest(), squeeze(key, n)))
+                            rows.append((na, nb, groups, int(n.sum()), hashlib.sha256(listing).hexdigest(), squeeze(key, n)))
                     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                     made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *made], names=[*names, *_MADE])
