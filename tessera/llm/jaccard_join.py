@@ -40,12 +40,12 @@ U = X.U
 PIVOT_ROUNDS = 4
 #: Regions of at most so many sets give all their pairs at once; so many are not divided; of more classes than so many that pivots
 #: do not divide the common shingles are set aside.
-FEW, SMALL, MUCH = 4, 12, 128
+FEW, SMALL, MUCH = 4, 12, 1024
 #: Rounds of pivots in a row that find hardly anybody, after which a region counts as undivided.
 POOR = 4
 #: Pivots that divide a cell, and in a crowded cell pivots that sets are linked to and sets tried for each.
 PIVOTS, COVERS, TRIED = 8, 4, 12
-#: A cell with more open pairs than this many times its members is crowded.
+#: A cell with more open pairs than this many times the sets at home there is crowded.
 CROWD = 4
 #: Parity bits of a set: the next power of two of so many times its size, within these bounds.
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 65536
@@ -303,6 +303,18 @@ def _members_of(regions):
     return run
 
 
+def _named(sets):
+    """Rows of the sets in a broadcast bitmap that have shingles."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at = np.flatnonzero(P.hits(sets.value, P.ints(b, "setid")) & (P.ints(b, "n") > 0))
+            if len(at):
+                yield b.take(pa.array(at))
+
+    return run
+
+
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     """A bitmap at half its width or less."""
     while len(bits) > words:
@@ -370,9 +382,14 @@ class Cells:
         away = lambda p, x: np.bitwise_count(held[x] ^ held[p]).sum(axis=1).astype(np.int64)
         rest, poor = members, 0
         while len(rest) > SMALL and poor < POOR:
-            # the sets with the smallest identities, which are hashes: a crowd has its share of them, and a group's regions agree
-            pivots = rest[np.argsort(self.sid[rest])[:PIVOTS]]
-            d = np.stack([away(p, rest) for p in pivots])
+            # pivots are further apart than reach; the smallest identities, which are hashes, come first: a crowd has its share, and its regions agree
+            free, pivots, d = np.ones(len(rest), bool), [], []
+            for p in np.argsort(self.sid[rest])[: 4 * PIVOTS].tolist():
+                if free[p] and len(pivots) < PIVOTS:
+                    pivots.append(p)
+                    d.append(away(rest[p], rest))
+                    free &= d[-1] > reach
+            d = np.stack(d)
             own, inside = d.argmin(axis=0), d.min(axis=0) <= reach
             poor = poor + 1 if inside.sum() < 2 * len(pivots) else 0
             for c in range(len(pivots)):
@@ -398,8 +415,8 @@ class Cells:
             left.append(i[ok])
             right.append(j[ok])
             n += int(ok.sum())
-            if n > CROWD * len(x) and not whole:
-                return *self.covered(every), False
+            if n > CROWD * len(home) and not whole:
+                return *self.covered(home), False
         return np.concatenate(left), np.concatenate(right), True
 
     def covered(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -543,19 +560,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = met.select(F.col("a").alias("setid")).union(met.where(F.col("kind") == PAIR).select("b")).distinct()
     bm = spark.sparkContext.broadcast(P.bitmap(ids, "setid"))
 
-    def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            at = np.flatnonzero(P.hits(bm.value, P.ints(b, "setid")) & (P.ints(b, "n") > 0))
-            if len(at):
-                yield b.take(pa.array(at))
-
-    brief = P.arrow(stats.select("setid", "n", "rk", "bits"), shared, "setid long, n long, rk long, bits binary")
+    brief = P.arrow(stats.select("setid", "n", "rk", "bits"), _named(bm), "setid long, n long, rk long, bits binary")
     about, apath = cut_at(brief.groupBy("setid").agg(F.min("n").alias("n"), F.min("rk").alias("rk"), F.min("bits").alias("bits")), "about")
     paths.append(apath)
-    side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
 
-    def of_regions(met: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Pairs of small regions that may link, and the members of the others."""
+    def of_regions(met: DataFrame, turn: int, about: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of small regions that may link, and the members of the others; ``about`` has the sets that are dealt out in this turn."""
+        side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
         first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
         few = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
         many = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("setid")).agg(F.collect_list("sigs").alias("sigs"))
@@ -563,10 +574,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         paths.append(at)
         return few, many
 
-    few, members = of_regions(met, 0)
+    few, members = of_regions(met, 0, about)
     texts: list[DataFrame] = []
     seen: list[DataFrame] = []
     classes = again = common = None
+    last = False
 
     def fetch(need: DataFrame, tag: str) -> None:
         """Texts of sets that are not at hand yet."""
@@ -585,7 +597,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             rows, only = members.withColumn("comp", F.col("setid")), None
         blocks = P.arrow(rows.select("setid", "comp", "n", "turn", "sigs", "bits"), _deal_members(parts, only, r), P.BLOCK_DDL)
-        joined, gat = cut_at(P.gather(blocks, _join_regions(percent, r == PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
+        joined, gat = cut_at(P.gather(blocks, _join_regions(percent, last or r == PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
         paths.append(gat)
         found, again, undivided = (joined.where(F.col("kind") == kind).select("a", "b") for kind in (PAIR, CROWDED, UNDIVIDED))
         found = found if few is None else found.unionByName(few)
@@ -609,12 +621,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             before = common
             shown, sat = cut_at(P.arrow(mine, _in_common(k, percent, only, before, r), "h long").distinct(), "common")
             more = P.bitmap(shown, "h")
+            if before is not None and not (more & ~before.value).any():  # nothing left to set aside: the next round compares all that is open
+                again, last = again.unionByName(undivided), True
+                paths += [tat, mat, sat]
+                continue
             common = spark.sparkContext.broadcast(more if before is None else more | before.value)
             met, at = cut_at(P.gather(P.arrow(mine, _regions(k, percent, parts, common, r + 1), P.BLOCK_DDL), _meet(), _FOUND_DDL), f"regions-{r + 1}")
             paths += [tat, mat, sat, at]
-            few, new = of_regions(met, r + 1)
+            dealt = spark.sparkContext.broadcast(P.bitmap(theirs, "setid"))
+            few, new = of_regions(met, r + 1, P.arrow(about.select("setid", "n", "bits"), _named(dealt), "setid long, n long, bits binary"))
             members = members.unionByName(new)
-        elif again.isEmpty():
+        elif again.isEmpty() or last:
             break
 
     label = classes.select(F.col("node").alias("setid"), F.col("component").alias("label"))
