@@ -53,6 +53,7 @@ _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()
 PAIR, MEMBER, CROWDED, UNDIVIDED = 1, 2, 3, 4
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sigs", pa.binary())])
 _FOUND_DDL = "kind int, a long, b long, sigs binary"
+_SIGNED = pa.schema([("setid", pa.int64()), ("sigs", pa.list_(pa.binary()))])
 _ONE = pa.schema([("h", pa.int64())])
 _AB = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -225,13 +226,22 @@ def _pairs(x: np.ndarray) -> pa.RecordBatch:
     return P.batch(_FOUND, np.full(n, PAIR), x[0], x[1], pa.nulls(n, pa.binary()))
 
 
-def _members(sig: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-    """Each set with its signatures among these."""
+def _members(sig: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sets and signatures, packed for the task that is to collect a set's."""
+    rows = [(bucket, P.pack(sid[at], sig[at])) for bucket, at in P.by_bucket(X.mix(sid.view(U)), buckets)]
+    return P.batch(_FOUND, np.full(len(rows), MEMBER), [r[0] for r in rows], np.zeros(len(rows), np.int64), [r[1] for r in rows])
+
+
+def _collected(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Each set with all its signatures."""
+    got = [P.unpack(x) for x in raw]
+    sid, sig = (np.concatenate([g[i] for g in got]) for i in range(2))
     at = np.argsort(sid, kind="stable")
-    sig, sid = sig[at], sid[at]
-    edge = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-    sigs = [sig[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(sig)], strict=True)]
-    return P.batch(_FOUND, np.full(len(edge), MEMBER), sid[edge], np.zeros(len(edge), np.int64), sigs)
+    sid, sig = sid[at], sig[at]
+    start, end = _stretches(sid)
+    for i in range(0, len(start), 1 << 14):
+        x, y = start[i : i + (1 << 14)], end[i : i + (1 << 14)]
+        yield P.batch(_SIGNED, sid[x], [[sig[u:v].tobytes()] for u, v in zip(x, y, strict=True)])
 
 
 def _stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +249,7 @@ def _stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.r_[start[1:], len(x)][: len(start)]
 
 
-def _meet():
+def _meet(buckets):
     """In each region all pairs if it has few sets, else its members."""
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +272,7 @@ def _meet():
         if pairs.shape[1]:
             yield _pairs(pairs)
         if many.any():
-            yield _members(sig[many], sid[many])
+            yield _members(sig[many], sid[many], buckets)
 
     return run
 
@@ -553,28 +563,34 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stats, spath = cut_at(P.arrow(keyed, _stats(k), cols), "sets")
     linked = F.expr(f"common * {100 + percent} >= {percent} * (na + nb)")
     parts = P.partitions(spark)
-    met, mpath = cut_at(P.gather(P.arrow(keyed.select("text"), _regions(k, percent, parts), P.BLOCK_DDL), _meet(), _FOUND_DDL), "regions")
+    met, mpath = cut_at(P.gather(P.arrow(keyed.select("text"), _regions(k, percent, parts), P.BLOCK_DDL), _meet(parts), _FOUND_DDL), "regions")
     paths = [mpath]
 
     # what is known of the sets that share a region with another one: size, bitmap, and the row whose text stands for it
-    ids = met.select(F.col("a").alias("setid")).union(met.where(F.col("kind") == PAIR).select("b")).distinct()
+    def collect(met: DataFrame, turn: int) -> DataFrame:
+        blocks = met.where(F.col("kind") == MEMBER).select(F.col("a").cast("int").alias("bucket"), F.col("sigs").alias("block"))
+        out, at = cut_at(P.gather(blocks, _collected, "setid long, sigs array<binary>"), f"signed-{turn}")
+        paths.append(at)
+        return out
+
+    signed = collect(met, 0)
+    ids = signed.select("setid").union(met.where(F.col("kind") == PAIR).select(F.explode(F.array("a", "b")))).distinct()
     bm = spark.sparkContext.broadcast(P.bitmap(ids, "setid"))
 
     brief = P.arrow(stats.select("setid", "n", "rk", "bits"), _named(bm), "setid long, n long, rk long, bits binary")
     about, apath = cut_at(brief.groupBy("setid").agg(F.min("n").alias("n"), F.min("rk").alias("rk"), F.min("bits").alias("bits")), "about")
     paths.append(apath)
 
-    def of_regions(met: DataFrame, turn: int, about: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def of_regions(met: DataFrame, signed: DataFrame, turn: int, about: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of small regions that may link, and the members of the others; ``about`` has the sets that are dealt out in this turn."""
         side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
         first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
         few = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
-        many = met.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("setid")).agg(F.collect_list("sigs").alias("sigs"))
-        many, at = cut_at(many.join(about.select("setid", "n", "bits"), "setid").withColumn("turn", F.lit(turn).cast("long")), f"members-{turn}")
+        many, at = cut_at(signed.join(about.select("setid", "n", "bits"), "setid").withColumn("turn", F.lit(turn).cast("long")), f"members-{turn}")
         paths.append(at)
         return few, many
 
-    few, members = of_regions(met, 0, about)
+    few, members = of_regions(met, signed, 0, about)
     texts: list[DataFrame] = []
     seen: list[DataFrame] = []
     classes = again = common = None
@@ -626,10 +642,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 paths += [tat, mat, sat]
                 continue
             common = spark.sparkContext.broadcast(more if before is None else more | before.value)
-            met, at = cut_at(P.gather(P.arrow(mine, _regions(k, percent, parts, common, r + 1), P.BLOCK_DDL), _meet(), _FOUND_DDL), f"regions-{r + 1}")
+            met, at = cut_at(P.gather(P.arrow(mine, _regions(k, percent, parts, common, r + 1), P.BLOCK_DDL), _meet(parts), _FOUND_DDL), f"regions-{r + 1}")
             paths += [tat, mat, sat, at]
             dealt = spark.sparkContext.broadcast(P.bitmap(theirs, "setid"))
-            few, new = of_regions(met, r + 1, P.arrow(about.select("setid", "n", "bits"), _named(dealt), "setid long, n long, bits binary"))
+            few, new = of_regions(met, collect(met, r + 1), r + 1, P.arrow(about.select("setid", "n", "bits"), _named(dealt), "setid long, n long, bits binary"))
             members = members.unionByName(new)
         elif again.isEmpty() or last:
             break

@@ -515,11 +515,9 @@ def comparisons(texts, monkeypatch, rounds=3):
         return [r for raw in blocks.values() for b in reduce(raw) for r in b.to_pylist()]
 
     def regions(batch, *how):
-        met = reduced(J._regions(5, 80, 8, *how)(iter([batch])), J._meet())
-        sigs = {}
-        for r in met:
-            if r["kind"] == J.MEMBER:
-                sigs.setdefault(r["a"], []).append(r["sigs"])
+        met = reduced(J._regions(5, 80, 8, *how)(iter([batch])), J._meet(8))
+        raw = [r["sigs"] for r in met if r["kind"] == J.MEMBER]
+        sigs = {r["setid"]: r["sigs"] for b in (J._collected(raw) if raw else []) for r in b.to_pylist()}
         cols = {"setid": list(sigs), "comp": list(sigs), "n": [about[s][0] for s in sigs], "turn": [how[1] if how else 0] * len(sigs), "sigs": list(sigs.values()), "bits": [about[s][1] for s in sigs]}
         return pa.record_batch(cols, pa.schema([("setid", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("turn", pa.int64()), ("sigs", pa.list_(pa.binary())), ("bits", pa.binary())]))
 
