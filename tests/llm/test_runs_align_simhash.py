@@ -272,3 +272,10 @@ def test_op13_over_its_table(spark):
     assert got.keys() == {d.doc_id for d in docs} and all(got[d.doc_id][0] == f"{plain_fingerprint(d.text):016x}" for d in docs)
     fps = np.array([int(got[d.doc_id][0], 16) for d in docs], np.uint64)
     assert same_partition([got[d.doc_id][1] for d in docs], plain_components(fps))
+
+
+def test_names_of_stores():
+    from tessera.llm.storage import at, named
+
+    assert named("s3a://b/k") == "s3://b/k" and named("wasbs://c@a.example/x") == "abfss://c@a.example/x"
+    assert named("/tmp/x") == "file:///tmp/x" and named("file:///tmp/x") == "file:///tmp/x" and at("/tmp/x")[1] == "/tmp/x"
