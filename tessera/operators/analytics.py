@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cells as C
-from tessera.functions.scalars import normal_sf
+from tessera.functions.scalars import ln_gamma, normal_sf
+from tessera.operators.ordered import PLACE, RANGE, ranged, ranks, running_min_down
 
 Q_LEVEL = 0.05
 #: Days a series needs for a burst, the rate factor and the entry cost of the burst state.
@@ -71,12 +72,14 @@ def movers(spine: DataFrame, unit: str, day: str = "day", n: str = "n", level: f
 
 
 def with_q_values(df: DataFrame, p: str, tie: str, out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values: the least of p n / rank from the largest p down. Units are aggregates already, so one ordering holds them."""
-    up = Window.orderBy(F.asc(p), F.asc(tie))
-    down = Window.orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    n = df.agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(up)).join(F.broadcast(n))
-    return ranked.withColumn(out, F.min(F.least(F.col(p) * F.col("_n") / F.col("_r"), F.lit(1.0))).over(down)).drop("_r", "_n")
+    """Benjamini-Hochberg q-values: the least of p n / rank from the largest p down, ties in order of ``tie``.
+
+    Ranks and minima are taken by ranges of (p, tie); one count and one minimum for each range pass between them.
+    """
+    order = (p, tie)
+    x, n = ranks(ranged(df, *order), "_r")
+    x = x.withColumn("_v", F.least(F.col(p) * n / F.col("_r"), F.lit(1.0)))
+    return running_min_down(x, "_v", order, out).drop("_r", "_v", RANGE, PLACE)
 
 
 def hot_spots(cells: DataFrame, level: float = Q_LEVEL) -> DataFrame:
@@ -137,19 +140,92 @@ def burst_summary(path: np.ndarray | None) -> tuple[bool, int | None, int]:
     return True, onset, len(path) - onset
 
 
+def _parameters(days: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Costs of the base and of the burst state for each unit and day, and which units can be decoded."""
+    n = days.shape[1]
+    head = days[:, : -(-3 * n // 5)]
+    mean = np.maximum(head.mean(axis=1), 0.1)
+    excess = np.maximum(((head - mean[:, None]) ** 2).sum(axis=1) / max(head.shape[1] - 1, 1) - mean, 0.0)
+    inv_r = np.minimum(excess / (mean * mean), 10.0)[:, None]
+    r = 1 / np.maximum(inv_r, 1e-9)
+    whole = ln_gamma(days + 1)
+
+    def cost(rate: np.ndarray) -> np.ndarray:
+        plain = days * np.log(rate) - rate - whole
+        wide = ln_gamma(days + r) - ln_gamma(r) - whole + r * np.log(r / (r + rate)) + days * np.log(rate / (r + rate))
+        return -np.where(inv_r < 1e-9, plain, wide)
+
+    return cost(mean[:, None]), cost(s * mean[:, None]), days.any(axis=1)
+
+
+def burst_paths(days: np.ndarray, s: float = BURST_S, gamma: float = BURST_GAMMA) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`burst_states` of many series of one length at once: the paths (units by days), and which units have one."""
+    units, n = days.shape
+    path = np.zeros((units, n), bool)
+    if n < BURST_DAYS or not units:
+        return path, np.zeros(units, bool)
+    calm, burst, able = _parameters(days.astype(float), s)
+    enter = gamma * math.log(n)
+    low, high = calm[:, 0].copy(), enter + burst[:, 0]
+    left, stayed = np.zeros((units, n), bool), np.zeros((units, n), bool)
+    for t in range(1, n):
+        left[:, t], stayed[:, t] = high < low, high <= low + enter
+        low, high = np.where(left[:, t], high, low) + calm[:, t], np.where(stayed[:, t], high, low + enter) + burst[:, t]
+    path[:, -1] = high < low
+    for t in range(n - 1, 0, -1):
+        path[:, t - 1] = np.where(path[:, t], stayed[:, t], left[:, t])
+    return path & able[:, None], able
+
+
+def _series(spine: DataFrame, unit: str, day: str, n: str) -> DataFrame:
+    """One row for each unit: its days in order, and their counts."""
+    x = spine.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct(F.col(day).cast("long").alias("d"), F.col(n).cast("double").alias("n")))).alias("_s"))
+    return x.select(unit, F.col("_s.d").alias("days"), F.col("_s.n").alias("counts"))
+
+
+def _by_length(it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    for pdf in it:
+        for _, part in pdf.groupby(pdf["counts"].map(len)):
+            yield part, np.stack(part["counts"].to_list()).astype(float)
+
+
 def bursts(spine: DataFrame, unit: str, day: str = "day", n: str = "n") -> DataFrame:
-    """``(unit, active, onset_day, days_active)`` of every unit with enough days and any counts."""
+    """``(unit, active, onset_day, days_active)`` of every unit with enough days and any counts.
+
+    Units with equally many days are decoded together, a step of the fold for all of them at once.
+    """
     kind = spine.schema[unit].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day)
-        path = burst_states(pdf[n].to_numpy())
-        if path is None:
-            return pd.DataFrame({unit: [], "active": [], "onset_day": [], "days_active": []})
-        on, at, length = burst_summary(path)
-        return pd.DataFrame({unit: [pdf[unit].iloc[0]], "active": [on], "onset_day": pd.array([int(pdf[day].iloc[at]) if at is not None else None], "Int64"), "days_active": [length]})
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, counts in _by_length(it):
+            path, able = burst_paths(counts)
+            on = path[:, -1] & able
+            length = np.where(on, np.where(path.all(axis=1), path.shape[1], (~path[:, ::-1]).argmax(axis=1)), 0)
+            first = [int(d[len(d) - k]) if k else None for d, k in zip(part["days"], length, strict=True)]
+            out = pd.DataFrame({unit: part[unit].to_numpy(), "active": on, "onset_day": pd.array(first, "Int64"), "days_active": length})
+            yield out[able]
+
+    return _series(spine, unit, day, n).mapInPandas(run, f"{unit} {kind}, active boolean, onset_day long, days_active long")
+
+
+def burst_detections(spine: DataFrame, unit: str, day: str = "day", n: str = "n") -> DataFrame:
+    """``(unit, seen_day, seen_after)``: the first day on which decoding the series up to it ends in a burst, and how many days that prefix has.
+
+    What an observer would have seen day by day: each prefix has its own base rate. Units that no prefix shows in a burst have nulls.
+    """
+    kind = spine.schema[unit].dataType.simpleString()
 
-    return spine.select(unit, day, n).groupBy(unit).applyInPandas(run, f"{unit} {kind}, active boolean, onset_day long, days_active long")
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, counts in _by_length(it):
+            seen = np.zeros(len(part), int)
+            for t in range(BURST_DAYS, counts.shape[1] + 1):
+                open_ = np.flatnonzero(seen == 0)
+                path, _ = burst_paths(counts[open_, :t])
+                seen[open_[path[:, -1]]] = t
+            day_of = [int(d[k - 1]) if k else None for d, k in zip(part["days"], seen, strict=True)]
+            yield pd.DataFrame({unit: part[unit].to_numpy(), "seen_day": pd.array(day_of, "Int64"), "seen_after": pd.array([int(k) or None for k in seen], "Int64")})
+
+    return _series(spine, unit, day, n).mapInPandas(run, f"{unit} {kind}, seen_day long, seen_after long")
 
 
 def season_index(spine: DataFrame, unit: str, day: str = "day", n: str = "n", strength: float = 8.0, least: int = 21) -> DataFrame:

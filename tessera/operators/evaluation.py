@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import ranged, running_sum
+
 
 def ranking_measures(ranked: DataFrame, judged: DataFrame, k: int = 10, recall_at: int = 100) -> DataFrame:
     """``(qid, ndcg, mrr, recall)`` of ranked rows (qid, doc, rank) against grades (qid, doc, grade); 0 for queries without relevant documents."""
@@ -103,10 +105,13 @@ def nearest_rank(df: DataFrame, value: str, percents: Sequence[float], by: Seque
 
 
 def conformal_threshold(df: DataFrame, score: str, wrong: str, alpha: float = 0.1, least: int = 20) -> DataFrame:
-    """The smallest score from which on (mistakes + 1) / (rows + 1) is at most alpha over at least ``least`` rows; null if there is none."""
-    g = df.groupBy(score).agg(F.count("*").alias("k"), F.sum(F.col(wrong).cast("long")).alias("v"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumn("n", F.sum("k").over(w)).withColumn("e", F.sum("v").over(w))
+    """The smallest score from which on (mistakes + 1) / (rows + 1) is at most alpha over at least ``least`` rows; null if there is none.
+
+    Rows are counted by score; running sums go by ranges of scores. Rows without a score are left out.
+    """
+    g = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("k"), F.sum(F.col(wrong).cast("long")).alias("v"))
+    c, _ = running_sum(ranged(g, score), "k", (score,), "n", backwards=True)
+    c, _ = running_sum(c, "v", (score,), "e", backwards=True)
     return c.where((F.col("n") >= least) & ((F.col("e") + 1) / (F.col("n") + 1) <= alpha)).agg(F.min(score).alias("threshold"))
 
 

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.resampling import interval, weighted_draws
+from tessera.plans.lineage import cut
+
 #: Arms and the engines behind them.
 ARMS: dict[str, tuple[str, ...]] = {
     "fast": ("duckduckgo", "brave", "mojeek"),
@@ -82,35 +85,34 @@ def doubly_robust(log: DataFrame, policy: Column) -> DataFrame:
     return _terms(log, policy).agg(F.avg("dr").alias("dr"))
 
 
-def uplift(log: DataFrame, policy: Column, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Value of a policy less the realised mean, with a percentile interval and a verdict.
+def uplift(log: DataFrame, policy: Column, draws: int = 200, seed: int = 7, key: Column | None = None) -> DataFrame:
+    """Doubly robust value of a policy less the realised mean, with a percentile interval of at least 100 draws and a verdict, as one row.
 
-    Resamples are made from the counts of distinct (context, arm, propensity, reward) rows, whose number the log's buckets bound, and refit the reward model.
+    The reward model is fitted anew in each draw. All draws are one aggregation by (draw, context, arm, policy's arm) of sums that are
+    linear in the rows; what follows works on those sums. ``key`` names a row, so that it weighs the same whenever it is read; without
+    one it is the row's place in its partition. Rows without reward or propensity are left out. An empty log gives nulls.
     """
-    cells = log.withColumn("pi", policy).groupBy("context", "arm", "propensity", "reward", "pi").agg(F.count("*").alias("n")).orderBy("context", "arm", "propensity", "reward").toPandas()
-    spark = log.sparkSession
-    if not len(cells):
-        return spark.createDataFrame([(0, None, None, None, None, None, "insufficient")], "n long, incumbent double, dr double, uplift double, lo double, hi double, verdict string")
-    n = cells["n"].to_numpy()
-    total = int(n.sum())
-
-    def value(k: np.ndarray) -> tuple[float, float]:
-        r, p = cells["reward"].to_numpy(float), np.maximum(cells["propensity"].to_numpy(float), 1e-9)
-        sums: dict[tuple, list[float]] = {}
-        for c, a, x, m in zip(cells["context"], cells["arm"], r, k, strict=True):
-            s = sums.setdefault((c, a), [0.0, 0.0])
-            s[0] += x * m
-            s[1] += m
-        q = lambda c, a: (sums.get((c, a), (0.0, 0.0))[0] + 0.5) / (sums.get((c, a), (0.0, 0.0))[1] + 1)
-        base = np.array([q(c, a) for c, a in zip(cells["context"], cells["pi"], strict=True)])
-        own = (cells["arm"] == cells["pi"]).to_numpy()
-        return float((k * (base + np.where(own, (r - base) / p, 0.0))).sum() / k.sum()), float((k * r).sum() / k.sum())
-
-    dr, inc = value(n)
-    rng = np.random.default_rng(seed)
-    ups = np.sort([np.subtract(*value(rng.multinomial(total, n / total))) for _ in range(max(draws, 100))])
-    lo, hi = (float(ups[round((len(ups) - 1) * p)]) for p in (0.025, 0.975))
-    return spark.createDataFrame([(total, inc, dr, dr - inc, lo, hi, verdict(total, lo, hi))], "n long, incumbent double, dr double, uplift double, lo double, hi double, verdict string")
+    draws, own = max(draws, 100), F.col("arm") == F.col("pi")
+    x = log.where("reward is not null and propensity is not null")
+    x = x.select("context", "arm", F.col("reward").cast("double").alias("r"), F.greatest("propensity", F.lit(1e-9)).cast("double").alias("p"), policy.alias("pi"), (F.monotonically_increasing_id() if key is None else key).alias("_key"))
+    w = F.col("weight")
+    sums = weighted_draws(x, F.col("_key"), draws, seed).groupBy("draw", "context", "arm", "pi").agg(
+        F.sum(w).alias("n"),
+        F.sum(w * F.col("r")).alias("r"),
+        F.sum(F.when(own, w * F.col("r") / F.col("p")).otherwise(0.0)).alias("up"),
+        F.sum(F.when(own, w / F.col("p")).otherwise(0.0)).alias("down"),
+    )
+    sums = cut(sums, "draws")
+    q = sums.groupBy("draw", "context", F.col("arm").alias("pi")).agg(((F.sum("r") + 0.5) / (F.sum("n") + 1)).alias("q"))
+    y = sums.join(q, ["draw", "context", "pi"], "left").withColumn("q", F.coalesce("q", F.lit(0.5)))
+    dr = F.sum(F.col("q") * F.col("n") + F.col("up") - F.col("q") * F.col("down")) / F.sum("n")
+    each = y.groupBy("draw").agg(F.sum("n").alias("n"), dr.alias("dr"), (F.sum("r") / F.sum("n")).alias("inc"))
+    each = each.withColumn("_up", F.when(F.col("draw") > 0, F.col("dr") - F.col("inc")))
+    lo, hi = interval("_up")
+    seen = lambda c: F.max(F.when(F.col("draw") == 0, F.col(c)))
+    out = each.agg(F.coalesce(seen("n"), F.lit(0)).alias("n"), seen("inc").alias("incumbent"), seen("dr").alias("dr"), (seen("dr") - seen("inc")).alias("uplift"), lo.alias("lo"), hi.alias("hi"))
+    said = F.when(F.col("n") < 10_000, "insufficient").when(F.col("lo") > 0, "pass").when(F.col("hi") < 0, "negative").otherwise("inconclusive")
+    return out.withColumn("verdict", said)
 
 
 def verdict(n: int, lo: float, hi: float) -> str:
@@ -123,6 +125,25 @@ def temporal_split(log: DataFrame, order: str) -> DataFrame:
     return log.join(F.broadcast(n)).withColumn("train", F.col(order) <= F.floor(F.col("_n") * 4 / 5)).drop("_n")
 
 
+def posterior_sums(log: DataFrame, features: Column, arm: str = "arm", reward: str = "reward", shown: str = "context") -> DataFrame:
+    """``(arm, i, j, s)``: sums of the outer products of designs (i <= j); with j null, of rewards times designs; with i null, how many rows.
+
+    Rows without a context, an arm or a reward only count. Designs are counted with their rewards first, where the rows are, so that hot ones
+    come once from each task; zeros make no row. The result has no more rows than arms and components allow.
+    """
+    x = log.select(F.col(arm).alias("arm"), F.col(reward).cast("double").alias("r"), F.when(F.col(arm).isNotNull() & F.col(shown).isNotNull() & F.col(reward).isNotNull(), features).alias("x"))
+    g = x.groupBy("arm", "x").agg(F.count("*").alias("n"), F.sum("r").alias("r"))
+    some = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.cast("double").alias("v"))), lambda e: e["v"] != 0)
+    g = g.withColumn("e", some)
+    item = lambda i, j, s: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), s.alias("s"))
+    none = F.lit(None)
+    pairs = F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: b["i"] >= a["i"]), lambda b: item(a["i"], b["i"], a["v"] * b["v"] * F.col("n")))))
+    moments = F.transform("e", lambda a: item(a["i"], none, a["v"] * F.col("r")))
+    rows = F.array(item(none, none, F.col("n").cast("double")))
+    every = F.when(F.col("x").isNull(), rows).otherwise(F.concat(rows, moments, pairs))
+    return g.select("arm", F.explode(every).alias("t")).groupBy("arm", F.col("t.i").alias("i"), F.col("t.j").alias("j")).agg(F.sum("t.s").alias("s"))
+
+
 @dataclass
 class ThompsonPolicy:
     """Bayesian linear regression for each arm, and draws from it."""
@@ -135,13 +156,17 @@ class ThompsonPolicy:
     def replay(cls, log: DataFrame, features: Column, arm: str = "arm", reward: str = "reward", shown: str = "context") -> ThompsonPolicy:
         """From a log: sums of outer products, taken where the rows are; rows without a context only count."""
         out = cls()
-        x = log.where(F.col(shown).isNotNull()).select(arm, F.col(reward).cast("double").alias("r"), features.alias("x"))
-        out.seen = log.count()
-        # contexts are few: one row for each design, arm and reward
-        for r in x.groupBy(arm, "x", "r").agg(F.count("*").alias("n")).collect():
-            v = np.array(r["x"])
-            out.a[r[arm]] += r["n"] * np.outer(v, v)
-            out.b[r[arm]] += r["n"] * r["r"] * v
+        # at most arms x DIM x (DIM + 3) / 2 sums, whatever the log
+        for r in posterior_sums(log, features, arm, reward, shown).collect():
+            if r["i"] is None:
+                out.seen += r["s"]
+            elif r["j"] is None:
+                out.b[r["arm"], r["i"]] += r["s"]
+            else:
+                out.a[r["arm"], r["i"], r["j"]] += r["s"]
+                if r["i"] != r["j"]:
+                    out.a[r["arm"], r["j"], r["i"]] += r["s"]
+        out.seen = int(out.seen)
         return out
 
     def update(self, arm: int, x: np.ndarray, reward: float) -> None:

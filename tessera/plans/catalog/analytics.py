@@ -24,8 +24,8 @@ def spine_sql(src: str, unit: str) -> str:
         CROSS JOIN (SELECT unnest(range((SELECT min(day) FROM ser), (SELECT max(day) FROM ser) + 1))::INT AS day) d LEFT JOIN ser USING ({unit}, day))"""
 
 
-def movers_sql(src: str, unit: str) -> str:
-    return f"""WITH {spine_sql(src, unit)},
+def movers_sql(src: str, unit: str, spine: str | None = None) -> str:
+    return f"""WITH {spine or spine_sql(src, unit)},
     u AS (SELECT {unit}, arg_max(n, day)::DOUBLE AS latest, count(*) - 1 AS days, coalesce(avg(n) FILTER (WHERE day < mx), 0)::DOUBLE AS baseline, var_samp(n) FILTER (WHERE day < mx) AS s2
           FROM sp, (SELECT max(day) AS mx FROM sp) GROUP BY {unit}),
     g AS (SELECT greatest(max(days), 1)::DOUBLE AS wd, avg(baseline) AS m, coalesce(var_samp(baseline), 0) AS v,
@@ -85,7 +85,14 @@ def weekday_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.season_index(zero_filled_spine(spark, sf_dir), "user_id").select("user_id", "dow", F.round("season", 6).alias("season"))
 
 
-@query()
+#: The spine with counts divided by their weekday's index.
+SEASONAL = f"""{spine_sql(USERS, 'user_id').replace('sp AS (', 'raw AS (')}, sb AS (SELECT *, max(day) OVER () AS mx FROM raw),
+    sc AS (SELECT *, avg(n) OVER (PARTITION BY user_id) AS m, count(*) OVER (PARTITION BY user_id) AS days FROM sb WHERE day < mx),
+    se AS (SELECT user_id, day % 7 AS dow, CASE WHEN max(days) + 1 < 21 THEN 1.0 ELSE (count(*) * avg(CASE WHEN m > 0 THEN n / m ELSE 1 END) + 8) / (count(*) + 8) END AS season FROM sc GROUP BY ALL),
+    sp AS (SELECT raw.user_id, day, n / greatest(coalesce(season, 1.0), 1e-6) AS n FROM raw LEFT JOIN se ON se.user_id = raw.user_id AND dow = day % 7)"""
+
+
+@query(movers_sql(USERS, "user_id", SEASONAL))
 def seasonal_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_movers(A.movers(A.deseasonalise(zero_filled_spine(spark, sf_dir), "user_id"), "user_id"), "user_id")
 
@@ -95,6 +102,11 @@ def burst_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.bursts(zero_filled_spine(spark, sf_dir), "user_id")
 
 
+@query()
+def burst_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.burst_detections(zero_filled_spine(spark, sf_dir), "user_id")
+
+
 @query(f"WITH {spine_sql(USERS, 'user_id')} SELECT user_id, (max(day) - coalesce(max(day) FILTER (WHERE n < 1), min(day) - 1))::BIGINT AS run FROM sp GROUP BY user_id")
 def trailing_active_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.trailing_run(zero_filled_spine(spark, sf_dir), "user_id", "day", F.col("n") >= 1)

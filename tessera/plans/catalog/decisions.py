@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import answer as W
 from tessera.operators import evaluation as M
 from tessera.operators import routing as R
+from tessera.operators.resampling import PER_DIGEST, bootstrap_mean, poisson_limits
 from tessera.plans.catalog import lexical as L
 from tessera.plans.catalog import query, table
 
@@ -65,19 +66,64 @@ def off_policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(*(F.round(c, 6).alias(c) for c in ("ips", "ips_clipped", "dr")))
 
 
-@query()
+def _draws_sql(rows: str, key: str, draws: int = 200, seed: int = 7) -> str:
+    """Rows with draws and Poisson weights, from the same digests of row and draw."""
+    weight = " + ".join(f"(bits >= '{t}')::INT" for t in poisson_limits())
+    blocks = -(-draws // PER_DIGEST)
+    return f"""bl AS (SELECT unnest(range(0, {blocks})) AS block), pt AS (SELECT unnest(range(0, {PER_DIGEST})) AS part),
+    dg AS (SELECT r.*, block, md5('{seed}:' || {key} || ':' || block) AS h FROM {rows} r, bl),
+    wt AS (SELECT dg.* EXCLUDE (block, h), block * {PER_DIGEST} + part + 1 AS draw, substr(h, (8 * part + 1)::BIGINT, 8) AS bits FROM dg, pt),
+    dr AS (SELECT * EXCLUDE (bits), {weight} AS weight FROM wt WHERE draw <= {draws} UNION ALL SELECT *, 0 AS draw, 1 AS weight FROM {rows})"""
+
+
+_ENDS = "max(u) FILTER (WHERE k = round((c - 1) * 0.025)) AS lo, max(u) FILTER (WHERE k = round((c - 1) * 0.975)) AS hi"
+
+
+@query(f"""WITH {LOG}, {_draws_sql('lg', 'event_id')}, m AS (SELECT draw, context, arm, (sum(weight * reward) + 0.5) / (sum(weight) + 1) AS q FROM dr GROUP BY ALL),
+    t AS (SELECT dr.*, coalesce(q, 0.5) AS q FROM dr LEFT JOIN m ON m.draw = dr.draw AND m.context = dr.context AND m.arm = dr.context % 3),
+    e AS (SELECT draw, sum(weight)::BIGINT AS n, sum(weight * reward) / sum(weight) AS inc, sum(weight * (q + CASE WHEN arm = context % 3 THEN (reward - q) / propensity ELSE 0 END)) / sum(weight) AS d FROM t GROUP BY draw),
+    o AS (SELECT d - inc AS u, row_number() OVER (ORDER BY d - inc) - 1 AS k, count(*) OVER () AS c FROM e WHERE draw > 0), i AS (SELECT {_ENDS} FROM o)
+    SELECT n, round(inc, 6) AS incumbent, round(d, 6) AS dr, round(d - inc, 6) AS uplift, round(lo, 6) AS lo, round(hi, 6) AS hi,
+      CASE WHEN n < 10000 THEN 'insufficient' WHEN lo > 0 THEN 'pass' WHEN hi < 0 THEN 'negative' ELSE 'inconclusive' END AS verdict FROM e, i WHERE draw = 0""")
 def off_policy_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.uplift(log(spark, sf_dir), F.col("context") % 3)
+    u = R.uplift(log(spark, sf_dir), F.col("context") % 3, key=F.col("event_id"))
+    return u.select("n", *(F.round(c, 6).alias(c) for c in ("incumbent", "dr", "uplift", "lo", "hi")), "verdict")
 
 
-@query()
-def thompson_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH ev AS (SELECT event_type, value, event_id FROM events), {_draws_sql('ev', 'event_id')},
+    e AS (SELECT event_type, draw, sum(weight)::BIGINT AS n, sum(weight * value) / sum(weight) AS u FROM dr GROUP BY ALL),
+    o AS (SELECT event_type, u, row_number() OVER (PARTITION BY event_type ORDER BY u) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS c FROM e WHERE draw > 0),
+    i AS (SELECT event_type, {_ENDS} FROM o GROUP BY event_type)
+    SELECT event_type, n, round(u, 5) AS mean, round(lo, 5) AS lo, round(hi, 5) AS hi FROM e JOIN i USING (event_type) WHERE draw = 0""")
+def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bootstrap_mean(table(spark, sf_dir, "events"), "value", F.col("event_id"), ["event_type"])
+    return b.select("event_type", "n", *(F.round(c, 5).alias(c) for c in ("mean", "lo", "hi")))
+
+
+def designs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     c = F.col("context")
     x = S.context_features(c.bitwiseAND(3), F.shiftright(c, 2).bitwiseAND(3), F.lit(0), F.lit(0), F.lit(False))
-    p = R.ThompsonPolicy.replay(R.anonymise(log(spark, sf_dir), "day", "context", "event_id").drop("context").withColumnRenamed("shown", "context"), x)
+    return R.anonymise(log(spark, sf_dir), "day", "context", "event_id").drop("context").withColumnRenamed("shown", "context"), x
+
+
+SHOWN = f"{LOG}, sh AS (SELECT arm, reward, context FROM lg QUALIFY row_number() OVER (PARTITION BY day, context ORDER BY event_id) >= 5)"
+
+
+@query(f"""WITH {SHOWN}, a AS (SELECT unnest([0, 1, 2]) AS arm)
+    SELECT (SELECT count(*) FROM lg) AS seen, a.arm, 26.0::DOUBLE + 5 * count(sh.arm) AS precision, 5 * coalesce(sum(reward), 0) AS moment FROM a LEFT JOIN sh USING (arm) GROUP BY a.arm""")
+def thompson_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.ThompsonPolicy.replay(*designs(spark, sf_dir))
     return spark.createDataFrame([(p.seen, arm, float(p.a[arm].trace()), float(p.b[arm].sum())) for arm in range(3)], "seen long, arm int, precision double, moment double")
 
 
+@query(f"""WITH {SHOWN}, x AS (SELECT arm, reward, [0, 1 + (context & 3), 5 + ((context >> 2) & 3), 9, 17] AS ones FROM sh),
+    p AS (SELECT arm, reward, ones, unnest(ones) AS i FROM x), q AS (SELECT arm, i, unnest(ones) AS j FROM p)
+    SELECT arm, i::INT AS i, j::INT AS j, count(*)::DOUBLE AS s FROM q WHERE j >= i GROUP BY ALL UNION ALL SELECT arm, i::INT, NULL, sum(reward)::DOUBLE FROM p GROUP BY ALL
+    UNION ALL SELECT arm, NULL, NULL, count(*)::DOUBLE FROM lg GROUP BY ALL""")
+def thompson_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.posterior_sums(*designs(spark, sf_dir))
+
+
 @query(f"WITH {LOG}, c AS (SELECT event_id, context & 3 AS i, (context >> 2) & 3 AS l FROM lg) SELECT event_id, (i | (l << 2) | (5 << 4) | (3 << 8) | (1 << 11))::INT AS bucket, i::INT AS intent, l::INT AS len_bucket FROM c")
 def context_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("context")
