@@ -67,8 +67,11 @@ def pandora(candidates: DataFrame, by: str, budget: int, key: str = "id", value:
     return candidates.select(by, key, "p", "gain", "cost", value).groupBy(by).applyInPandas(run, f"{by} long, {key} long, turn int, ended string")
 
 
-def passages(text: str, size: int = 500, most: int = 8) -> list[str]:
-    """Sentences packed greedily into passages of at most ``size`` characters; long sentences are cut; passages under 40 characters are dropped."""
+def passages(text: str, size: int = 500, most: int | None = None) -> list[str]:
+    """Sentences packed greedily into passages of at most ``size`` characters; long sentences are cut; passages under 40 characters are dropped.
+
+    All of a text's passages, or its first ``most``.
+    """
     out: list[str] = []
     held = ""
 
@@ -81,20 +84,20 @@ def passages(text: str, size: int = 500, most: int = 8) -> list[str]:
     for s in (m[0] for m in re.finditer(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$", text or "") if m[0].strip()):
         if held and len(held) + len(s) + 1 > size:
             close()
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             break
         if len(s) > size:
             close()
             out += [p for i in range(0, len(s), size) if len(p := s[i : i + size].strip()) >= LEAST_PASSAGE]
         else:
             held = f"{held} {s.strip()}" if held else s.strip()
-    if len(out) < most:
+    if most is None or len(out) < most:
         close()
     return out[:most]
 
 
-def passage_table(docs: DataFrame, key: str, text: str, size: int = 500, most: int = 8) -> DataFrame:
-    """``(key, n, passage)`` of every document's passages."""
+def passage_table(docs: DataFrame, key: str, text: str, size: int = 500, most: int | None = None) -> DataFrame:
+    """``(key, n, passage)`` of every document's passages: all of them, or the first ``most``."""
     split = F.pandas_udf(lambda s: s.map(lambda t: passages(t, size, most)), "array<string>")
     return docs.select(F.col(key), F.posexplode(split(F.col(text))).alias("n", "passage"))
 
@@ -140,3 +143,21 @@ def mmr(scores: Sequence[float], texts: Sequence[str], weight: float = 0.7) -> l
         out.append(best)
         left.remove(best)
     return out
+
+
+def mmr_order(results: DataFrame, by: str, pos: str, score: str, text: str, weight: float = 0.7, head: int = 50) -> DataFrame:
+    """``(by, pos, slot)``: :func:`mmr` for the first ``head`` results of each list (places from 0), the rest behind them as they were.
+
+    Lists are told apart by ``by``; only their heads are brought together, so that a list of any length is no more work for a task. Null texts have
+    no terms, null scores count 0; of equal values the one that came first is taken.
+    """
+    kinds = {c: results.schema[c].dataType.simpleString() for c in (by, pos)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        order = mmr(pdf[score].fillna(0.0).astype(float).tolist(), pdf[text].fillna("").tolist(), weight)
+        return pd.DataFrame({by: pdf[by].to_numpy(), pos: pdf[pos].to_numpy()[order], "slot": np.arange(len(order))})
+
+    first = results.where(F.col(pos) < head).select(by, pos, score, text)
+    moved = first.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {pos} {kinds[pos]}, slot long")
+    return moved.unionByName(results.where(F.col(pos) >= head).select(by, pos, F.col(pos).cast("long").alias("slot")))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars as S
 from tessera.operators.lexical import top_k
 
 
@@ -36,6 +37,34 @@ def merge_sources(local: DataFrame, ann: DataFrame, web: DataFrame, by: Sequence
     return out.withColumn("source", source).drop("_lo", "_hi", "_n")
 
 
+#: What ranking can weigh, and what stands for a row that lacks it.
+ABSENT: dict[str, float] = {"rrf": 0.0, "bm25": 0.0, "ann": 0.0, "title": 0.0, "source": 0.0, "snippet": 0.0, "freshness": 0.5, "domain": 0.0, "geo": 0.0}
+
+
+def ltr_features(x: DataFrame, query: Column, now: Column | None = None, km: Column | None = None) -> dict[str, Column]:
+    """The nine ranking features of fused results, from those of the columns rrf, bm25, ann, searx_rank, title, snippet, ts and prior that ``x`` has.
+
+    title: share of query terms in the title; source: how many of the three kinds of lists hold the result, over 3; snippet: its
+    length; freshness: falling with the age at ``now`` (seconds), one half where the time is unknown; domain: the host's prior; geo: nearness by
+    ``km``. A missing column or a null gives the value in :data:`ABSENT`. Do not name a feature ``title`` in the select that computes
+    others: Spark resolves names within lambdas to such an alias first.
+    """
+    have = lambda c: F.col(c) if c in x.columns else F.lit(None)
+    kinds = S.source_count(*(have(c) for c in ("bm25", "ann", "searx_rank")))
+    found = {
+        "rrf": have("rrf"),
+        "bm25": have("bm25"),
+        "ann": have("ann"),
+        "title": S.title_match_ratio(query, have("title").cast("string")),
+        "source": kinds / 3.0,
+        "snippet": F.when(have("snippet").isNotNull(), S.snippet_norm(have("snippet").cast("string"))),
+        "freshness": S.freshness(have("ts").cast("long"), F.lit(0) if now is None else now),
+        "domain": have("prior"),
+        "geo": F.lit(None) if km is None else 1 / (1 + km),
+    }
+    return {k: F.coalesce(v.cast("double"), F.lit(ABSENT[k])) for k, v in found.items()}
+
+
 def linear_ltr(features: Mapping[str, Column], weights: Mapping[str, float] | None = None) -> Column:
     """A weighted sum; without weights the fused score alone."""
     weights = weights or {"rrf": 1.0}

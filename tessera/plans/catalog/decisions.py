@@ -216,6 +216,13 @@ def passage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.passage_table(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n", F.length("passage").alias("chars"))
 
 
+@query()
+def mmr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), S.snippet_of(F.col("text")).alias("snippet"))
+    r = L.ranked(spark, sf_dir, 20).join(docs, "key").withColumn("pos", F.col("rank") - 1)
+    return W.mmr_order(r, "qid", "pos", "bm25", "snippet").join(r.select("qid", "pos", "key"), ["qid", "pos"])
+
+
 @query()
 def deep_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat_ws(" ", S.title_of(F.col("text")), S.snippet_of(F.col("text"))).alias("pair"))

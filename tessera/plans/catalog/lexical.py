@@ -209,6 +209,32 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("url"), F.round("bm25", 9).alias("bm25"), F.round("ann", 9).alias("ann"), F.col("searx_rank").cast("int").alias("searx_rank"), "source")
 
 
+#: Weights of the registered ranking by all features: the fused score leads, the others order what is near.
+WEIGHTS = {"rrf": 1.0, "bm25": 0.0005, "title": 0.004, "source": 0.003, "snippet": 0.001, "freshness": 0.001, "domain": 0.002, "geo": 0.001}
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(trim(q, ' \n\t'), '\\s+'), lambda x: octet_length(encode(x)) >= 2))"
+
+
+@query(f"""WITH {bm25_sql(100)}, pr AS (SELECT source, count(*) / max(count(*)) OVER () AS prior FROM documents WHERE source <> (SELECT min(source) FROM documents) GROUP BY source),
+    f AS (SELECT top.*, d.source, d.text, b.text AS q FROM top JOIN documents d ON d.doc_id = key JOIN benchmark b ON b.item_id = qid),
+    s AS (SELECT qid, key, f.source AS host, 1.0 / (60 + rank) AS rrf, bm25, coalesce(len(list_filter({_TERMS}, lambda x: contains(lower(substr(text, 1, 80)), lower(x)))) / nullif(len({_TERMS}), 0), 0) AS title,
+      least(octet_length(encode(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240))) / 240.0, 1.0) AS snippet, coalesce(prior, 0) AS domain FROM f LEFT JOIN pr ON pr.source = f.source)
+    SELECT qid, key, host, round(title, 9) AS title, round(domain, 9) AS domain, round(rrf + 0.0005 * bm25 + 0.004 * title + 0.003 / 3 + 0.001 * snippet + 0.0005 + 0.002 * domain, 9) AS score FROM s""")
+def ltr_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the first hundred results; hosts' priors by their documents, one host without a prior."""
+    docs = stored(spark, sf_dir).documents().select("key", F.col("source").alias("host"), "title", "snippet")
+    d = table(spark, sf_dir, "documents")
+    n = d.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"))
+    some = n.join(F.broadcast(n.agg(F.min("host").alias("none"))), F.col("host") != F.col("none"))
+    priors = some.join(F.broadcast(some.agg(F.max("n").alias("most")))).select("host", (F.col("n") / F.col("most")).alias("prior"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    r = ranked(spark, sf_dir, 100).select("qid", "key", "bm25", (1 / (60 + F.col("rank"))).alias("rrf"))
+    x = r.join(docs, "key").join(b, "qid").join(priors, "host", "left")
+    f = fusion.ltr_features(x, F.col("q"))
+    # under other names first: a lambda would take the title for a column of that name in the same select
+    y = x.withColumns({"_title": F.round(f["title"], 9), "_domain": F.round(f["domain"], 9), "score": F.round(fusion.linear_ltr(f, WEIGHTS), 9)})
+    return y.select("qid", "key", "host", F.col("_title").alias("title"), F.col("_domain").alias("domain"), "score")
+
+
 @query(f"""WITH {bm25_sql(100)}, f AS (SELECT top.*, d.source, d.text, b.text AS q FROM top JOIN documents d ON d.doc_id = key JOIN benchmark b ON b.item_id = qid),
     s AS (SELECT qid, key, source, 1.0 / (60 + rank) AS rrf, least(octet_length(encode(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240))) / 240.0, 1.0) AS norm FROM f),
     c AS (SELECT *, 1.0 * rrf + 0.001 * norm AS ltr FROM s),
