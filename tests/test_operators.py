@@ -319,3 +319,27 @@ def test_ranks_of_counted_values_match_ranks_of_rows(spark):
         values = sorted(x for g, x, _ in rows if g == r["g"] and x is not None)
         assert [r["p1"], r["p50"], r["p95"], r["p100"]] == [values[max(-(-p * len(values) // 100), 1) - 1] for p in (1, 50, 95, 100)]
     assert M.spearman(df.where("false"), "x", "y", ["g"]).count() == 0
+
+
+def test_nearest_rows_are_found_in_bounded_tiles(monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = rng.integers(-2, 3, (700, 6)).astype(float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
+    keys = rng.permutation(700)
+    unit[3] = np.nan  # ranks first, as in SQL
+    queries = rng.normal(size=(90, 6))
+    monkeypatch.setattr(vector, "TILE", 4096)
+    best = vector._Nearest(np.arange(90), queries, 7)
+    plain, seen = best._tile, []
+    monkeypatch.setattr(best, "_tile", lambda k, r, w: (seen.append(len(k) * len(w)), plain(k, r, w)))
+    best.add(keys[:500], unit[:500])
+    best.add(keys[500:], unit[500:], np.arange(45))
+    assert max(seen) <= 4096
+    got = pa.Table.from_batches(best.rows()).to_pydict()
+    for q in range(90):
+        sim = np.nan_to_num(np.round(unit @ queries[q], 12), nan=np.inf)[: 700 if q < 45 else 500]
+        want = keys[np.lexsort((keys[: len(sim)], -sim))[:7]]
+        assert got["key"][7 * q : 7 * q + 7] == want.tolist()
+    few = vector._Nearest(np.arange(2), queries[:2], 7)
+    few.add(keys[:5], unit[:5])
+    assert len(pa.Table.from_batches(few.rows())) == 10
