@@ -1,6 +1,6 @@
 """An inverted index kept as files: segments of postings, tombstones and a manifest that is published atomically.
 
-Documents are dealt into shards of some thousand; a shard's postings of a term are one row, as packed arrays of places, counts and the
+Documents stand in shards of some thousand, formed where the documents are read: no text is shuffled; a shard's postings of a term are one row, as packed arrays of places, counts and the
 largest count (rows are sorted by term within their files, so that row groups without an asked term are skipped). A batch of queries
 meets each shard in one task, which gives its best rows, so that what is shuffled are the asked terms' arrays and k rows for each query
 and shard; neither texts nor (query, term, document) rows are. Statistics of the collection stand in the manifest.
@@ -19,8 +19,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import scalars as S
 from tessera.functions.stemming import stems
@@ -31,6 +34,8 @@ from tessera.plans.lineage import cut_at, delete
 SCHEMA_VERSION = 1
 #: Documents of a shard, about, and of a segment from which merging leaves it alone.
 SHARD_DOCS, MERGE_DOCS = 2048, 500_000
+#: Tokens with which a shard is closed at the latest, so that a task can hold it.
+SHARD_TOKENS = 4 << 20
 _OWN = ("_shard", "_slot", "_title_len", "_body_len")
 _POSTINGS = "shard int, term string, slots array<int>, title array<int>, body array<int>"
 
@@ -64,18 +69,45 @@ def _write(postings: DataFrame, path: str) -> None:
     postings.sortWithinPartitions("term", "shard").write.option("parquet.block.size", 8 << 20).parquet(path)
 
 
-def _gather(key: tuple, t: pa.Table) -> pa.Table:
-    """The postings of a shard's documents."""
-    words, slot, field = [], [], []
-    own = t.column("_slot").to_numpy()
-    for f, c in enumerate(("title_tokens", "body_tokens")):
-        col = t.column(c).combine_chunks()
-        words.append(pc.list_flatten(col).cast(pa.large_string()))
-        slot.append(np.repeat(own, pc.fill_null(pc.list_value_length(col), 0).to_numpy()))
-        field.append(np.full(len(slot[-1]), f))
-    coded = pc.dictionary_encode(pa.concat_arrays(words))
-    f = np.concatenate(field)
-    return _posting_rows(key[0].as_py(), coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64), np.concatenate(slot), (f == 0).astype(float), (f == 1).astype(float))
+def _gather(title: pa.ListArray, body: pa.ListArray) -> pa.Table:
+    """The postings of a shard's documents, whose slots are their places."""
+    lists = (title, body)
+    words = pa.concat_arrays([pc.list_flatten(c).cast(pa.large_string()) for c in lists])
+    slot = np.concatenate([np.repeat(np.arange(len(c)), pc.fill_null(pc.list_value_length(c), 0).to_numpy()) for c in lists])
+    coded = pc.dictionary_encode(words)
+    in_body = np.arange(len(slot)) >= len(slot) - len(pc.list_flatten(body))
+    return _posting_rows(0, coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64), slot, (~in_body).astype(float), in_body.astype(float))
+
+
+def _shards(kept: Sequence[str], schema: pa.Schema, size: int):
+    """Turns a partition's documents into shards of ``size`` documents, fewer where they are long: a row for each document and one for each term."""
+
+    def rows(t: pa.Table, shard: int) -> Iterator[pa.RecordBatch]:
+        own = {c: t.column(c) for c in (*kept, "_title_len", "_body_len")}
+        own |= {"_slot": pa.array(np.arange(t.num_rows, dtype=np.int32)), "_shard": pa.array(np.full(t.num_rows, shard))}
+        posts = _gather(*(t.column(c).combine_chunks() for c in ("title_tokens", "body_tokens")))
+        posts = {c: posts.column(c) for c in ("term", "slots", "title", "body")} | {"_shard": pa.array(np.full(posts.num_rows, shard))}
+        for part in (own, posts):
+            n = len(part["_shard"])
+            yield from pa.table([part[f"{f.name}"].cast(f.type) if f.name in part else pa.nulls(n, f.type) for f in schema], schema=schema).to_batches(max_chunksize=1 << 14)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, long = TaskContext.get().partitionId() << 32, [], 0
+        for batch in it:
+            while batch.num_rows:
+                some = batch.slice(0, size - sum(b.num_rows for b in held))
+                length = np.cumsum(pc.add(some.column("_title_len"), some.column("_body_len")).to_numpy())
+                some = some.slice(0, max(1, int(np.searchsorted(length, SHARD_TOKENS - long, "right"))))
+                held.append(some)
+                long += int(length[some.num_rows - 1])
+                batch = batch.slice(some.num_rows)
+                if long >= SHARD_TOKENS or sum(b.num_rows for b in held) >= size or batch.num_rows:
+                    yield from rows(pa.Table.from_batches(held), first)
+                    first, held, long = first + 1, [], 0
+        if held:
+            yield from rows(pa.Table.from_batches(held), first)
+
+    return run
 
 
 def _restem(key: tuple, t: pa.Table) -> pa.Table:
@@ -86,6 +118,14 @@ def _restem(key: tuple, t: pa.Table) -> pa.Table:
     return _posting_rows(key[0].as_py(), coded.dictionary, term, *(pc.list_flatten(t.column(c).combine_chunks()).to_numpy() for c in ("slots", "title", "body")))
 
 
+def _flags(key: tuple, t: pa.Table) -> pa.Table:
+    """For each slot of a shard whether its document is there."""
+    slot = t.column("slot").to_numpy()
+    live = np.zeros(slot.max() + 1, bool)
+    live[slot] = True
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([live], pa.list_(pa.bool_()))], ["shard", "live"])
+
+
 class StoredIndex:
     """One index under a folder that the cluster shares."""
 
@@ -126,30 +166,37 @@ class StoredIndex:
 
         Null titles and bodies are empty. Keys should be unique; repeated ones are separate documents. No documents stage nothing.
         """
-        n = docs.count()
-        if not n:
-            return
         body = F.col("text") if body is None else body
         title = S.title_of(body) if title is None else title
         toks = [S.tokens(F.coalesce(c, F.lit(""))).alias(a) for c, a in ((title, "title_tokens"), (body, "body_tokens"))]
-        own = docs.select(F.col(key).alias("key"), *toks, *(c for c in store if c != "key")).withColumns({"_title_len": F.size("title_tokens"), "_body_len": F.size("body_tokens")})
-        shards = -(-n // shard_docs)
+        own = docs.select(F.col(key).alias("key"), *(c for c in store if c != "key"), *toks).withColumns({"_title_len": F.size("title_tokens"), "_body_len": F.size("body_tokens")})
+        kept = [c for c in own.columns if c not in ("title_tokens", "body_tokens", "_title_len", "_body_len")]
+        row = T.StructType([*(T.StructField(c, own.schema[c].dataType) for c in kept), *(T.StructField(c, T.IntegerType()) for c in ("_title_len", "_body_len", "_slot")), T.StructField("_shard", T.LongType()), T.StructField("term", T.StringType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("slots", "title", "body"))])
+        # stored columns may have the names of the postings' own
+        names = {c: f"_kept{i}" for i, c in enumerate(kept)}
+        row = T.StructType([T.StructField(names.get(f.name, f.name) if i < len(kept) else f.name, f.dataType) for i, f in enumerate(row)])
+        own = own.withColumnsRenamed(names)
+        staged, spath = cut_at(own.mapInArrow(_shards(list(names.values()), to_arrow_schema(row), shard_docs), row), "staged")
+        one = staged.where("_slot is not null")
+        n, title_sum, body_sum = one.agg(F.count("*"), F.sum("_title_len"), F.sum("_body_len")).first()
+        if not n:
+            delete(self.spark, spath)
+            return
+        # shards are numbered without gaps: one number for each goes through the driver
+        found = [r[0] for r in one.select("_shard").distinct().orderBy("_shard").collect()]
+        numbers = F.broadcast(self.spark.createDataFrame(list(enumerate(found)), "shard int, _shard long"))
         at = f"{self.path}/segments/{uuid.uuid4().hex}"
-        dealt = own.withColumn("_shard", F.expr(f"cast(pmod(xxhash64(key), {shards}) as int)"))
-        dealt = dealt.withColumn("_slot", F.expr("row_number() over (partition by _shard order by key) - 1"))
-        staged, spath = cut_at(dealt, "staged")
-        staged.drop("title_tokens", "body_tokens").write.parquet(f"{at}/docs")
-        raw = staged.select("_shard", "_slot", "title_tokens", "body_tokens").groupBy("_shard").applyInArrow(_gather, _POSTINGS)
+        one.join(numbers, "_shard").select(*(F.col(v).alias(k) for k, v in names.items()), "_title_len", "_body_len", F.col("shard").alias("_shard"), "_slot").write.parquet(f"{at}/docs")
+        raw = staged.where("_slot is null").join(numbers, "_shard").select("shard", "term", "slots", "title", "body")
         paths = [spath]
         if self.manifest["stem"]:
-            raw, rpath = cut_at(raw, "terms")
-            paths.append(rpath)
             # the cascade runs once for each distinct term, and its stems are joined back
-            raw = raw.join(stems(raw), "term").drop("term").groupBy("shard").applyInArrow(_restem, _POSTINGS)
+            stem, rpath = cut_at(stems(raw), "stems")
+            paths.append(rpath)
+            raw = raw.join(stem, "term").drop("term").groupBy("shard").applyInArrow(_restem, _POSTINGS)
         _write(raw, f"{at}/postings")
-        title_sum, body_sum = staged.agg(F.sum("_title_len"), F.sum("_body_len")).first()
         delete(self.spark, *paths)
-        self._staged.append({"path": at[len(self.path) + 1 :], "docs": n, "shards": shards, "title": int(title_sum), "body": int(body_sum)})
+        self._staged.append({"path": at[len(self.path) + 1 :], "docs": n, "shards": len(found), "title": int(title_sum), "body": int(body_sum)})
 
     def remove(self, keys: DataFrame, key: str = "key") -> None:
         """Stages deletions by key: of all documents with the key that the next commit's predecessor has. Unknown keys do no harm."""
@@ -192,11 +239,14 @@ class StoredIndex:
             base += s["shards"]
         kept, kpath = cut_at(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), docs), "kept")
         kept.write.parquet(f"{at}/docs")
-        slots = kept.groupBy(F.col("_shard").alias("shard")).agg(F.collect_list("_slot").alias("live"))
-        keep = reduce(DataFrame.unionByName, posts).join(slots, "shard")
-        keep = keep.withColumn("x", F.filter(F.arrays_zip("slots", "title", "body"), lambda x: F.array_contains("live", x["slots"]))) if self.manifest["tombstones"] else keep.withColumn("x", F.arrays_zip("slots", "title", "body"))
+        # a flag for each slot, looked up by place, in a small table that every task can hold
+        flags, fpath = cut_at(kept.select(F.col("_shard").alias("shard"), F.col("_slot").alias("slot")).groupBy("shard").applyInArrow(_flags, "shard int, live array<boolean>"), "flags")
+        keep = reduce(DataFrame.unionByName, posts).join(flags, "shard")
+        x = F.arrays_zip("slots", "title", "body")
+        keep = keep.withColumn("x", F.filter(x, lambda x: F.coalesce(F.get("live", x["slots"]), F.lit(False))) if self.manifest["tombstones"] else x)
         keep = keep.where(F.size("x") > 0).select("shard", "term", *(F.col(f"x.{c}").alias(c) for c in ("slots", "title", "body")))
-        _write(keep.repartition("shard"), f"{at}/postings")
+        _write(keep, f"{at}/postings")
+        delete(self.spark, fpath)
         n, title, body = kept.agg(F.count("*"), F.sum("_title_len"), F.sum("_body_len")).first()
         delete(self.spark, kpath)
         new = dict(self.manifest, number=self.manifest["number"] + 1)

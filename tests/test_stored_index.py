@@ -211,3 +211,23 @@ def test_empty_index(spark):
     index.add(docs(spark, []), title=F.col("title"), body=F.col("text"))
     index.commit()
     assert index.count() == 0 and ask(spark, index, "run") == [[]]
+
+
+def test_texts_are_not_shuffled_and_shards_are_bounded(spark, monkeypatch):
+    rows = [(i, f"h{i % 3}", f"t{i % 5}", "word " * (i % 9) + f"own{i}") for i in range(100)]
+    monkeypatch.setattr(X, "SHARD_TOKENS", 40)
+    plans, cut_at = [], X.cut_at
+    monkeypatch.setattr(X, "cut_at", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), cut_at(df, tag))[1])
+    index = build(spark, rows, stem=False, shard_docs=10)
+    assert "Exchange" not in dict(plans)["staged"]
+    made = spark.read.parquet(f"{index.path}/{index.manifest['segments'][0]['path']}/docs")
+    per = made.groupBy("_shard").agg(F.count("*").alias("n"), F.count_distinct("_slot").alias("slots"), F.sum(F.col("_title_len") + F.col("_body_len")).alias("tokens")).collect()
+    assert sorted(r._shard for r in per) == list(range(index.manifest["segments"][0]["shards"]))
+    assert all(r.n == r.slots <= 10 and r.tokens <= 40 for r in per) and sum(r.n for r in per) == 100
+    assert ask(spark, index, "own37", "own99") == [[37], [99]]
+    index.remove(index.documents().where("key % 2 = 1"))
+    index.commit()
+    index.merge()
+    assert ask(spark, index, "own37", "own98") == [[], [98]] and index.count() == 50
+    slots = spark.read.parquet(f"{index.path}/{index.manifest['segments'][0]['path']}/postings").select(F.sum(F.size("slots"))).first()[0]
+    assert slots == sum(1 + (i % 9 > 0) + 1 for i in range(0, 100, 2))
