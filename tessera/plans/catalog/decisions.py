@@ -12,6 +12,7 @@ from tessera.operators import routing as R
 from tessera.operators.resampling import PER_DIGEST, bootstrap_mean, poisson_limits
 from tessera.plans.catalog import lexical as L
 from tessera.plans.catalog import query, table
+from tessera.plans.lineage import cut
 
 #: A decision log from events: intent by type, arm by id, reward for large values, context in buckets.
 LOG = """log AS (SELECT event_id, (ts::DATE - DATE '1970-01-01')::INT AS day, (user_id % 4 | ((user_id // 4 % 2) << 2))::INT AS context, (event_id % 10 < 8)::INT * 2 * (event_id % 3 <> 1)::INT + (event_id % 3 = 1)::INT AS arm, (value > 50)::INT::DOUBLE AS reward FROM events),
@@ -235,7 +236,7 @@ def deep_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    top = L.ranked(spark, sf_dir, 3).select("qid", "key", "rank")
+    top = cut(L.ranked(spark, sf_dir, 3).select("qid", "key", "rank"), "ranked")
     p = W.passage_table(docs.join(top.select("key").distinct(), "key", "left_semi"), "key", "text")
     scored = top.join(p, "key").join(b, "qid").withColumn("ce", W.overlap_score(F.col("q"), F.col("passage")))
     return W.best_passage(scored, ["qid"]).select("qid", "key", "n", F.round("ce", 6).alias("ce"), "passage", "degraded")
