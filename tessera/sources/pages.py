@@ -5,14 +5,19 @@ from __future__ import annotations
 import html
 import ipaddress
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of pages that are taken apart at a time.
+GROUP = 1 << 20
 #: Ports that may be opened.
 PORTS = (80, 443, 8080, 8443)
 #: Networks that may not be reached.
@@ -87,10 +92,23 @@ def extract(page: str | None) -> tuple[str | None, str]:
 
 
 def extract_pages(pages: DataFrame, page: str = "html") -> DataFrame:
-    """Adds ``title`` and ``text``."""
-    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
-    u = F.pandas_udf(lambda s: pd.DataFrame([extract(x) for x in s], columns=["title", "text"]), kind)
-    return pages.withColumn("_e", u(F.col(page))).withColumns({"title": F.col("_e.title"), "text": F.col("_e.text")}).drop("_e")
+    """Adds ``title`` and ``text``. Few pages stand in a worker's memory at a time, however many a batch brings: about ``GROUP`` bytes, or one page."""
+    kept = [c for c in pages.columns if c not in ("title", "text")]
+    row = T.StructType([*(pages.schema[c] for c in kept), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(page)), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, "right")))
+                part = batch.slice(at, upto - at)
+                got = [extract(x) for x in part.column(page).to_pylist()]
+                made = [pa.array([g[i] for g in got], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], [*kept, "title", "text"])
+                at = upto
+
+    return pages.mapInArrow(run, row)
 
 
 def robots_allow(robots: str | None, status: int | None, agent: str, url: str) -> bool:
