@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,43 +30,88 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """FNV-1a of each run of letters and figures, each lowered to its first lower-case character."""
-    out, word = [], []
-    for ch in text + " ":
-        if ch.isalnum() or unicodedata.category(ch) in ("Nd", "Nl", "No"):
-            word.append(ch.lower()[0])
-        elif word:
-            h = 0xCBF29CE484222325
-            for b in "".join(word).encode():
-                h = (h ^ b) * 0x100000001B3 & _M
-            out.append(h)
-            word = []
-    return np.array(out, np.uint64)
+#: What each character met so far is in a word, its first lower-case character; 0 for what stands in none, -1 for one not yet met.
+_LETTER = np.full(0x110000, -1, np.int32)
+_FNV, _PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: Characters that are sketched at a time.
+GROUP = 1 << 20
+
+
+def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """FNV-1a of each run of letters and figures, each lowered to its first lower-case character, and where each text's begin."""
+    chars = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in np.unique(chars[_LETTER[chars] < 0]).tolist():
+        ch = chr(c)
+        _LETTER[c] = ord(ch.lower()[0]) if ch.isalnum() or unicodedata.category(ch) in ("Nd", "Nl", "No") else 0
+    low = _LETTER[chars]
+    part = low > 0
+    first = np.flatnonzero(part & ~np.r_[False, part[:-1]])
+    begin = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    size = 1 + (low >= 0x80) + (low >= 0x800) + (low >= 0x10000)
+    at = np.cumsum(size * part) - size * part
+    raw = np.zeros(int((size * part).sum()), np.uint64)
+    for n in range(1, 5):
+        some = part & (size == n)
+        x, to = low[some].astype(np.uint64), at[some]
+        for i in range(n):
+            v = x >> np.uint64(6 * (n - 1 - i))
+            raw[to + i] = v if n == 1 else (v | np.uint64((0xF00 >> n) & 0xFF) if i == 0 else v & np.uint64(0x3F) | np.uint64(0x80))
+    start = at[first]
+    length = np.diff(np.r_[start, len(raw)])
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    h, pos = np.full(len(order), _FNV, np.uint64), 0
+    while (active := int(np.searchsorted(-length, -pos, "left"))) > 8:
+        h[:active] = (h[:active] ^ raw[start[:active] + pos]) * np.uint64(_PRIME)
+        pos += 1
+    for i in range(active):  # the last few long ones
+        v = int(h[i])
+        for b in raw[start[i] + pos : start[i] + length[i]].tolist():
+            v = (v ^ b) * _PRIME & _M
+        h[i] = v
+    out = np.empty_like(h)
+    out[order] = h
+    return out, begin
+
+
+def sketches(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the number of its distinct word shingles, and one byte for each of 60 bins of a one-permutation hash; empty bins borrow from the right."""
+    w, begin = word_hashes(texts)
+    n = np.diff(begin)
+    own = np.repeat(np.arange(len(texts)), n)
+    h = w[: max(0, len(w) - SHINGLE + 1)]
+    for i in range(1, SHINGLE):
+        h = splitmix(h ^ w[i : i + len(h)])
+    whole = own[: len(h)] == own[SHINGLE - 1 :]
+    few = np.flatnonzero(n < SHINGLE)
+    x = np.full(len(few), _FNV, np.uint64)
+    for i in range(SHINGLE - 1):
+        more = n[few] > i
+        x[more] = splitmix(x[more] ^ w[begin[few][more] + i])
+    h, own = h[whole], own[: len(whole)][whole]
+    edge = np.searchsorted(own, np.arange(len(texts) + 1))
+    for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        h[a:z].sort()
+    new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
+    h, own = np.r_[h[new], splitmix(x)], np.r_[own[new], few]
+    least = np.full(len(texts) * BINS, _M, np.uint64)
+    np.minimum.at(least, own * BINS + (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
+    least = least.reshape(-1, BINS)
+    sig, empty = least.copy(), least == np.uint64(_M)
+    for steps in range(1, BINS):
+        if not empty.any():
+            break
+        near = np.roll(least, -steps, axis=1)
+        take = empty & (near != np.uint64(_M))
+        sig[take] = splitmix(near[take] ^ np.uint64(steps))
+        empty &= ~take
+    return np.bincount(own, minlength=len(texts)), (sig & np.uint64(0xFF)).astype(np.uint8)
 
 
 def sketch(text: str) -> tuple[int, bytes]:
-    """Number of distinct word shingles and one byte for each of 60 bins of a one-permutation hash; empty bins borrow from the right."""
-    w = word_hashes(text)
-    if len(w) < SHINGLE:
-        h = np.uint64(0xCBF29CE484222325)
-        for x in w:
-            h = splitmix(h ^ x)
-        h = np.array([splitmix(h)], np.uint64)
-    else:
-        h = w[: len(w) - SHINGLE + 1]
-        for i in range(1, SHINGLE):
-            h = splitmix(h ^ w[i : len(w) - SHINGLE + 1 + i])
-        h = np.unique(h)
-    least = np.full(BINS, _M, np.uint64)
-    np.minimum.at(least, (h % np.uint64(BINS)).astype(int), h // np.uint64(BINS))
-    filled = np.flatnonzero(least != np.uint64(_M))
-    sig = np.zeros(BINS, np.uint8)
-    for i in range(BINS):
-        steps = int(((filled - i) % BINS).min())
-        v = least[(i + steps) % BINS]
-        sig[i] = int(v if steps == 0 else splitmix(v ^ np.uint64(steps))) & 0xFF
-    return len(h), sig.tobytes()
+    """:func:`sketches` of one text."""
+    n, sig = sketches([text])
+    return int(n[0]), sig[0].tobytes()
 
 
 def encode_sketch(shingles: int, sig: bytes) -> bytes:
@@ -77,8 +124,11 @@ def decode_sketch(raw: bytes) -> tuple[int, bytes] | None:
 
 @F.pandas_udf(T.StructType([T.StructField("shingles", T.IntegerType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]))
 def sketch_udf(text: pd.Series) -> pd.DataFrame:
-    got = [sketch(t or "") for t in text]
-    return pd.DataFrame({"shingles": [g[0] for g in got], "sig": [list(g[1]) for g in got]})
+    texts = [t or "" for t in text]
+    group = np.cumsum([0, *map(len, texts)])[:-1] // GROUP
+    edge = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(texts)].tolist()
+    got = [sketches(texts[a:z]) for a, z in zip(edge, edge[1:], strict=False)]
+    return pd.DataFrame({"shingles": [x for n, _ in got for x in n.tolist()], "sig": [x for _, sig in got for x in sig.astype(np.int32)]})
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:
@@ -182,6 +232,28 @@ def minhash(shingles: DataFrame, key: str, perms: int = 16) -> DataFrame:
     return shingles.groupBy(key).agg(*(F.min(S.key60(F.concat(F.lit(f"{i}:"), "sh"))).alias(f"h{i}") for i in range(perms)))
 
 
+def text_minhash(docs: DataFrame, key: str, text: Column, perms: int = 16, k: int = SHINGLE) -> DataFrame:
+    """:func:`minhash` of the word shingles of texts: a task hashes the shingles of one text at a time, and only their least hashes leave it.
+
+    A key is the first 60 bits of a digest, so that the least digest has the least key.
+    """
+    rows = docs.select(F.col(key), S.tokens(text).alias("_t")).where(F.size("_t") > 0)
+    seeds = [f"{i}:".encode() for i in range(perms)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for t in part.column("_t").to_pylist():
+                    some = {" ".join(t[i : i + k]).encode() for i in range(max(1, len(t) - k + 1))}
+                    out.append([int.from_bytes(min([hashlib.md5(s + x, usedforsecurity=False).digest() for x in some])[:8], "big") >> 4 for s in seeds])
+                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array([o[i] for o in out], pa.int64()) for i in range(perms))], names)
+
+    names = [key, *(f"h{i}" for i in range(perms))]
+    kinds = ", ".join([f"{key} {rows.schema[key].dataType.simpleString()}", *(f"h{i} long" for i in range(perms))])
+    return rows.mapInArrow(run, kinds).groupBy(key).agg(*(F.min(f"h{i}").alias(f"h{i}") for i in range(perms)))
+
+
 def simhash(docs: DataFrame, key: str, text: Column, bits: int = 60) -> DataFrame:
     """``(key, simhash)``: bits that most tokens of a text have set."""
     t = docs.select(key, F.explode(S.tokens(text)).alias("t")).select(key, S.key60(F.col("t")).alias("h"))

@@ -40,7 +40,7 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SHINGLES} SELECT doc_id, min({L.KEY.format(c=chr(39) + '0:' + chr(39) + ' || sh')}) AS h0, min({L.KEY.format(c=chr(39) + '1:' + chr(39) + ' || sh')}) AS h1 FROM sh GROUP BY doc_id")
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.minhash(E.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "doc_id", 2)
+    return E.text_minhash(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 2)
 
 
 @query(f"""WITH {L.bm25_sql(10)}, {SHINGLES}, p AS (SELECT DISTINCT least(a.key, b.key) AS a, greatest(a.key, b.key) AS b FROM top a JOIN top b USING (qid) WHERE a.rank < b.rank),
@@ -49,7 +49,10 @@ def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = L.ranked(spark, sf_dir, 10).select("qid", "key", "rank")
     p = top.alias("x").join(top.alias("y"), "qid").where("x.rank < y.rank").select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    sh = E.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    p = cut(p, "pairs")
+    asked = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # only texts that are in a pair are taken apart
+    sh = cut(E.shingle_sets(table(spark, sf_dir, "documents").join(asked, "doc_id", "left_semi"), "doc_id", F.col("text")), "shingles")
     return E.exact_containment(p, sh, "a", "b", "doc_id").select("a", "b", F.round("containment", 9).alias("containment"))
 
 

@@ -343,3 +343,68 @@ def test_nearest_rows_are_found_in_bounded_tiles(monkeypatch):
     few = vector._Nearest(np.arange(2), queries[:2], 7)
     few.add(keys[:5], unit[:5])
     assert len(pa.Table.from_batches(few.rows())) == 10
+
+
+def test_sketches_of_many_texts_equal_each_alone():
+    """The hash and its bins as a plain procedure over characters."""
+    rng = np.random.default_rng(3)
+    pool = list("aBcÀİßéΣ漢字𝔸𐐀①Ⅳ٣½") + [" ", " ", ".", "-", "\t"]
+    texts = ["", " ", "x" * 3000, *("".join(rng.choice(pool, rng.integers(80))) for _ in range(200))]
+    m = (1 << 64) - 1
+
+    def mix(x):
+        z = (x + 0x9E3779B97F4A7C15) & m
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+        return z ^ z >> 31
+
+    def plain(text):
+        words = []
+        for w in "".join(ch.lower()[0] if ch.isalnum() else " " for ch in text).split():
+            h = 0xCBF29CE484222325
+            for b in w.encode():
+                h = (h ^ b) * 0x100000001B3 & m
+            words.append(h)
+        if len(words) < 4:
+            h = 0xCBF29CE484222325
+            for x in words:
+                h = mix(h ^ x)
+            hs = {mix(h)}
+        else:
+            hs = {mix(mix(mix(words[i] ^ words[i + 1]) ^ words[i + 2]) ^ words[i + 3]) for i in range(len(words) - 3)}
+        bins = {}
+        for h in hs:
+            bins[h % 60] = min(bins.get(h % 60, m), h // 60)
+        sig = []
+        for i in range(60):
+            steps = next(s for s in range(60) if (i + s) % 60 in bins)
+            v = bins[(i + steps) % 60]
+            sig.append((v if steps == 0 else mix(v ^ steps)) & 0xFF)
+        return len(hs), bytes(sig)
+
+    n, sig = E.sketches(texts)
+    assert [(int(a), b.tobytes()) for a, b in zip(n, sig, strict=True)] == [plain(t) for t in texts] == [E.sketch(t) for t in texts]
+
+
+def test_text_minhash_keeps_shingles_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "a b c d e a b c d"), (2, "a B"), (3, ""), (4, None), (1, "z y x w v")], "k long, text string")
+    got = E.text_minhash(docs, "k", F.col("text"), 3)
+    want = E.minhash(E.shingle_sets(docs, "k", F.col("text")), "k", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_few_pages_are_taken_apart_at_a_time(spark, monkeypatch):
+    rows = [(i, f"<title>t{i}</title><body><p>{'ab ' * (i % 40)}</p></body>" if i % 7 else None) for i in range(300)]
+    monkeypatch.setattr(G, "GROUP", 500)
+    got = G.extract_pages(spark.createDataFrame(rows, "id long, html string").coalesce(1)).orderBy("id").collect()
+    assert [(r.title, r.text) for r in got] == [G.extract(h) for _, h in rows] and got[0].asDict().keys() == {"id", "html", "title", "text"}
+    sizes = spark.createDataFrame(rows, "id long, html string").coalesce(1)
+    batches = []
+    plain = type(sizes).mapInArrow
+    monkeypatch.setattr(type(sizes), "mapInArrow", lambda df, f, schema: (batches.append(f), plain(df, f, schema))[1])
+    G.extract_pages(sizes)
+    table = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "html": [h for _, h in rows]})
+    out = list(batches[0]([table]))
+    assert sum(b.num_rows for b in out) == 300 and max(sum(len(h or "") for h in b.column("html").to_pylist()) for b in out) <= 500
