@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,7 +245,10 @@ def text_minhash(docs: DataFrame, key: str, text: Column, perms: int = 16, k: in
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for t in part.column("_t").to_pylist():
+                lists = part.column("_t")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+                for t in (flat[a:z] for a, z in zip([0, *ends], ends, strict=False)):
                     some = {" ".join(t[i : i + k]).encode() for i in range(max(1, len(t) - k + 1))}
                     out.append([int.from_bytes(min([hashlib.md5(s + x, usedforsecurity=False).digest() for x in some])[:8], "big") >> 4 for s in seeds])
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array([o[i] for o in out], pa.int64()) for i in range(perms))], names)
