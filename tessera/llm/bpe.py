@@ -56,15 +56,24 @@ class WordBpe:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in {**self.vocab, **self.special}.items()}
+        #: The same by place, unless an id is missing.
+        self.table = np.array([self.names.get(i) for i in range(max(self.names) + 1)], object)
+        self.whole = len(self.names) == len(self.table)
         self.end = model["end_of_word_suffix"]
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for r, (a, b) in enumerate(model["merges"]):
             self.rank[self.vocab[a], self.vocab[b]] = (r, self.vocab[a + b])
+        #: Pairs as numbers in ascending order, their ranks, and the pairs by rank.
+        self.pairs = {r: p for p, (r, _) in self.rank.items()}
+        numbers = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        order = np.argsort(numbers)
+        self.pair_numbers, self.pair_ranks = numbers[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern.replace(r"^\s", "^" + BLANK))
         self.letters = byte_letters()
         self.first = [self.vocab.get(c) for c in self.letters]
         self.last = [self.vocab.get(c + self.end) for c in self.letters]
+        self.symbols = np.array([[-1 if i is None else i for i in x] for x in (self.first, self.last)])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.forget()
 
@@ -92,14 +101,15 @@ class WordBpe:
 
     def merge_all(self, words: Sequence[str]) -> list[list[int]]:
         """Ids of each word."""
-        sym: list[int] = []
-        bounds = [0]
-        for w in words:
-            raw = w.encode()
-            ids = [self.first[b] for b in raw[:-1]] + [self.last[b] for b in raw[-1:]]
-            sym += [i for i in ids if i is not None]
-            bounds.append(len(sym))
-        n = len(sym)
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([0, *map(len, raw)])
+        at_end = np.zeros(ends[-1], np.int64)
+        at_end[ends[1:][np.diff(ends) > 0] - 1] = 1
+        found = self.symbols[at_end, np.frombuffer(b"".join(raw), np.uint8)]
+        has = found >= 0
+        bounds = np.concatenate([[0], np.cumsum(has)])[ends].tolist()
+        found = found[has]
+        n = len(found)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         for x in bounds:
             if x < n:
@@ -107,15 +117,8 @@ class WordBpe:
             if x:
                 nxt[x - 1] = -1
         rank = self.rank
-        index: dict[tuple[int, int], list[int]] = {}
-        for i in range(n):
-            j = nxt[i]
-            if j >= 0:
-                pair = (sym[i], sym[j])
-                if pair in index:
-                    index[pair].append(i)
-                elif pair in rank:
-                    index[pair] = [i]
+        sym = found.tolist()
+        index = self._index(found, np.array(nxt) >= 0)
         heap = [(rank[p][0], p) for p in index]
         heapq.heapify(heap)
         while heap:
@@ -152,6 +155,20 @@ class WordBpe:
                         heapq.heappush(heap, (rank[p][0], p))
         return [[s for s in sym[x:y] if s >= 0] for x, y in zip(bounds, bounds[1:], strict=False)]
 
+    def _index(self, sym: np.ndarray, more: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """The positions of each pair that has a rank, where ``more`` says that a symbol has a neighbour."""
+        place = np.flatnonzero(more)
+        if not len(place) or not len(self.pair_numbers):
+            return {}
+        number = sym[place] << 32 | sym[place + 1]
+        at = np.minimum(np.searchsorted(self.pair_numbers, number), len(self.pair_numbers) - 1)
+        known = self.pair_numbers[at] == number
+        place, ranks = place[known], self.pair_ranks[at[known]]
+        order = np.argsort(ranks, kind="stable")
+        place, ranks = place[order].tolist(), ranks[order]
+        edge = np.flatnonzero(np.diff(ranks, prepend=-1, append=-1)).tolist()
+        return {self.pairs[int(ranks[x])]: place[x:y] for x, y in zip(edge, edge[1:], strict=False)}
+
     def learn(self, words: Sequence[str]) -> None:
         """Encodes words not yet known."""
         for w, ids in zip(words, self.merge_all(words), strict=True):
@@ -178,8 +195,10 @@ class WordBpe:
         flat = np.repeat(starts[word] - end[:-1], n) + np.arange(end[-1])
         return ids[flat], end[count]
 
-    def decode(self, ids: Sequence[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The text of ids. The file names no decoder, so that tokens are joined by blanks; unknown ids have none."""
+        if self.whole and isinstance(ids, np.ndarray) and len(ids) and ids.min() >= 0 and ids.max() < len(self.table):
+            return " ".join(self.table[ids].tolist())
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
@@ -197,7 +216,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: Sequence[str] = ("doc_i
     """
 
     def form(bpe: WordBpe, ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
-        decoded = [bpe.decode(ids[a:z].tolist()) for a, z in zip(off, off[1:], strict=False)]
+        decoded = [bpe.decode(ids[a:z]) for a, z in zip(off, off[1:], strict=False)]
         return [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())]
 
     return _run(docs, tokenizer, keep, text_col, "ids array<int>, decoded string", form)
@@ -208,8 +227,8 @@ def encode_digest(docs: DataFrame, tokenizer: str, keep: Sequence[str] = ("doc_i
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def form(bpe: WordBpe, ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
-        each = [ids[a:z].tolist() for a, z in zip(off, off[1:], strict=False)]
-        return [pa.array(np.diff(off), pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in each], pa.string()), pa.array([sha(bpe.decode(x)) for x in each], pa.string())]
+        each = [ids[a:z] for a, z in zip(off, off[1:], strict=False)]
+        return [pa.array(np.diff(off), pa.int64()), pa.array([sha(" ".join(map(str, x.tolist()))) for x in each], pa.string()), pa.array([sha(bpe.decode(x)) for x in each], pa.string())]
 
     return _run(docs, tokenizer, keep, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", form)
 

@@ -555,3 +555,16 @@ def test_unrelated_sets_that_share_a_line(monkeypatch):
     few, _, _ = comparisons(texts[:1000], monkeypatch)
     many, pairs, undivided = comparisons(texts, monkeypatch)
     assert undivided > 0 and pairs == 0 and max(few / 1000, many / 4000) < 100  # all pairs would be 500 and 2,000 for each text
+
+
+def test_bpe_tables_equal_single_look_ups():
+    PT = pytest.importorskip("public_tokenizers")
+    coder = bpe.WordBpe(PT.path("word_bpe_49k.json"))
+    words = ["hello", "naïve", "", "é", "abab" * 9, "hello"]
+    ids = coder.merge_all(words)
+    assert ids[2] == [] and ids[0] == ids[5] and all("".join(coder.names[i] for i in x).endswith(coder.end) for x in ids if x)
+    flat = np.array([i for x in ids for i in x])
+    assert coder.decode(flat) == coder.decode(flat.tolist()) and coder.decode(np.array([], int)) == ""
+    assert coder.decode(np.array([flat[0], 10**6])) == coder.names[int(flat[0])]
+    found = coder._index(np.array([coder.first[97], coder.last[98]]), np.array([True, False]))
+    assert found == {p: [0] for p in [(coder.first[97], coder.last[98])] if p in coder.rank}
