@@ -23,7 +23,8 @@ classes are contracted. None of this loses a link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,16 @@ PIVOT_ROUNDS = 4
 #: Regions of at most so many sets give all their pairs at once; so many are not divided; of more classes than so many that pivots
 #: do not divide the common shingles are set aside.
 FEW, SMALL, MUCH = 4, 12, 1024
+#: Regions of at most so many sets are not divided, and are compared many at a time; so many of a region's sets are its pivots.
+TOGETHER, LEADS = 64, 16
 #: Rounds of pivots in a row that find hardly anybody, after which a region counts as undivided.
 POOR = 4
 #: Pivots that divide a cell, and in a crowded cell pivots that sets are linked to and sets tried for each.
 PIVOTS, COVERS, TRIED = 8, 4, 12
 #: A cell with more open pairs than this many times the sets at home there is crowded.
 CROWD = 4
+#: Bitmaps are first compared folded to one part in so many of their width.
+BRIEF = 4
 #: Parity bits of a set: the next power of two of so many times its size, within these bounds.
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 65536
 _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
@@ -112,6 +117,7 @@ def size_class(n: np.ndarray, t: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / t) + 1e-9).astype(np.int64) if t < 100 else n
 
 
+@cache
 def parts_of(cls: int, t: int) -> tuple[int, int]:
     """Parts for pairs whose larger set is in a size class, and how many parts without shingles they make up for."""
     if t >= 100:
@@ -359,11 +365,16 @@ class Cells:
         maps = [np.frombuffer(x, np.uint64) for x in bits]
         self.words = np.array([len(x) for x in maps])
         self.tables: dict[int, np.ndarray] = {}
+        self.brief: dict[int, np.ndarray] = {}
         span = 2 * int(np.ceil((100 / t) ** 2))  # sizes in a region differ by no more, so wider sets are never folded to this width
         for w in np.unique(self.words):
             self.tables[int(w)] = held = np.zeros((len(sid), w), np.uint64)
-            for i in np.flatnonzero((self.words >= w) & (self.words <= span * w)):
+            at = np.flatnonzero((self.words >= w) & (self.words <= span * w))
+            for i in at:
                 held[i] = _fold(maps[i], w)
+            if w >= BRIEF:
+                self.brief[int(w)] = less = np.zeros((len(sid), w // BRIEF), np.uint64)
+                less[at] = np.bitwise_xor.reduce(held[at].reshape(len(at), BRIEF, -1), axis=1)
 
     def reach(self, x: np.ndarray) -> int:
         """The most shingles in which two of these sets may differ and link."""
@@ -378,8 +389,11 @@ class Cells:
         narrow = np.minimum(self.words[i], self.words[j])
         for w in np.unique(narrow):
             x = np.flatnonzero(narrow == w)
-            held = self.tables[int(w)]
-            good[at[x]] = np.bitwise_count(held[i[x]] ^ held[j[x]]).sum(axis=1) <= most[x]
+            for held in (self.brief.get(int(w)), self.tables[int(w)]):
+                if held is not None:
+                    ok = np.bitwise_count(held[i[x]] ^ held[j[x]]).sum(axis=1) <= most[x]
+                    good[at[x[~ok]]] = False
+                    x = x[ok]
         return good
 
     def divide(self, members: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -429,15 +443,59 @@ class Cells:
                 return *self.covered(home), False
         return np.concatenate(left), np.concatenate(right), True
 
-    def covered(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs with a few pivots; those that may link to one are not compared with the next."""
+    def together(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, whole: bool, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Undivided regions ``doc[start:end]``, many at a time: pairs that may link, and which regions are crowded and gave a few pivots' only."""
+        size = end - start
+        total = np.concatenate([[0], np.cumsum(size * (size - 1) // 2)])
+        r = 0
+        while r < len(size):
+            q = max(int(np.searchsorted(total, total[r] + most, "right")) - 1, r + 1)
+            held, base = size[r:q], np.cumsum(size[r:q]) - size[r:q]
+            x = doc[np.repeat(start[r:q] - base, held) + np.arange(held.sum())]
+            # no region of a group is so large that its pairs come in two pieces, and a group is one piece
+            i, j = next(_ranges(np.arange(len(x)) + 1, np.repeat(base + held, held), 2 * most), (np.zeros(0, np.int64),) * 2)
+            # the first sets of each region are its pivots: within reach of one, and windows on the distance to the first, as in a cell
+            d, reach = np.zeros((LEADS, len(x)), np.int64), np.repeat(2 * np.maximum.reduceat(self.size[x], base) * (100 - self.t) // (100 + self.t), held)
+            first, width = np.repeat(base, held), np.repeat(np.minimum.reduceat(self.words[x], base), held)
+            for w in np.unique(width):
+                table = self.tables[int(w)]
+                for p in range(LEADS):
+                    at = np.flatnonzero((width == w) & (np.arange(len(x)) - first >= p))
+                    d[p, at] = np.bitwise_count(table[x[at]] ^ table[x[first[at] + p]]).sum(axis=1)
+            p = i - first[i]
+            ok = (np.abs(d[0, i] - d[0, j]) <= reach[i]) & ((p >= LEADS) | (d[np.minimum(p, LEADS - 1), j] <= reach[i]))
+            i, j = i[ok], j[ok]
+            ok = self.may_link(x[i], x[j])
+            i, j = i[ok], j[ok]
+            of = np.searchsorted(base, i, "right") - 1
+            n = np.bincount(of, minlength=len(held))
+            crowded = np.flatnonzero(n > CROWD * held) if not whole else np.zeros(0, np.int64)
+            keep = ~np.isin(of, crowded)
+            left, right = [x[i[keep]]], [x[j[keep]]]
+            edge = np.searchsorted(of, np.stack([crowded, crowded + 1]))
+            for c, u, v in zip(crowded.tolist(), *edge.tolist(), strict=True):
+                b, g = int(base[c]), int(held[c])
+                near = np.zeros((g, g), bool)
+                near[i[u:v] - b, j[u:v] - b] = near[j[u:v] - b, i[u:v] - b] = True
+                mine = x[b : b + g]
+                order = np.argsort(mine)
+                at = lambda y, m=mine, o=order: o[np.searchsorted(m, y, sorter=o)]
+                p, z = self.covered(mine, lambda some, rest, near=near, at=at: near[np.ix_(at(some), at(rest))])
+                left.append(p)
+                right.append(z)
+            yield np.concatenate(left), np.concatenate(right), r + crowded
+            r = q
+
+    def covered(self, left: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs with a few pivots; those that may link to one are not compared with the next. ``near`` says which may link where that is known."""
+        near = near or (lambda some, rest: self.may_link(np.repeat(some, len(rest)), np.tile(rest, len(some))).reshape(len(some), -1))
         ends, pivots = [left[:0]], [left[:0]]
         for _ in range(COVERS):
             if len(left) < 2:
                 break
             spread = np.linspace(0, len(left) - 1, min(len(left), TRIED)).astype(int)
             some = left[np.unique(np.r_[spread, np.argsort(self.sid[left])[: 2 * TRIED]])]
-            ok = np.stack([self.may_link(np.full(len(left), p), left) for p in some])
+            ok = near(some, left)
             able = ok.sum(axis=1)
             good = np.flatnonzero(able >= 0.5 * able.max())  # of these the smallest identity, so that a group's regions agree
             best = int(good[np.argmin(self.sid[some[good]])])
@@ -466,7 +524,20 @@ def _join_regions(t, whole):
         at = np.argsort(sig, kind="stable")
         sig, doc = sig[at], doc[at]
         found, held, crowded, undivided = [np.zeros((2, 0), np.int64)], 0, set(), set()
-        for a, z in zip(*_stretches(sig), strict=True):
+
+        def note(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal found, held
+            found.append(_ordered(sid[i], sid[j]))
+            held += found[-1].shape[1]
+            if held > 2_000_000:
+                found, held = [_ordered(*np.concatenate(found, axis=1))], 0
+
+        start, end = _stretches(sig)
+        small = end - start <= min(TOGETHER, MUCH)
+        for i, j, part in cells.together(doc, start[small], end[small], whole):
+            note(i, j)
+            crowded.update(start[small][part].tolist())
+        for a, z in zip(start[~small], end[~small], strict=True):
             x = doc[a:z]
             if (comp[x] == comp[x[0]]).all():
                 continue
@@ -478,10 +549,7 @@ def _join_regions(t, whole):
                 i, j, all_ = cells.open_pairs(home, guest, d, reach, whole)
                 if not all_:
                     crowded.add(int(a))
-                found.append(_ordered(sid[i], sid[j]))
-                held += found[-1].shape[1]
-                if held > 2_000_000:
-                    found, held = [_ordered(*np.concatenate(found, axis=1))], 0
+                note(i, j)
         pairs = _ordered(*np.concatenate(found, axis=1))
         if pairs.shape[1]:
             yield _pairs(pairs)
@@ -613,14 +681,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             rows, only = members.withColumn("comp", F.col("setid")), None
         blocks = P.arrow(rows.select("setid", "comp", "n", "turn", "sigs", "bits"), _deal_members(parts, only, r), P.BLOCK_DDL)
-        joined, gat = cut_at(P.gather(blocks, _join_regions(percent, last or r == PIVOT_ROUNDS), _FOUND_DDL), f"cells-{r}")
+        done = last or r == PIVOT_ROUNDS
+        joined, gat = cut_at(P.gather(blocks, _join_regions(percent, done), _FOUND_DDL), f"cells-{r}")
         paths.append(gat)
         found, again, undivided = (joined.where(F.col("kind") == kind).select("a", "b") for kind in (PAIR, CROWDED, UNDIVIDED))
         found = found if few is None else found.unionByName(few)
         found = found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti") if seen else found.distinct()
         cand, at = cut_at(found, f"pairs-{r}")
         paths.append(at)
-        if not seen or not cand.isEmpty():
+        fresh = not cand.isEmpty()
+        if not seen or fresh:
             fetch(cand.select(F.col("a").alias("setid")).union(cand.select("b")), f"texts-{r}")
             got, vat = _verify(_union(texts), cand, k, f"distances-{r}")
             seen.append(got)
@@ -647,8 +717,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             dealt = spark.sparkContext.broadcast(P.bitmap(theirs, "setid"))
             few, new = of_regions(met, collect(met, r + 1), r + 1, P.arrow(about.select("setid", "n", "bits"), _named(dealt), "setid long, n long, bits binary"))
             members = members.unionByName(new)
-        elif again.isEmpty() or last:
+        elif again.isEmpty() or done:
             break
+        else:  # where nothing new was found, no class is contracted and crowded cells stay as they are: the next round takes them whole
+            last = not fresh
 
     label = classes.select(F.col("node").alias("setid"), F.col("component").alias("label"))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_verified")).withColumnRenamed("a", "setid")

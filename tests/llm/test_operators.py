@@ -458,6 +458,30 @@ def test_cells_of_more_groups_than_pivots(monkeypatch):
     assert {(g * 20 + i, g * 20 + j) for g in range(60) for i in range(20) for j in range(i + 1, 20) if 100 * (c := len(np.intersect1d(sets[g * 20 + i], sets[g * 20 + j]))) >= 80 * (size[g * 20 + i] + size[g * 20 + j] - c)} <= got
 
 
+def test_small_regions_are_compared_together(monkeypatch):
+    """Many small regions, some of them crowds, take a few calls, lose no pair, and a crowd gives links to a few pivots until all are asked for."""
+    J = jaccard_join
+    rnd = np.random.default_rng(3)
+    base = [rnd.integers(0, 1 << 62, 70).astype(np.uint64) for _ in range(40)]
+    sets = [np.unique(np.r_[b[rnd.permutation(70)[: rnd.integers(60, 71)]], rnd.integers(0, 1 << 62, rnd.integers(0, 6)).astype(np.uint64)]) for b in base for _ in range(20)]
+    sid, size = rnd.permutation(len(sets)).astype(np.int64), np.array([len(s) for s in sets])
+    groups = [np.arange(20 * g, 20 * g + 20) for g in range(40)] + [np.sort(rnd.choice(len(sets), rnd.integers(5, 40), replace=False)) for _ in range(400)]
+    doc, sig = np.concatenate(groups), np.repeat(np.arange(len(groups), dtype=np.uint64), [len(g) for g in groups])
+    order = np.argsort(doc, kind="stable")
+    raw = [packed.pack(sid, sid, size, sig[order], doc[order].astype(np.uint32), np.frombuffer(b"".join(J.parity(s) for s in sets), np.uint8))]
+    link = {(int(min(sid[i], sid[j])), int(max(sid[i], sid[j]))) for g in groups for i in g for j in g if i < j and 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (size[i] + size[j] - c)}
+    calls, plain = [], J.Cells.may_link
+    monkeypatch.setattr(J.Cells, "may_link", lambda self, i, j: (calls.append(len(i)), plain(self, i, j))[1])
+    whole = [r for b in J._join_regions(80, True)(raw) for r in b.to_pylist()]
+    assert len(calls) < 40 and link <= {(r["a"], r["b"]) for r in whole}
+    part = [r for b in J._join_regions(80, False)(raw) for r in b.to_pylist()]
+    crowded = {r["a"] for r in part if r["kind"] == J.CROWDED}
+    assert crowded and crowded <= set(range(40)) and len(calls) < 80
+    pairs = {(r["a"], r["b"]) for r in part if r["kind"] == J.PAIR}
+    cover = [sum((min(x, y), max(x, y)) in pairs for x in sid[groups[g]].tolist() for y in sid[groups[g]].tolist() if x < y) for g in crowded]
+    assert max(cover) < 190 and link - {p for g in crowded for x in sid[groups[g]].tolist() for y in sid[groups[g]].tolist() for p in [(x, y)]} <= pairs
+
+
 @pytest.mark.parametrize("much", [1024, 3])
 def test_jaccard_groups_that_share_a_line(spark, monkeypatch, much):
     """Texts that share a line, some of them near copies, dealt out without the line where ``much`` is small."""
