@@ -6,6 +6,9 @@ into *regions* in which distances differ: the shingles' hash space has so many p
 most ``e`` shingles, agree entirely on one (more parts than ``e``, parts without shingles discounted), and a set is
 replicated to the region of each of its parts' contents.
 
+Sets that are alike share most of their parts, and so have many regions with the same members. A region is therefore named after its
+members, so that those regions are one, and dealt out by its smallest member, so that a pair's regions meet in few tasks, however many there are.
+
 Within a region the join is by pivots. Its metric is the Hamming distance of parity bitmaps, never more than the number of shingles
 in which two sets differ. A set within ``e`` of a pivot is at home in the cell of its nearest one, and every other set within ``2 e`` of that
 pivot is replicated to the cell: no set further away can link with one at home there. What is at home in no cell is divided again by
@@ -39,10 +42,11 @@ from tessera.plans.lineage import cut_at, delete
 U = X.U
 #: Rounds in which crowded cells may give links to pivots only; in the one after them every cell gives all its open pairs.
 PIVOT_ROUNDS = 4
-#: Regions of at most so many sets give all their pairs at once; so many are not divided; of more classes than so many that pivots
-#: do not divide the common shingles are set aside.
+#: Regions of at most so many sets have no pivots; so many are not divided; of more classes than so many that pivots do not divide the
+#: common shingles are set aside.
 FEW, SMALL, MUCH = 4, 12, 1024
-#: Regions of at most so many sets are not divided, and are compared many at a time; so many of a region's sets are its pivots.
+#: Regions of at most so many sets are named after them, are not divided, and are compared many at a time; so many of a region's sets are
+#: its pivots.
 TOGETHER, LEADS = 64, 16
 #: Rounds of pivots in a row that find hardly anybody, after which a region counts as undivided.
 POOR = 4
@@ -56,6 +60,8 @@ BRIEF = 4
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 65536
 _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
 PAIR, MEMBER, CROWDED, UNDIVIDED = 1, 2, 3, 4
+#: The lower half of a region's name; by the upper one regions are dealt out.
+LOWER_HALF = U(0xFFFFFFFF)
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sigs", pa.binary())])
 _FOUND_DDL = "kind int, a long, b long, sigs binary"
 _SIGNED = pa.schema([("setid", pa.int64()), ("sigs", pa.list_(pa.binary()))])
@@ -239,11 +245,10 @@ def _members(sig: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def _collected(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Each set with all its signatures."""
+    """Each set with the names of all its regions, each once."""
     got = [P.unpack(x) for x in raw]
     sid, sig = (np.concatenate([g[i] for g in got]) for i in range(2))
-    at = np.argsort(sid, kind="stable")
-    sid, sig = sid[at], sig[at]
+    sid, sig = _each_once(sig, sid)[::-1]
     start, end = _stretches(sid)
     for i in range(0, len(start), 1 << 14):
         x, y = start[i : i + (1 << 14)], end[i : i + (1 << 14)]
@@ -255,8 +260,30 @@ def _stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.r_[start[1:], len(x)][: len(start)]
 
 
-def _meet(buckets):
-    """In each region all pairs if it has few sets, else its members."""
+def _each_once(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct signatures of sets, in order of set and signature."""
+    at = np.lexsort((sig, sid))
+    sig, sid = sig[at], sid[at]
+    keep = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])][: len(sig)]
+    return sig[keep], sid[keep]
+
+
+def _names(sig: np.ndarray, sid: np.ndarray, start: np.ndarray, end: np.ndarray, turn: int) -> np.ndarray:
+    """Names of the regions ``sid[start:end]``, whose sets are in order: those of few sets have one name if they have the same sets.
+
+    The upper half comes from the smallest set. The lower one is the signature's where there are many sets: by it a region that
+    turns out to be undivided is found again in its sets. Regions whose names happen to be equal are compared as one, which loses no pair.
+    """
+    if not len(start):
+        return sig
+    scrambled = X.mix(sid.view(U) + U(turn))
+    alike = X.mix(np.add.reduceat(scrambled, start))
+    lower = np.where(end - start <= min(TOGETHER, MUCH), alike, sig[start]) & LOWER_HALF
+    return np.repeat((X.mix(scrambled[start]) & ~LOWER_HALF) | lower, end - start)
+
+
+def _meet(buckets, turn=0):
+    """The sets of each region that more than one is in, with its name."""
 
     def run(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [P.unpack(x) for x in raw]
@@ -265,20 +292,13 @@ def _meet(buckets):
         at = np.argsort(sig)
         same = np.r_[False, sig[at][1:] == sig[at][:-1]]
         at = at[same | np.r_[same[1:], False]]
-        at = at[np.lexsort((sid[at], sig[at]))]
-        sig, sid = sig[at], sid[at]
-        keep = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])][: len(sig)]  # a set that came from several tasks counts once
-        sig, sid = sig[keep], sid[keep]
+        sid, sig = _each_once(sid[at], sig[at])  # a set that came from several tasks counts once
         start, end = _stretches(sig)
-        size = end - start
-        many = np.repeat(size > FEW, size)
-        last = np.repeat(np.where(size > FEW, 0, end), size)
-        found = [np.zeros((2, 0), np.int64), *(_ordered(sid[i], sid[j]) for i, j in _ranges(np.arange(len(sid)) + 1, last, 1_000_000))]
-        pairs = _ordered(*np.concatenate(found, axis=1))
-        if pairs.shape[1]:
-            yield _pairs(pairs)
-        if many.any():
-            yield _members(sig[many], sid[many], buckets)
+        shared = np.repeat(end - start > 1, end - start)
+        sig, sid = sig[shared], sid[shared]
+        sig, sid = _each_once(_names(sig, sid, *_stretches(sig), turn), sid)
+        if len(sig):
+            yield _members(sig, sid, buckets)
 
     return run
 
@@ -296,7 +316,7 @@ def _deal_members(buckets, again=None, turn=0):
                 keep = P.hits(again.value, X.signed(sig)) | (made == turn)[doc]
                 sig, doc = sig[keep], doc[keep]
             rows = []
-            for bucket, at in P.by_bucket(sig >> U(8), buckets):
+            for bucket, at in P.by_bucket(sig >> U(32), buckets):
                 d, ix = np.unique(doc[at], return_inverse=True)
                 maps = np.frombuffer(b"".join(bits[x] for x in d), np.uint8)
                 rows.append((bucket, P.pack(sid[d], comp[d], n[d], sig[at], ix.astype(np.uint32), maps)))
@@ -338,25 +358,6 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _near_enough(t):
-    """Pairs whose sizes and bitmaps allow a link."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            a, z, na, nz = (P.ints(b, c) for c in ("a", "b", "na", "nb"))
-            good = np.minimum(na, nz) * 100 >= t * np.maximum(na, nz)
-            most = (na + nz) * (100 - t) // (100 + t)
-            xa, xb = b.column(b.schema.get_field_index("xa")), b.column(b.schema.get_field_index("xb"))
-            for i in np.flatnonzero(good).tolist():
-                x, y = np.frombuffer(xa[i].as_buffer(), np.uint64), np.frombuffer(xb[i].as_buffer(), np.uint64)
-                w = min(len(x), len(y))
-                good[i] = np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum() <= most[i]
-            if good.any():
-                yield P.batch(_AB, a[good], z[good])
-
-    return run
-
-
 class Cells:
     """The sets of a task: cells of pivots, and the pairs within them that sizes, classes and bitmaps allow to link."""
 
@@ -533,6 +534,12 @@ def _join_regions(t, whole):
                 found, held = [_ordered(*np.concatenate(found, axis=1))], 0
 
         start, end = _stretches(sig)
+        tiny = end - start <= FEW
+        x = doc[np.repeat(tiny, end - start)]
+        for i, j in _ranges(np.arange(len(x)) + 1, np.repeat(np.cumsum((end - start)[tiny]), (end - start)[tiny])):
+            ok = cells.may_link(x[i], x[j])
+            note(x[i[ok]], x[j[ok]])
+        start, end = start[~tiny], end[~tiny]
         small = end - start <= min(TOGETHER, MUCH)
         for i, j, part in cells.together(doc, start[small], end[small], whole):
             note(i, j)
@@ -642,23 +649,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out
 
     signed = collect(met, 0)
-    ids = signed.select("setid").union(met.where(F.col("kind") == PAIR).select(F.explode(F.array("a", "b")))).distinct()
-    bm = spark.sparkContext.broadcast(P.bitmap(ids, "setid"))
+    bm = spark.sparkContext.broadcast(P.bitmap(signed, "setid"))
 
     brief = P.arrow(stats.select("setid", "n", "rk", "bits"), _named(bm), "setid long, n long, rk long, bits binary")
     about, apath = cut_at(brief.groupBy("setid").agg(F.min("n").alias("n"), F.min("rk").alias("rk"), F.min("bits").alias("bits")), "about")
     paths.append(apath)
 
-    def of_regions(met: DataFrame, signed: DataFrame, turn: int, about: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of small regions that may link, and the members of the others; ``about`` has the sets that are dealt out in this turn."""
-        side = lambda x: about.select(F.col("setid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
-        first = met.where(F.col("kind") == PAIR).select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-        few = P.arrow(first.select("a", "b", "na", "nb", "xa", "xb"), _near_enough(percent), "a long, b long")
-        many, at = cut_at(signed.join(about.select("setid", "n", "bits"), "setid").withColumn("turn", F.lit(turn).cast("long")), f"members-{turn}")
+    def dealt_in(signed: DataFrame, turn: int, about: DataFrame) -> DataFrame:
+        """The members of regions; ``about`` has the sets that are dealt out in this turn."""
+        out, at = cut_at(signed.join(about.select("setid", "n", "bits"), "setid").withColumn("turn", F.lit(turn).cast("long")), f"members-{turn}")
         paths.append(at)
-        return few, many
+        return out
 
-    few, members = of_regions(met, signed, 0, about)
+    members = dealt_in(signed, 0, about)
     texts: list[DataFrame] = []
     seen: list[DataFrame] = []
     classes = again = common = None
@@ -685,7 +688,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         joined, gat = cut_at(P.gather(blocks, _join_regions(percent, done), _FOUND_DDL), f"cells-{r}")
         paths.append(gat)
         found, again, undivided = (joined.where(F.col("kind") == kind).select("a", "b") for kind in (PAIR, CROWDED, UNDIVIDED))
-        found = found if few is None else found.unionByName(few)
         found = found.distinct().join(_union(seen).select("a", "b"), ["a", "b"], "left_anti") if seen else found.distinct()
         cand, at = cut_at(found, f"pairs-{r}")
         paths.append(at)
@@ -697,7 +699,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             links = _union(seen).where(linked).select("a", "b")
             classes, cat = cut_at(connected_components(links), f"classes-{r}")
             paths += [vat, cat]
-        few = None
         if not undivided.isEmpty():
             # the sets of undivided regions are dealt out again, without the shingles that brought them there
             only = spark.sparkContext.broadcast(P.bitmap(undivided, "a"))
@@ -712,11 +713,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 paths += [tat, mat, sat]
                 continue
             common = spark.sparkContext.broadcast(more if before is None else more | before.value)
-            met, at = cut_at(P.gather(P.arrow(mine, _regions(k, percent, parts, common, r + 1), P.BLOCK_DDL), _meet(parts), _FOUND_DDL), f"regions-{r + 1}")
+            met, at = cut_at(P.gather(P.arrow(mine, _regions(k, percent, parts, common, r + 1), P.BLOCK_DDL), _meet(parts, r + 1), _FOUND_DDL), f"regions-{r + 1}")
             paths += [tat, mat, sat, at]
             dealt = spark.sparkContext.broadcast(P.bitmap(theirs, "setid"))
-            few, new = of_regions(met, collect(met, r + 1), r + 1, P.arrow(about.select("setid", "n", "bits"), _named(dealt), "setid long, n long, bits binary"))
-            members = members.unionByName(new)
+            new = P.arrow(about.select("setid", "n", "bits"), _named(dealt), "setid long, n long, bits binary")
+            members = members.unionByName(dealt_in(collect(met, r + 1), r + 1, new))
         elif again.isEmpty() or done:
             break
         else:  # where nothing new was found, no class is contracted and crowded cells stay as they are: the next round takes them whole

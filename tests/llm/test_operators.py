@@ -581,6 +581,41 @@ def test_unrelated_sets_that_share_a_line(monkeypatch):
     assert undivided > 0 and pairs == 0 and max(few / 1000, many / 4000) < 100  # all pairs would be 500 and 2,000 for each text
 
 
+@pytest.mark.parametrize("buckets", [4, 64])
+def test_alike_sets_meet_in_one_region_however_many_buckets(buckets):
+    """Pairs and threes that share dozens of parts: rows of pairs, regions and bitmaps sent do not grow with the number of buckets."""
+    J, P = jaccard_join, packed
+    rnd = random.Random(29)
+    texts, linked = [], set()
+    for g in range(60):
+        ws = [f"w{rnd.randrange(10**7)}" for _ in range(150)]
+        alike = [ws, [*ws[:-1], "x"], [*ws[:-1], "y"]][: 2 + g % 2]
+        linked |= {(len(texts) + i, len(texts) + j) for i in range(len(alike)) for j in range(i + 1, len(alike))}
+        texts += [" ".join(x) for x in alike]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    n, first, _, h = J._sets(*X.column(batch, "text"), 5)
+    ids = J._identity(n, first, h)
+    about = {int(s): (int(m), J.parity(h[f : f + m])) for s, m, f in zip(ids, n, first, strict=True)}
+
+    def by_bucket(batches, bucket="bucket", block="block"):
+        out = {}
+        for b in batches:
+            for r in b.to_pylist():
+                out.setdefault(r[bucket], []).append(r[block])
+        return list(out.values())
+
+    met = [b for raw in by_bucket(J._regions(5, 80, buckets)(iter([batch]))) for b in J._meet(buckets)(raw)]
+    assert {r["kind"] for b in met for r in b.to_pylist()} == {J.MEMBER}
+    sigs = {r["setid"]: r["sigs"] for raw in by_bucket(met, "a", "sigs") for b in J._collected(raw) for r in b.to_pylist()}
+    assert len(sigs) == len(texts) and max(len(b"".join(x)) // 8 for x in sigs.values()) <= 4
+    cols = {"setid": list(sigs), "comp": list(sigs), "n": [about[s][0] for s in sigs], "turn": [0] * len(sigs), "sigs": list(sigs.values()), "bits": [about[s][1] for s in sigs]}
+    members = pa.record_batch(cols, pa.schema([("setid", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("turn", pa.int64()), ("sigs", pa.list_(pa.binary())), ("bits", pa.binary())]))
+    dealt = by_bucket(J._deal_members(buckets)(iter([members])))
+    assert sum(len(P.unpack(x)[0]) for raw in dealt for x in raw) <= 2 * len(texts)
+    got = [(r["a"], r["b"]) for raw in dealt for b in J._join_regions(80, False)(raw) for r in b.to_pylist() if r["kind"] == J.PAIR]
+    assert set(got) == {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in linked} and len(got) < 1.5 * len(linked)
+
+
 def test_bpe_tables_equal_single_look_ups():
     PT = pytest.importorskip("public_tokenizers")
     coder = bpe.WordBpe(PT.path("word_bpe_49k.json"))
