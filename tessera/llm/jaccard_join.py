@@ -56,6 +56,8 @@ PIVOTS, COVERS, TRIED = 8, 4, 12
 CROWD = 4
 #: Bitmaps are first compared folded to one part in so many of their width.
 BRIEF = 4
+#: Words of bitmaps that are compared at once, and words from which a bitmap is wide.
+WORDS_AT_ONCE, WIDE = 1 << 20, 16
 #: Parity bits of a set: the next power of two of so many times its size, within these bounds.
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 65536
 _STATS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n", pa.int64()), ("setid", pa.int64()), ("bits", pa.binary())])
@@ -358,6 +360,18 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def _apart(held: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps differ, a bounded number of words at a time. Wide ones belong to sets of many regions, so a pair often comes again: it is compared once."""
+    again = None
+    if held.shape[1] >= WIDE:
+        pairs, again = np.unique(i * len(held) + j, return_inverse=True)
+        i, j = np.divmod(pairs, len(held))
+    out, step = np.zeros(len(i), np.int64), max(WORDS_AT_ONCE // held.shape[1], 1)
+    for x in range(0, len(i), step):
+        out[x : x + step] = np.bitwise_count(held[i[x : x + step]] ^ held[j[x : x + step]]).sum(axis=1)
+    return out if again is None else out[again]
+
+
 class Cells:
     """The sets of a task: cells of pivots, and the pairs within them that sizes, classes and bitmaps allow to link."""
 
@@ -392,7 +406,7 @@ class Cells:
             x = np.flatnonzero(narrow == w)
             for held in (self.brief.get(int(w)), self.tables[int(w)]):
                 if held is not None:
-                    ok = np.bitwise_count(held[i[x]] ^ held[j[x]]).sum(axis=1) <= most[x]
+                    ok = _apart(held, i[x], j[x]) <= most[x]
                     good[at[x[~ok]]] = False
                     x = x[ok]
         return good
@@ -404,7 +418,7 @@ class Cells:
         what no pivot has come near to.
         """
         held = self.tables[int(self.words[members].min())]
-        away = lambda p, x: np.bitwise_count(held[x] ^ held[p]).sum(axis=1).astype(np.int64)
+        away = lambda p, x: _apart(held, x, np.full(len(x), p))
         rest, poor = members, 0
         while len(rest) > SMALL and poor < POOR:
             # pivots are further apart than reach; the smallest identities, which are hashes, come first: a crowd has its share, and its regions agree
@@ -462,7 +476,7 @@ class Cells:
                 table = self.tables[int(w)]
                 for p in range(LEADS):
                     at = np.flatnonzero((width == w) & (np.arange(len(x)) - first >= p))
-                    d[p, at] = np.bitwise_count(table[x[at]] ^ table[x[first[at] + p]]).sum(axis=1)
+                    d[p, at] = _apart(table, x[at], x[first[at] + p])
             p = i - first[i]
             ok = (np.abs(d[0, i] - d[0, j]) <= reach[i]) & ((p >= LEADS) | (d[np.minimum(p, LEADS - 1), j] <= reach[i]))
             i, j = i[ok], j[ok]

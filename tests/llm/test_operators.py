@@ -4,6 +4,7 @@ import collections
 import gzip
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -616,6 +617,21 @@ def test_alike_sets_meet_in_one_region_however_many_buckets(buckets):
     assert set(got) == {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in linked} and len(got) < 1.5 * len(linked)
 
 
+def test_wide_bitmaps_are_compared_in_bounded_pieces():
+    """Many comparisons of long sets, most of them of the same few pairs, hold little memory at once."""
+    rnd = np.random.default_rng(31)
+    held = rnd.integers(0, 1 << 63, (40, 1024)).astype(np.uint64)
+    i, j = rnd.integers(0, 40, (2, 20_000))
+    tracemalloc.start()
+    got = jaccard_join._apart(held, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = rnd.integers(0, 20_000, 50)
+    assert got[some].tolist() == np.bitwise_count(held[i[some]] ^ held[j[some]]).sum(axis=1).tolist() and peak < 60 << 20
+    narrow = held[:, :3]
+    assert jaccard_join._apart(narrow, i, j).tolist() == np.bitwise_count(narrow[i] ^ narrow[j]).sum(axis=1).tolist()
+
+
 def test_bpe_tables_equal_single_look_ups():
     PT = pytest.importorskip("public_tokenizers")
     coder = bpe.WordBpe(PT.path("word_bpe_49k.json"))
