@@ -32,7 +32,7 @@ from tessera.plans.lineage import cut_at, delete
 
 #: Goes up with any change of the files; an index of another version is refused.
 SCHEMA_VERSION = 1
-#: Documents of a shard, about, and of a segment from which merging leaves it alone.
+#: Documents of a shard, about, and of a segment from which merging leaves it alone unless documents were removed from it.
 SHARD_DOCS, MERGE_DOCS = 2048, 500_000
 #: Tokens with which a shard is closed at the latest, so that a task can hold it.
 SHARD_TOKENS = 4 << 20
@@ -225,14 +225,18 @@ class StoredIndex:
         self.manifest = new
 
     def merge(self, most: int = MERGE_DOCS) -> None:
-        """Joins segments of fewer than ``most`` documents into one, without their removed documents, and publishes the result at once."""
-        small = [s for s in self.manifest["segments"] if s["docs"] < most]
-        if len(small) < 2 and not self.manifest["tombstones"]:
+        """Joins segments of fewer than ``most`` documents, and those of any size that a tombstone names, into one without their removed documents.
+
+        The result is published at once. No removed document is left, so that ``most`` decides on files only, not on statistics.
+        """
+        removed = {p for t in self.manifest["tombstones"] for p in t["segments"]}
+        joined = [s for s in self.manifest["segments"] if s["docs"] < most or s["path"] in removed]
+        if len(joined) < 2 and not removed:
             return
-        paths = [s["path"] for s in small]
+        paths = [s["path"] for s in joined]
         at, base = f"{self.path}/segments/{uuid.uuid4().hex}", 0
         docs, posts = [], []
-        for s in small:
+        for s in joined:
             live = self._live([s]).withColumn("_shard", F.col("_shard") + base).drop("_segment")
             docs.append(live)
             posts.append(self.spark.read.parquet(f"{self.path}/{s['path']}/postings").withColumn("shard", F.col("shard") + base))
@@ -243,7 +247,7 @@ class StoredIndex:
         flags, fpath = cut_at(kept.select(F.col("_shard").alias("shard"), F.col("_slot").alias("slot")).groupBy("shard").applyInArrow(_flags, "shard int, live array<boolean>"), "flags")
         keep = reduce(DataFrame.unionByName, posts).join(flags, "shard")
         x = F.arrays_zip("slots", "title", "body")
-        keep = keep.withColumn("x", F.filter(x, lambda x: F.coalesce(F.get("live", x["slots"]), F.lit(False))) if self.manifest["tombstones"] else x)
+        keep = keep.withColumn("x", F.filter(x, lambda x: F.coalesce(F.get("live", x["slots"]), F.lit(False))) if removed else x)
         keep = keep.where(F.size("x") > 0).select("shard", "term", *(F.col(f"x.{c}").alias(c) for c in ("slots", "title", "body")))
         _write(keep, f"{at}/postings")
         delete(self.spark, fpath)

@@ -206,6 +206,23 @@ def test_remove_merge_and_vacuum(spark):
     assert again.count() == 0 and ask(spark, again, "run") == [[]]
 
 
+def test_merge_where_all_segments_are_large(spark):
+    index = build(spark, DOCS[:3])
+    index.add(docs(spark, DOCS[3:]), title=F.col("title"), body=F.col("text"), store=["host", "title"])
+    index.remove(spark.createDataFrame([(1,)], "key long"))
+    index.commit()
+    index.remove(spark.createDataFrame([(5,)], "key long"))
+    index.commit()
+    index.merge(most=1)
+    assert index.totals()[0] == index.count() == 3 and not index.manifest["tombstones"]
+    assert [set(keys) for keys in ask(spark, index, "engine", "run")] == [set(), {2, 3}]
+    empty = X.StoredIndex.open_or_create(spark, new_path(spark, "test-index"))
+    empty.remove(spark.createDataFrame([(1,)], "key long"))
+    empty.commit()
+    empty.merge()
+    assert empty.count() == 0
+
+
 def test_empty_index(spark):
     index = X.StoredIndex.open_or_create(spark, new_path(spark, "test-index"))
     index.add(docs(spark, []), title=F.col("title"), body=F.col("text"))
