@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from tessera.functions import stemming as T
 from tessera.operators import lexical
 from tessera.operators import stored_index as X
 from tessera.plans.lineage import new_path
+from tests.compare import SF, connect, plain
 
 #: Words and stems of the published sample vocabulary.
 PAIRS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistently consist consolation consol consolatory consolatori console consol
@@ -248,3 +250,14 @@ def test_texts_are_not_shuffled_and_shards_are_bounded(spark, monkeypatch):
     assert ask(spark, index, "own37", "own98") == [[], [98]] and index.count() == 50
     slots = spark.read.parquet(f"{index.path}/{index.manifest['segments'][0]['path']}/postings").select(F.sum(F.size("slots"))).first()[0]
     assert slots == sum(1 + (i % 9 > 0) + 1 for i in range(0, 100, 2))
+
+
+@pytest.mark.parametrize("large", ["none", "english", "all"])
+def test_statistics_after_forgetting_do_not_depend_on_sizes(spark, monkeypatch, large):
+    name = "index_after_forgetting"
+    con = connect()
+    en, other = con.sql("SELECT count(*) FILTER (lang = 'en'), count(*) FILTER (lang IS DISTINCT FROM 'en') FROM documents").fetchall()[0]
+    assert 1 < other < en
+    most = {"none": en + 1, "english": en, "all": 1}[large]
+    monkeypatch.setattr(X.StoredIndex.merge, "__defaults__", (most,))
+    assert plain(queries()[name](spark, SF).toPandas()) == plain(con.sql(oracle_sql()[name]).df())
